@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op2_mixing": "mixing",
     "op5_sharding": "sharding",
+    "op8_neardup": "neardup",
 }
 
 
@@ -16,6 +17,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from axonlake.llm import mixing, sharding
+    from axonlake.llm import mixing, neardup, sharding
 
-    return {"op2_mixing": mixing.OP2_SQL, "op5_sharding": sharding.OP5_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op5_sharding": sharding.OP5_SQL, "op8_neardup": neardup.OP8_SQL}
