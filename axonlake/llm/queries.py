@@ -7,7 +7,9 @@ import importlib
 #: Query name -> module of this subpackage that has the function of that name.
 MODULES = {
     "op2_mixing": "mixing",
+    "op3_toxicity": "toxicity",
     "op5_sharding": "sharding",
+    "op7_quality": "quality",
     "op8_neardup": "neardup",
 }
 
