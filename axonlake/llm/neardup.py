@@ -19,6 +19,8 @@ CHUNKS, WIDE = 8, 5
 PLACES, RADIUS = CHUNKS * WIDE, 2 * CHUNKS - 1
 #: Buckets of more rows are compared in pairs of blocks of this many.
 BLOCK = 2048
+#: Closest candidates of a component in the second round; nodes and shingles in a block of a cluster in the last, about.
+CLOSEST, CELL_NODES, CELL_MARKS = 8, 400, 1_000_000
 #: At 85 % similarity a pair differs in 6 places of 40 on average; in more than 15 with a chance of 1 in 10,000.
 _RNG = np.random.default_rng(8)
 _MULTIPLY = _RNG.integers(0, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,11 +114,8 @@ def _shared(batches):
             yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["key", "node", "n", "place"])
 
 
-def _chosen(near: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int | None) -> list[int]:
-    """Of pairs (a, b) of components by rising distance: those that connect them (limit 0), or each component's closest `limit`, or all (None)."""
-    order = np.argsort(near, kind="stable")
-    if limit is None:
-        return order.tolist()
+def _chosen(near: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> list[int]:
+    """Of pairs (a, b) of components by rising distance: those that connect them (limit 0), or each component's closest `limit`."""
     out, parent, have = [], {}, {}
 
     def top(x):
@@ -125,7 +124,7 @@ def _chosen(near: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int | None) -
             x = parent[x]
         return x
 
-    for i in order.tolist():
+    for i in np.argsort(near, kind="stable").tolist():
         x, y = int(a[i]), int(b[i])
         if limit:
             if min(have.get(x, 0), have.get(y, 0)) < limit:
@@ -137,7 +136,7 @@ def _chosen(near: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int | None) -
     return out
 
 
-def _within(batches, limit: int | None):
+def _within(batches, limit: int):
     """Pairs of nodes of one bucket that lie in the radius and in different components."""
     for t in _runs(batches, ["key", "cell"]):
         key, cell, node, comp, block = (t[c].to_numpy() for c in ("key", "cell", "node", "comp", "block"))
@@ -211,14 +210,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.where(F.col("common") * 100 >= (F.size("a_marks") + F.size("b_marks") - F.col("common")) * percent).select("a", "b")
 
 
+def _confirmed(batches, percent: int):
+    """Links between components in each cell of a cluster, by the counts of common shingles of all its pairs: as many as connect what is linked."""
+    for t in _runs(batches, ["cluster", "cell"]):
+        cluster, cell, node, comp, block = (t[c].to_numpy() for c in ("cluster", "cell", "node", "comp", "block"))
+        marks, edge, found = t["marks"], _bounds(cluster, cell), [(node[:0], node[:0])]
+        for at, end in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            c, n = comp[at:end], end - at
+            if (c == c[0]).all():
+                continue
+            own = [marks[i].values.to_numpy() for i in range(at, end)]
+            sizes = np.array([len(x) for x in own], np.int64)
+            row, (_, col, seen) = np.repeat(np.arange(n), sizes), np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+            more = seen[col] > 1  # a shingle of one text adds to no pair
+            rank = np.cumsum(seen > 1) - 1
+            row, col = row[more], rank[col[more]]
+            order = np.argsort(col, kind="stable")
+            row, col, common = row[order], col[order], np.zeros((n, n), np.float32)
+            for low in range(0, int(col[-1]) + 1 if len(col) else 0, 2048):
+                lo, hi = np.searchsorted(col, [low, low + 2048])
+                has = np.zeros((n, 2048), np.float32)
+                has[row[lo:hi], col[lo:hi] - low] = 1
+                common += has @ has.T
+            both = sizes[:, None] + sizes[None, :] - common
+            k = block[at:end]
+            m = (common * 100 >= both * percent) & (c[:, None] != c[None, :])
+            if (k != k[0]).any():
+                m &= k[:, None] != k[None, :]
+            left, right = np.nonzero(np.triu(m, 1))
+            pick = _chosen(-common[left, right] / both[left, right], c[left], c[right], 0)
+            found.append((node[at:end][left[pick]], node[at:end][right[pick]]))
+        x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+
+def _cells(block, last):
+    """Numbers of the cells (pairs of blocks 0 to last) that a block is part of."""
+    return F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.least(k, block) * (last + 1) + F.greatest(k, block))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text; other columns are left alone).
 
     Texts with the same words form one node. Nodes whose signatures agree in a chunk up to one place meet in a bucket;
     pairs within the radius become candidates, and a candidate becomes a link only if the full shingle sets agree.
-    To keep large groups linear, a bucket first gives a spanning forest of its closest pairs; then the closest
-    16 pairs of each component that is still apart; at last all pairs between components still apart. So no
-    candidate is lost, but pairs inside a component found before are not looked at again.
+    To keep large groups linear, a bucket first gives a spanning forest of its closest pairs, then the closest
+    pairs of each component that is still apart. What is still apart then but has candidates is a cluster: all its
+    pairs of components are compared by their full sets, in cells of bounded blocks. So no candidate is lost,
+    while pairs inside a component found before are not looked at again.
     A null or empty text has no shingles and is its own component. A null doc_id counts as the largest; a
     component of nulls only has component_id null and is kept. Rows with one doc_id and equal texts are both
     kept if that id is the component's. Very long texts are taken whole. An empty table gives no rows.
@@ -228,34 +267,41 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     nodes = stash(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig")), "nodes")
     keyed = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long")
     buckets = stash(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, n long, place long"), "buckets")
-    links, labels, sets = None, None, None
-    for limit in (0, 16, None):
-        at = (F.col("place") / BLOCK).cast("long")
-        last = F.when(F.col("n") > BLOCK, ((F.col("n") - 1) / BLOCK).cast("long"))
-        if limit is None:  # each block with every block
-            cells = F.when(last.isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.least(k, at) * (last + 1) + F.greatest(k, at)))
-        else:
-            cells = F.array(F.when(last.isNull(), 0).otherwise(at).cast("long"))
-        with_sig = buckets.join(nodes.select("node", "sig"), "node")
-        if labels is not None:
-            with_sig = with_sig.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            apart = with_sig.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("apart")).where("apart").select("key")
-            with_sig = with_sig.join(apart, "key")
+
+    def candidates(labels: DataFrame | None, limit: int, every: bool) -> DataFrame:
+        block = (F.col("place") / BLOCK).cast("long")
+        last = F.when(F.col("n") > BLOCK, ((F.col("n") - 1) / BLOCK).cast("long")).otherwise(F.lit(0).cast("long"))
+        cells = _cells(F.least(block, last), last) if every else F.array(F.least(block, last))
+        meet = buckets.join(nodes.select("node", "sig"), "node")
+        if labels is None:
+            meet = meet.withColumn("comp", F.col("node"))
         else:
-            with_sig = with_sig.withColumn("comp", F.col("node"))
-        meet = with_sig.withColumn("block", at).withColumn("cell", F.explode(cells)).select("key", "cell", "node", "comp", "block", "sig")
+            meet = meet.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        meet = meet.withColumn("block", F.least(block, last)).withColumn("cell", F.explode(cells)).select("key", "cell", "node", "comp", "block", "sig")
         meet = meet.repartition("key", "cell").sortWithinPartitions("key", "cell")
-        pairs = stash(meet.mapInArrow(functools.partial(_within, limit=limit), "a long, b long").distinct(), "pairs")
-        if sets is None:  # every node with a pair in the radius is in the first forest
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            ids = stash(nodes.join(ends, "node").select(F.col("first_id").alias("wanted")).distinct(), "wanted")
-            texts_of = docs.join(small(ids), docs["doc_id"].eqNullSafe(F.col("wanted")), "left_semi")
-            sets = stash(texts_of.mapInArrow(_sets, "node long, marks array<bigint>").dropDuplicates(["node"]), "sets")
-        found = _verified(pairs, sets, percent)
-        stars = links if labels is None else labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
-        links = stash(found if stars is None else found.unionByName(stars.where("a <> b")), "links")
-        labels = components(links)
-    labels = stash(labels, "labels")
+        return stash(meet.mapInArrow(functools.partial(_within, limit=limit), "a long, b long").distinct(), "pairs")
+
+    first = candidates(None, 0, True)
+    ends = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()  # every node that has a candidate at all
+    ids = stash(nodes.join(ends, "node").select(F.col("first_id").alias("wanted")).distinct(), "wanted")
+    text_of = docs.join(small(ids), docs["doc_id"].eqNullSafe(F.col("wanted")), "left_semi")
+    sets = stash(text_of.mapInArrow(_sets, "node long, marks array<bigint>").dropDuplicates(["node"]), "sets")
+    stars = lambda labels: labels.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    labels = stash(components(_verified(first, sets, percent)), "labels")
+    labels = stash(components(_verified(candidates(labels, CLOSEST, False), sets, percent).unionByName(stars(labels))), "labels")
+
+    # what is still apart: clusters of components with a candidate between them
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
+    apart = candidates(labels, 0, True).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    cluster = stash(components(apart.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("cluster")), "clusters")
+    member = sets.select("node", F.size("marks").alias("n")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(cluster, "comp")
+    member = stash(member, "cluster-members")
+    blocks = member.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / CELL_NODES, F.sum(F.col("n").cast("long")) / CELL_MARKS)).alias("blocks"))
+    placed = member.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    cells = placed.withColumn("cell", F.explode(_cells(F.col("block"), F.col("blocks") - 1))).join(sets, "node").select("cluster", "cell", "node", "comp", "block", "marks")
+    last_links = cells.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell").mapInArrow(functools.partial(_confirmed, percent=percent), "a long, b long")
+    labels = stash(components(last_links.unionByName(stars(labels))), "labels")
+
     known = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     firsts = stash(known.groupBy("comp").agg(F.min("first_id").alias("component_id")), "firsts")
     member = stash(known.join(firsts, "comp").select("node", "component_id"), "members")
