@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module of this subpackage that has the function of that name.
 MODULES = {
+    "op1_decontam": "decontam",
     "op2_mixing": "mixing",
     "op3_toxicity": "toxicity",
     "op5_sharding": "sharding",
