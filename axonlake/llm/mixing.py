@@ -55,27 +55,27 @@ def mix(df: DataFrame, size: Column, key: str = "doc_id", source: str = "source"
     task of its own. Rows with a null key share one place in the order, repeated rows as well; rows of size 0 are
     taken with what surrounds them. Null is a source of its own. An empty df gives no rows.
     """
-    keep = [key] if keep is None else keep
+    added = ["size", "source_size", "target", "copies", "taken"]
+    keep = [c for c in ([key] if keep is None else keep) if c not in added]
     spark, order = df.sparkSession, F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-    rows = stash(df.select(*keep, F.col(source).cast("string").alias("__source"), size.cast("long").alias("size"), order.alias("__order")), "mix")
+    rows = stash(df.select(*keep, F.col(source).cast("string").alias("__source"), size.cast("long").alias("__size"), order.alias("__order")), "mix")
     bucket = F.substring("__order", 1, DIGITS)
-    sums = stash(rows.groupBy(F.col("__source").alias("source"), bucket.alias("bucket")).agg(F.sum("size").alias("size")), "mix-sums")
-    plan = [(s, n, t, int(t // n) if n else 0) for s, n, t in allot(sums.groupBy("source").agg(F.sum("size").alias("size")), weights, volume, epochs)]
-    plan = spark.createDataFrame([(*p, float(p[2] - p[3] * p[1])) for p in plan], "source string, source_size long, target double, whole int, rest double")
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
-    falls = sums.withColumn("upto", upto).join(F.broadcast(plan), sums["source"].eqNullSafe(plan["source"])).where("upto > rest")
-    falls = falls.groupBy(plan["source"].alias("f_source")).agg(F.min("bucket").alias("edge"), F.min_by(F.col("upto") - F.col("size"), "bucket").alias("before"))
-    plan = plan.join(F.broadcast(falls), plan["source"].eqNullSafe(F.col("f_source")), "left").drop("f_source")  # one row for each source
-    known = rows.join(F.broadcast(plan), rows["__source"].eqNullSafe(plan["source"]))
-    inside = known.where(F.col("edge").isNotNull() & (bucket == F.col("edge")))
-    run = Window.partitionBy("source").orderBy("__order", "size").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("extra", (F.col("before") + F.sum("size").over(run) - F.col("size") / 2 <= F.col("rest")).cast("int"))
-    outside = known.where(F.col("edge").isNull() | (bucket != F.col("edge"))).withColumn("extra", (F.col("edge").isNull() | (bucket < F.col("edge"))).cast("int"))
-    # a source without an edge has no rest to fill, unless all its words fit
-    outside = outside.withColumn("extra", F.when(F.col("rest") > 0, F.col("extra")).otherwise(0))
-    inside = inside.withColumn("extra", F.when(F.col("rest") > 0, F.col("extra")).otherwise(0))
-    copies = (F.col("whole") + F.col("extra")).cast("int")
-    return outside.unionByName(inside).select(*keep, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    sums = stash(rows.groupBy("__source", bucket.alias("__bucket")).agg(F.sum("__size").alias("__sum")), "mix-sums")
+    plan = [(s, n, t, int(t // n) if n else 0) for s, n, t in allot(sums.groupBy(F.col("__source").alias("source")).agg(F.sum("__sum").alias("size")), weights, volume, epochs)]
+    plan = spark.createDataFrame([(*p, float(p[2] - p[3] * p[1])) for p in plan], "__of string, __source_size long, __target double, __whole int, __rest double")
+    upto = F.sum("__sum").over(Window.partitionBy("__source").orderBy("__bucket"))
+    same = lambda df: df["__source"].eqNullSafe(plan["__of"])
+    passed = sums.withColumn("__upto", upto)
+    falls = passed.join(F.broadcast(plan), same(passed)).where("__upto > __rest")
+    falls = falls.groupBy("__of").agg(F.min("__bucket").alias("__edge"), F.min_by(F.col("__upto") - F.col("__sum"), "__bucket").alias("__before")).withColumnRenamed("__of", "__edge_of")
+    plan = plan.join(F.broadcast(falls), plan["__of"].eqNullSafe(F.col("__edge_of")), "left").drop("__edge_of")  # one row for each source
+    known = rows.join(F.broadcast(plan), same(rows))
+    at_edge = F.col("__edge").isNotNull() & (bucket == F.col("__edge"))
+    run = Window.partitionBy("__source").orderBy("__order", "__size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = known.where(at_edge).withColumn("__fits", F.col("__before") + F.sum("__size").over(run) - F.col("__size") / 2 <= F.col("__rest"))
+    outside = known.where(~at_edge).withColumn("__fits", F.col("__edge").isNull() | (bucket < F.col("__edge")))
+    copies = (F.col("__whole") + ((F.col("__rest") > 0) & F.col("__fits")).cast("int")).cast("int")
+    return outside.unionByName(inside).select(*keep, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
 
 
 def repeat(df: DataFrame, copies: str = "copies") -> DataFrame:
