@@ -9,9 +9,12 @@ MODULES = {
     "op1_decontam": "decontam",
     "op2_mixing": "mixing",
     "op3_toxicity": "toxicity",
+    "op4_pii": "pii",
     "op5_sharding": "sharding",
     "op7_quality": "quality",
     "op8_neardup": "neardup",
+    "op9_topk": "topk",
+    "op10_chat": "chat",
 }
 
 
@@ -20,6 +23,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from axonlake.llm import mixing, neardup, sharding
+    from axonlake.llm import mixing, neardup, sharding, topk
 
-    return {"op2_mixing": mixing.OP2_SQL, "op5_sharding": sharding.OP5_SQL, "op8_neardup": neardup.OP8_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op5_sharding": sharding.OP5_SQL, "op8_neardup": neardup.OP8_SQL, "op9_topk": topk.OP9_SQL}
