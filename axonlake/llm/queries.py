@@ -11,6 +11,7 @@ MODULES = {
     "op3_toxicity": "toxicity",
     "op4_pii": "pii",
     "op5_sharding": "sharding",
+    "op6_lmscore": "lmscore",
     "op7_quality": "quality",
     "op8_neardup": "neardup",
     "op9_topk": "topk",
