@@ -19,6 +19,8 @@ CHUNKS, WIDE = 8, 5
 PLACES, RADIUS = CHUNKS * WIDE, 2 * CHUNKS - 1
 #: Buckets of more rows are compared in pairs of blocks of this many.
 BLOCK = 2048
+#: At most so many links are joined to components by one task.
+FEW_LINKS = 100_000
 #: Closest candidates of a component in the second round; nodes and shingles in a block of a cluster in the last, about.
 CLOSEST, CELL_NODES, CELL_MARKS = 8, 400, 1_000_000
 #: At 85 % similarity a pair differs in 6 places of 40 on average; in more than 15 with a chance of 1 in 10,000.
@@ -182,13 +184,34 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["node", "marks"])
 
 
+def _joined(batches):
+    """Smallest node of each node's component, by union-find over a bounded number of links."""
+    parent: dict[int, int] = {}
+
+    def top(x):
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = parent[p]
+            x = p
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = top(x), top(y)
+            parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(list(map(top, nodes)), pa.int64())], names=["node", "comp"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of all ends of the links (a, b): comp is the component's smallest node.
 
     Alternating large-star and small-star steps, each a grouped minimum and a join, until nothing changes;
-    the number of rounds grows with the logarithm of a component's diameter. No links: no rows.
+    the number of rounds grows with the logarithm of a component's diameter. At most FEW_LINKS links (counted) are
+    joined by one task instead. No links: no rows.
     """
     edges, before = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"), None
+    if edges.limit(FEW_LINKS + 1).count() <= FEW_LINKS:  # a few rounds of jobs cost more than these few rows
+        return edges.repartition(1).mapInArrow(_joined, "node long, comp long")
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
