@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Row = tuple[np.ndarray, np.ndarray]
+#: Distinct feature numbers and their values; None: all 1.
+Row = tuple[np.ndarray, np.ndarray | None]
+ONES = np.ones(1 << 16, np.float32)
 
 
 class Ftrl:
@@ -29,7 +31,7 @@ class Ftrl:
     def bias(self) -> float:
         return -self.bias_z / ((self.beta + np.sqrt(self.bias_n)) / self.alpha)
 
-    def fit(self, rows: list[Row], labels: np.ndarray, epochs: int = 3, seed: int = 0) -> Ftrl:
+    def fit(self, rows: Sequence[Row], labels: np.ndarray, epochs: int = 3, seed: int = 0) -> Ftrl:
         """Passes over the rows in seeded orders."""
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
@@ -56,16 +58,18 @@ def sample(labels: DataFrame, label: str, rows: int, where: Column | None = None
     return known.select(key, label).orderBy(F.xxhash64(F.lit(7), F.col(key)), key, label).limit(rows)
 
 
-def featured(docs: DataFrame, chosen: DataFrame, extract: Callable[[], Callable[[bytes], Row]], label: str, key: str = "doc_id", extra: str | None = None):
-    """(rows, labels, extra values) of the chosen documents. chosen is bounded (see sample), so it is broadcast and its features come to the driver."""
+def featured(docs: DataFrame, chosen: DataFrame, extract: Callable[[], Callable[[bytes], Row]], label: str, key: str = "doc_id"):
+    """(rows, labels) of the chosen documents. chosen is bounded (see sample), so it is broadcast and its features come to the driver."""
 
     def run(batches):
         of = extract()
         for b in batches:
             found = [of(t) for t in b.column(0).fill_null("").cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a.astype("<u4").tobytes() for a, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary()), b.column(1), b.column(2), b.column(3)], names=["at", "x", "label", "extra", "key"])
-
-    joined = docs.select(F.col(key), F.col("text")).join(F.broadcast(chosen), key).select("text", F.col(label).cast("double").alias("label"), F.col(extra or label).cast("string").alias("extra"), F.col(key).cast("string").alias("key"))
-    got = joined.mapInArrow(run, "at binary, x binary, label double, extra string, key string").toPandas().sort_values(["key", "label"], kind="stable")
-    rows = [(np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(x, "<f4").astype(np.float64)) for a, x in zip(got["at"], got["x"], strict=True)]
-    return rows, got["label"].to_numpy(float), got["extra"].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([a.astype("<u4").tobytes() for a, _ in found], pa.binary()), pa.array([b"" if x is None else x.astype("<f4").tobytes() for _, x in found], pa.binary()), b.column(1), b.column(2)], names=["at", "x", "label", "key"])
+
+    joined = docs.select(F.col(key), F.col("text")).join(F.broadcast(chosen), key).select("text", F.col(label).cast("double").alias("label"), F.col(key).cast("string").alias("key"))
+    got = joined.mapInArrow(run, "at binary, x binary, label double, key string").toArrow().sort_by([("key", "ascending"), ("label", "ascending")]).combine_chunks()
+    # views of the collected buffers, no copies; a row without values has ones
+    view = lambda c, kind: [np.frombuffer(v.as_buffer(), kind) if v.is_valid and len(v.as_buffer()) else np.zeros(0, kind) for v in got[c]]
+    rows = [(at, x if len(x) == len(at) else ONES[: len(at)] if len(at) <= len(ONES) else np.ones(len(at), np.float32)) for at, x in zip(view("at", "<u4"), view("x", "<f4"), strict=True)]
+    return rows, got["label"].to_numpy()

@@ -69,7 +69,7 @@ def ngrams():
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, rows: int = TRAIN_DOCS) -> Ftrl:
     """The classifier of `label`, learned from at most `rows` labelled documents that are not held out."""
     chosen = sample(labels, label, rows, ~held_out("doc_id", folds))
-    found, y, _ = featured(docs, chosen, ngrams, label)
+    found, y = featured(docs, chosen, ngrams, label)
     return Ftrl(SIZE, alpha=0.3, l1=0.5).fit(found, y)
 
 

@@ -63,14 +63,28 @@ def counted(active: np.ndarray | None = None):
         groups, which = np.unique(groups, return_inverse=True)
         times = np.bincount(which, times, len(groups))
         out = np.concatenate([groups[times >= n] * len(TIMES) + k for k, n in enumerate(TIMES)])
-        return out, np.ones(len(out))
+        return out, None
 
     return of
 
 
 def _with(row, chain: list[float]):
     """A row of features and the probabilities of the categories before, as features of their own."""
-    return np.append(row[0], SIZE + np.arange(len(chain))), np.append(row[1], chain)
+    at = row[0].astype(np.int64)
+    return np.append(at, SIZE + np.arange(len(chain))), np.append(np.ones(len(at)), chain)
+
+
+class _Seen:
+    """Some rows with what the chain has said of them so far, put together when asked for."""
+
+    def __init__(self, rows: list, chain: list, own: list[int]):
+        self.rows, self.chain, self.own = rows, chain, own
+
+    def __len__(self):
+        return len(self.own)
+
+    def __getitem__(self, k):
+        return _with(self.rows[self.own[k]], self.chain[self.own[k]])
 
 
 def fit_chain(rows: list, labels: list[np.ndarray], folds: int = FOLDS) -> list[Ftrl]:
@@ -79,13 +93,13 @@ def fit_chain(rows: list, labels: list[np.ndarray], folds: int = FOLDS) -> list[
     fold = np.arange(len(rows)) % folds
     new = lambda: Ftrl(SIZE + len(labels), alpha=0.3, l1=1.5)
     for y in labels:
-        seen = [_with(r, c) for r, c in zip(rows, chain, strict=True)]
-        models.append(new().fit(seen, y))
+        before = [list(c) for c in chain]
+        models.append(new().fit(_Seen(rows, before, range(len(rows))), y))
         for k in range(folds):
-            own = [i for i in range(len(rows)) if fold[i] != k]
-            model = new().fit([seen[i] for i in own], y[own])
+            own = np.flatnonzero(fold != k)
+            model = new().fit(_Seen(rows, before, own), y[own])
             for i in np.flatnonzero(fold == k):
-                at, x = seen[i]
+                at, x = _with(rows[i], before[i])
                 chain[i] = [*chain[i], float(probability(model.weights(at) @ x + model.bias()))]
     return models
 
@@ -95,7 +109,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, list[str]] |
     categories = CATEGORIES if categories is None else categories
     chosen = sample(labels, "toxic", rows)
     # which seed words a document has is told by its features: a word's own number
-    found, y, _ = featured(docs, chosen, counted, "toxic")
+    found, y = featured(docs, chosen, counted, "toxic")
     seeds = {c: np.array([numbers(w)[0] * len(TIMES) for w in words], np.int64) for c, words in categories.items()}
     return fit_chain(found, [np.array([y[i] * (not len(seeds[c]) or bool(np.isin(seeds[c], found[i][0]).any())) for i in range(len(found))], float) for c in categories])
 
