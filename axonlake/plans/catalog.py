@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from axonlake.plans import graph_queries, sample_queries, stat_queries, time_queries  # noqa: F401  (they register their queries)
+from axonlake.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
