@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -114,7 +116,7 @@ def rendered(steps: list, texts: list[str | None], last: bool) -> tuple[str, dic
     return "".join(out), n
 
 
-def _chunks(batches):
+def _chunks(batches, most: int):
     """Sorted turns as chunks of one conversation each, with the least costs over them."""
     part, seq, conv, roles, texts, size, rows = TaskContext.get().partitionId(), 0, None, [], [], 0, []
 
@@ -127,7 +129,7 @@ def _chunks(batches):
     for b in batches:
         kind = b.schema.field(0).type
         for c, r, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            if c != conv or len(roles) >= CHUNK_TURNS or size >= CHUNK_CHARS:
+            if c != conv or len(roles) >= most or size >= CHUNK_CHARS:
                 flush()
                 conv = c
             roles.append(r)
@@ -173,7 +175,7 @@ def _rendered(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["conv_id", "chunk", *names])
 
 
-def format_chats(turns: DataFrame) -> DataFrame:
+def format_chats(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     """One row per conversation: conv_id, chunk, n_turns, n_out, cost, merged, relabelled, inserted, rendered.
 
     Turns are ordered by turn (null first), role, text. Dynamic programming over the automaton finds the cheapest legal sequence.
@@ -187,7 +189,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     keys = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text", "tie")]
     dealt = turns.repartitionByRange(*keys).sortWithinPartitions(*keys).select("conv_id", "role", "text")
     kind = dict(dealt.dtypes)["conv_id"]
-    chunks = stash(dealt.mapInArrow(_chunks, f"conv_id {kind}, part long, seq long, roles array<string>, texts array<string>, costs array<bigint>"), "chunks")
+    chunks = stash(dealt.mapInArrow(functools.partial(_chunks, most=chunk_turns), f"conv_id {kind}, part long, seq long, roles array<string>, texts array<string>, costs array<bigint>"), "chunks")
     several = chunks.groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("conv_id").alias("many"))
     slim = chunks.select("conv_id", "part", "seq", "costs").join(small(stash(several, "several")), F.col("conv_id").eqNullSafe(F.col("many")), "left_semi")
     ways = stash(slim.groupBy("conv_id").applyInPandas(_ways, f"conv {kind}, p long, s long, chunk int, entry int, leave int, last boolean"), "ways")

@@ -36,6 +36,8 @@ CUES = {"email": "mail|e-mail|contact|write|correo|courriel", "ip": r"\bip\b|add
 AGAINST = r"version|isbn|issn|order|invoice|serial|token|hash|sha|uuid|build|release|\bno\.|\bid\b"
 #: Characters before a span that the context labeler reads, and rounds of expectation-maximisation.
 BEFORE, ROUNDS = 40, 8
+#: Candidates by which the rates of a labeler's votes are drawn to their share of all.
+SHRINK = 2.0
 #: What a labeler may say: no, nothing, yes.
 VOTES = (-1, 0, 1)
 
@@ -84,7 +86,8 @@ def _votes(kind: str, x: Column, gap: Column) -> list[Column]:
     """What the four labelers say of a match x after the text `gap`: check, form, gazetteer, context."""
     when = lambda yes, no=None: F.when(yes, 1).when(F.lit(False) if no is None else no, -1).otherwise(0)
     n, context = F.length(_digits(x)), F.lower(F.right(gap, F.lit(BEFORE)))
-    strict = {"email": x.rlike(f"^{WIDE['email'][len('(?<![A-Za-z0-9._%+-])') :]}$") & ~x.contains("("), "ip": _valid("ip", x), "card": _valid("card", x), "phone": x.startswith("+") & n.between(9, 15)}[kind]
+    # the check has no opinion on masked addresses and on numbers that only lack the prefix
+    strict = {"email": when(x.contains("@")), "ip": when(_valid("ip", x), ~_valid("ip", x)), "card": when(_valid("card", x), ~_valid("card", x)), "phone": when(x.startswith("+") & n.between(9, 15), ~n.between(9, 15))}[kind]
     form = {
         "email": when(x.rlike(r"^[A-Za-z0-9][^@]*[A-Za-z0-9]@"), x.rlike(r"\.\.|^\.|-\.")),
         "ip": when(~x.rlike(r"(?:^|\.)0[0-9]"), x.rlike(r"(?:^|\.)0[0-9]")),
@@ -92,7 +95,7 @@ def _votes(kind: str, x: Column, gap: Column) -> list[Column]:
         "phone": when(x.rlike(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$"), n < 9),
     }[kind]
     listed = {"email": when(x.rlike(rf"(?i)[.)\]] ?(?:{DOMAINS})$")), "ip": when(~x.rlike("^(?:0|127|2(?:2[4-9]|[3-5]))"), x.rlike("^(?:0|127|255)")), "card": when(_digits(x).rlike(f"^(?:{ISSUERS})"), ~_digits(x).rlike(f"^(?:{ISSUERS})")), "phone": when(x.rlike(f"^{CALLING}") & x.rlike(r"^(?:\+|00)"))}[kind]
-    return [when(strict, ~strict), form, listed, when(context.rlike(CUES[kind]), context.rlike(AGAINST))]
+    return [strict, form, listed, when(context.rlike(CUES[kind]), context.rlike(AGAINST))]
 
 
 def _features(kind: str, x: Column, gap: Column) -> list[Column]:
@@ -139,7 +142,7 @@ def learned(candidates: DataFrame) -> dict[str, float]:
     patterns = stash(candidates.groupBy("kind", "said").agg(F.count("*").alias("n")), "patterns")
     labelers, everything = range(4), range(7)
     # to begin with, each vote is right in four of five cases
-    weights = {f"{k}": 0.0 for k in range(len(KINDS))} | {f"{k}:{j}:{v}": v * math.log(4) for k in range(len(KINDS)) for j in labelers for v in VOTES}
+    weights = {f"{k}": 0.0 for k in range(len(KINDS))} | {f"{k}:{j}:{v}": v * math.log(4) for k in range(len(KINDS)) for j in labelers for v in VOTES if v}
 
     def fitted(weights: dict, seen, judges) -> dict:
         table, kind = _table(weights), F.col("kind")
@@ -149,8 +152,14 @@ def learned(candidates: DataFrame) -> dict[str, float]:
         rows = truth.select("kind", "n", "p", parts.alias("x")).groupBy("kind", "x.j", "x.v").agg(F.sum(F.col("n") * F.col("p")).alias("yes"), F.sum(F.col("n") * (1 - F.col("p"))).alias("no")).collect()
         total = {r["kind"]: (r["yes"], r["no"]) for r in rows if r["j"] < 0}
         out = {f"{k}": math.log((yes + 1) / (no + 1)) for k, (yes, no) in total.items()}
-        # one more yes and no for each value: nothing is impossible
-        return {f"{k}": 0.0 for k in range(len(KINDS))} | out | {f"{r['kind']}:{r['j']}:{r['v']}": math.log((r["yes"] + 1) / (total[r["kind"]][0] + 3)) - math.log((r["no"] + 1) / (total[r["kind"]][1] + 3)) for r in rows if r["j"] >= 0}
+
+        def weight(r) -> float:
+            """Log-odds of a value, both rates drawn to its share of all candidates by SHRINK of them: a rare class says little."""
+            yes, no = total[r["kind"]]
+            share = SHRINK * (r["yes"] + r["no"]) / (yes + no)
+            return math.log((r["yes"] + share) / (yes + SHRINK)) - math.log((r["no"] + share) / (no + SHRINK))
+
+        return {f"{k}": 0.0 for k in range(len(KINDS))} | out | {f"{r['kind']}:{r['j']}:{r['v']}": weight(r) for r in rows if r["j"] >= 4 or r["j"] >= 0 and r["v"]}  # no vote says nothing
 
     for _ in range(ROUNDS):
         weights = fitted(weights, labelers, labelers)
