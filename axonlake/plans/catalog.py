@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from axonlake.plans import graph_queries, sample_queries, stat_queries, time_queries  # noqa: F401  (they register their queries)
+from axonlake.plans import graph_queries, report_queries, sample_queries, stat_queries, time_queries  # noqa: F401  (they register their queries)
 from axonlake.plans.registry import QUERIES, SQL
 
 
