@@ -14,15 +14,19 @@ BROADCAST_ROWS = 1_000_000
 SPACE = r"\x20\x09-\x0D"
 
 
+#: Folders made for applications that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse, else (local mode) a new temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
-        found = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, else (local mode) a new temporary one, else a folder of the warehouse."""
+    context = spark.sparkContext
+    if found := context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if context.applicationId not in _OWN:
+        local = context.master.startswith("local[") or context.master == "local"
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    return _OWN[context.applicationId].rstrip("/")
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
