@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axonlake.functions.basic import is_unknown
-from axonlake.operators.order import dense_index, first_rows
+from axonlake.operators.order import dense_index, first_rows, seeded
 
 EDGE_REASONS = ["null_endpoint", "invalid_id", "missing_annotation", "predicate_false", "kept"]
 
@@ -148,8 +148,6 @@ def connected(links: DataFrame, checkpoint=None) -> DataFrame:
 
 def shuffled_column(df: DataFrame, column: str, order: list[str], seed: int) -> DataFrame:
     """df with the values of a column dealt anew: position by `order` meets position by a seeded hash. The values as a whole stay the same."""
-    from axonlake.operators.order import seeded
-
     own = dense_index(df, order, "__position")
     other = dense_index(own.select(column, F.conv(F.substring(seeded(seed, "__position"), 1, 15), 16, 10).cast("long").alias("__draw"), "__position"), ["__draw", "__position"], "__to").select(F.col("__to").alias("__position"), F.col(column).alias("__new"))
     return own.join(other, "__position").withColumn(column, F.col("__new")).drop("__position", "__new")
@@ -202,6 +200,3 @@ def rewire(edges: DataFrame, fraction: float, seeds: DataFrame) -> DataFrame:
     each = edges.select("src", "dst", "ord").crossJoin(F.broadcast(seeds.select("seed")))  # a copy of the edges for each of the few variants asked for
     return each.groupBy("seed").applyInPandas(one, "seed long, src long, dst long, ord long, swapped long, refused_loop long, refused_duplicate long")
 
-
-def window_over(*columns: str):
-    return Window.partitionBy(*columns)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axonlake.functions.arrays import activation, hill
+from axonlake.functions.arrays import activation
 
 
 def leaky_step(state: DataFrame, edges: DataFrame, drive: DataFrame, tau: float, dt: float = 1.0, kind: str = "tanh") -> DataFrame:
@@ -128,10 +128,6 @@ def intervened(trace: DataFrame, rules: DataFrame) -> DataFrame:
     return trace.join(best, ["id", "step"], "left").withColumn("v", F.coalesce("__v", "v")).drop("__v")
 
 
-def receptor_hill(concentration: Column, half: float, power: float) -> Column:
-    return hill(concentration, half, power)
-
-
 def log_mel(frames: DataFrame, rate: int, bands: int, column: str = "frames") -> DataFrame:
     """frames (arrays of samples) with `mel`: log energies of triangular mel bands of each frame's Hann-windowed spectrum."""
 

@@ -8,14 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made for applications that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; unset: a temporary folder in local mode, else a folder of the warehouse."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        local = spark.sparkContext.master.startswith("local[")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    context = spark.sparkContext
+    if found := context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if context.applicationId not in _OWN:
+        local = context.master.startswith("local[") or context.master == "local"
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    return _OWN[context.applicationId].rstrip("/")
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
