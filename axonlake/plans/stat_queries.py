@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonlake.functions.basic import linear_quantile, nearest_rank
+from axonlake.functions.basic import linear_quantile
 from axonlake.operators import metrics
 from axonlake.plans.registry import micros, query, six, table
 
@@ -59,7 +59,7 @@ def thresholds(spark, d):
 
 @query("SELECT l_returnflag, quantile_disc(l_extendedprice, 0.25) AS p25, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.75) AS p75, max(l_extendedprice) AS p100, min(l_extendedprice) AS p0 FROM lineitem GROUP BY 1")
 def quantiles_nearest_rank(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*(nearest_rank("l_extendedprice", q).alias(f"p{round(100 * q)}") for q in (0, 0.25, 0.5, 0.75, 1)))
+    return metrics.nearest_ranks(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {f"p{round(100 * q)}": q for q in (0, 0.25, 0.5, 0.75, 1)})
 
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1")
