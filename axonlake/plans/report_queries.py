@@ -73,10 +73,10 @@ def clipped_objective(spark, d):
     return reports.clipped_objective(o).select("o_orderkey", six("loss").alias("loss"), "clipped")
 
 
-@query(f"WITH {NR}, e AS (SELECT src, dst, count(*) / 100.0 AS w FROM nr GROUP BY 1, 2) SELECT dst AS id, round((1 - exp(-0.5)) * sum(w * (src % 5)), 6) AS v, round(tanh((1 - exp(-0.5)) * sum(w * (src % 5))), 6) AS y FROM e GROUP BY 1")
+@query(f"WITH {NR}, e AS (SELECT src, dst, count(*) / 100.0 AS w FROM nr GROUP BY 1, 2), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e) SELECT id, round((1 - exp(-0.5)) * coalesce(sum(w * (src % 5)), 0), 6) AS v, round(tanh((1 - exp(-0.5)) * coalesce(sum(w * (src % 5)), 0)), 6) AS y FROM n LEFT JOIN e ON id = dst GROUP BY 1")
 def leaky_step(spark, d):
     e = nations(spark, d).groupBy("src", "dst").agg((F.count("*") / 100.0).alias("weight"))
-    state = e.select(F.col("dst").alias("id")).distinct().select("id", F.lit(0.0).alias("v"), (F.col("id") % 5).cast("double").alias("y"))
+    state = e.select(F.col("dst").alias("id")).union(e.select("src")).distinct().select("id", F.lit(0.0).alias("v"), (F.col("id") % 5).cast("double").alias("y"))
     drive = state.select("id", F.lit(0.0).alias("input"))
     return kernels.leaky_step(state, e, drive, 2.0).select("id", six("v").alias("v"), six("y").alias("y"))
 
