@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from axonlake.llm.common import read, small, stash
@@ -13,36 +13,51 @@ WINDOW, LITERALS = 8, 4
 COVERAGE, CONSISTENCY = 0.4, 0.8
 #: Units that make a placeholder when they follow a number.
 UNITS = ["mm", "cm", "m", "km", "g", "kg", "mg", "ml", "l", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "years", "miles", "feet", "inches", "pounds", "dollars", "euros", "percent", "usd", "eur", "kb", "mb", "gb", "hz", "khz", "v", "w", "kw", "a"]
-#: Letters that can go on a capitalised word.
-LOWER = "a-zà-öø-ÿ"
-#: The typed placeholders; # stands for a number, ~ for a unit, ^ for names.
+#: Letters that can go on a capitalised word, and those that begin one.
+LOWER, UPPER = "a-zà-öø-ÿ", "A-ZÀ-ÖØ-Þ"
+#: A fill: what stood where a placeholder is, right after it, between two marks.
+FILL = "\u0001([^\u0002]*)\u0002"
+#: The typed placeholders, each followed by its fill; # stands for a number, ~ for a unit, ^ for names.
 _STEPS = [
     # names: capitalised words in the middle of a sentence, a run of them as one
-    (f"([{LOWER}],? )[A-ZÀ-ÖØ-Þ][{LOWER}]+( [A-ZÀ-ÖØ-Þ][{LOWER}]+)*", "$1^"),
-    ("[0-9]+([.,][0-9]+)*", "#"),
-    (f"# ?({'|'.join(UNITS)})\\b", "# ~"),
-    # everything else but letters, digits and placeholders goes
-    (r"[^\p{L}\p{N}#~^ \t\n\r]+", ""),
+    (f"[{UPPER}](?<=[{LOWER}],? .)[{LOWER}]+( [{UPPER}][{LOWER}]+)*", "^\u0001$0\u0002"),
+    ("[0-9]+([.,][0-9]+)*", "#\u0001$0\u0002"),
+    (f"(?<=[0-9]\u0002) ?({'|'.join(UNITS)})\\b", " ~\u0001$1\u0002"),
+    # everything else but letters, digits, placeholders and fills goes
+    ("(\u0001[^\u0002]*\u0002)|[^\\p{L}\\p{N}#~^ \t\n\r]+", "$1"),
 ]
 
 
 def _marked(text: Column) -> Column:
-    """The text with # ~ ^ taken out, so that they can stand for placeholders; null: empty."""
-    return F.translate(F.coalesce(text, F.lit("")), "#~^", "")
+    """The text in lower case with numbers, units and names as placeholders with their fills; null: empty. The text's own # ~ ^ are taken out before."""
+    out = F.translate(F.coalesce(text, F.lit("")), "#~^\u0001\u0002\u0003", "")
+    for pattern, put in _STEPS:
+        out = F.regexp_replace(out, pattern, put)
+    return F.lower(out)
+
+
+def _split(marked: Column) -> Column:
+    return F.filter(F.split(marked, "[ \t\n\r]+"), lambda w: w != "")
+
+
+def _bare(marked: Column) -> Column:
+    """Words of a marked text without the fills."""
+    return _split(F.regexp_replace(marked, FILL, ""))
+
+
+def _filled(marked: Column) -> Column:
+    """Words of a marked text with the fills, at the same places as in _bare: a space in a fill (a run of names) is no end of a word."""
+    return _split(F.regexp_replace(marked, "(\u0001[^ \u0002]*|\\G(?!\\A)[^ \u0002]+) ", "$1\u0003"))
 
 
 def template(text: Column) -> Column:
     """Words of the text in lower case, with numbers, units and names replaced by typed placeholders."""
-    out = _marked(text)
-    for pattern, put in _STEPS:
-        out = F.regexp_replace(out, pattern, put)
-    return F.filter(F.split(F.lower(out), "[ \t\n\r]+"), lambda w: w != "")
+    return _bare(_marked(text))
 
 
 def slots(text: Column) -> Column:
-    """What stands in each placeholder of the template, in order."""
-    name, number, unit = f"(?<=[{LOWER}],? )[A-ZÀ-ÖØ-Þ][{LOWER}]+(?: [A-ZÀ-ÖØ-Þ][{LOWER}]+)*", "[0-9]+(?:[.,][0-9]+)*", f"(?<=[0-9] ?)(?:{'|'.join(UNITS)})\\b"
-    return F.regexp_extract_all(_marked(text), F.lit(f"({name}|{number}|{unit})"), F.lit(1))
+    """What stands in the placeholders of each word of the template, in order: a list for each word, most of them empty."""
+    return F.transform(_filled(_marked(text)), lambda w: F.regexp_extract_all(w, F.lit(FILL), F.lit(1)))
 
 
 def _windows(words: Column, lengths: list[int]) -> Column:
@@ -61,13 +76,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, con
     shuffles only matches (the benchmark's windows are broadcast if a count says that they are few). An item shorter
     than a window is matched as a whole. Windows of the benchmark with too few literal words are left out, as they would match
     anything. A document leaks an item if it has `coverage` of its windows and of its slots (placeholders in matched windows)
-    at least `consistency` are filled one-to-one: the same value in the item is the same value in the document. `exact` says
-    that all slots have the item's own values.
+    at least `consistency` are filled one-to-one: the same value in the item is the same value in the document. Each place where
+    the item's windows match is judged on its own if it reaches the coverage (else the longest), and the best one counts.
+    `exact` says that all slots have the item's own values.
     Null or empty texts, and items with fewer literals than asked, match nothing. Rows with the same doc_id count as one
     document, null as one id. Very long documents are taken whole. An empty table on either side gives no rows.
     """
     docs, items = docs.select("doc_id", "text"), benchmark.select("item_id", "text").where("text is not null")
-    known = items.select("item_id", template(F.col("text")).alias("words"), slots(F.col("text")).alias("fill")).where(F.size("words") > 0)
+    known = items.select("item_id", template(F.col("text")).alias("words")).where(F.size("words") > 0)
     short = [r[0] for r in known.select(F.size("words").alias("n")).where(f"n < {window}").distinct().collect()]  # at most window - 1 lengths
     marks = lambda c: F.filter(c, lambda w: w.isin("#", "~", "^"))
     each = lambda n, at: known.where(at).select("item_id", "words", F.explode(_windows(F.col("words"), [n])).alias("w"), F.lit(n).alias("n"))
@@ -84,29 +100,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, con
     hits = stash(found.join(small(index), "h").select("doc_id", "item_id", "doc_start", "item_start"), "benchmark-hits")
     enough = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_start").alias("matched")).join(small(counts), "item_id").where(F.col("matched") >= F.col("windows") * coverage)
     enough = stash(enough, "benchmark-enough")
-    # slots of the few that are left: the k-th placeholder of a template is the k-th fill
+    # slots of the few that are left: words and fills come from one tokenisation
     wanted = enough.select("doc_id").distinct()
     text_of = docs.join(small(wanted.select(F.col("doc_id").alias("wanted"))), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     shape = lambda df, key, p: df.select(key, template(F.col("text")).alias(f"{p}_words"), slots(F.col("text")).alias(f"{p}_fill"))
     doc_shape, item_shape = shape(text_of, "doc_id", "doc"), shape(items, "item_id", "item")
-    kept = hits.join(enough.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("i")), "left_semi")
-    # a run of matched windows is one alignment: document words = item words + shift
-    runs = kept.groupBy("doc_id", "item_id", (F.col("doc_start") - F.col("item_start")).alias("shift")).agg(F.sort_array(F.collect_set("item_start")).alias("starts"))
-    longest = runs.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("shift", "starts"), F.struct(F.size("starts"), -F.col("shift"))).alias("run")).select("doc_id", "item_id", "run.*")
-    at = longest.join(item_shape, "item_id").join(doc_shape.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).drop("d")
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, F.least(s + (window - 1), F.size("item_words"))))))
-    is_slot = lambda words, i: F.element_at(words, i).isin("#", "~", "^")
-    rank = lambda words, i: F.size(marks(F.slice(words, 1, i)))
-    pairs = F.transform(
-        F.filter(covered, lambda i: is_slot(F.col("item_words"), i) & F.coalesce(is_slot(F.col("doc_words"), F.greatest(i + F.col("shift"), F.lit(1)).cast("int")), F.lit(False))),
-        lambda i: F.struct(F.get(F.col("item_fill"), rank(F.col("item_words"), i) - 1).alias("item"), F.get(F.col("doc_fill"), rank(F.col("doc_words"), (i + F.col("shift")).cast("int")) - 1).alias("doc")),
-    )
+    kept = hits.join(enough.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), "windows"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("i"))).drop("d", "i")
+    # a run of matched windows is one alignment: document words = item words + shift; all that reach the coverage are judged, and the longest
+    runs = kept.groupBy("doc_id", "item_id", "windows", (F.col("doc_start") - F.col("item_start")).alias("shift")).agg(F.sort_array(F.collect_set("item_start")).alias("starts"))
+    runs = runs.withColumn("longest", F.max(F.size("starts")).over(Window.partitionBy("doc_id", "item_id")))
+    runs = runs.where((F.size("starts") >= F.col("windows") * coverage) | (F.size("starts") == F.col("longest")))
+    runs = runs.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("shift", "starts")).alias("runs"))
+    at = runs.join(item_shape, "item_id").join(doc_shape.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).drop("d")
+    covered = lambda r: F.array_distinct(F.flatten(F.transform(r["starts"], lambda s: F.sequence(s, F.least(s + (window - 1), F.size("item_words"))))))
+    beside = lambda i, r, of: F.get(F.col(of), (i + r["shift"] - 1).cast("int"))
     fits = lambda ps, p: ~F.exists(ps, lambda q: ((q["item"] == p["item"]) & (q["doc"] != p["doc"])) | ((q["item"] != p["item"]) & (q["doc"] == p["doc"])))
-    judged = at.where(F.col("shift").isNotNull()).withColumn("pairs", pairs)
-    judged = judged.select("doc_id", "item_id", F.size("pairs").cast("long").alias("slots"), F.size(F.filter("pairs", lambda p: fits(F.col("pairs"), p))).cast("long").alias("consistent"), F.forall("pairs", lambda p: p["item"].eqNullSafe(p["doc"])).alias("exact"))
-    # repeated rows of a document are judged once, by the best
-    judged = judged.groupBy(F.col("doc_id").alias("d"), F.col("item_id").alias("i")).agg(F.max_by(F.struct("slots", "consistent", "exact"), F.col("consistent")).alias("best"))
-    out = enough.join(judged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("i"))).select("doc_id", "item_id", "windows", "matched", "best.*")
+
+    def judge(r: Column) -> Column:
+        """The run's (share, exact, slots, consistent); null if this row of the document does not have the run's words."""
+        pairs = F.flatten(F.transform(covered(r), lambda i: F.arrays_zip(F.get(F.col("item_fill"), i - 1).alias("item"), beside(i, r, "doc_fill").alias("doc"))))
+        same = F.forall(covered(r), lambda i: F.coalesce(F.get(F.col("item_words"), i - 1) == beside(i, r, "doc_words"), F.lit(False)))
+        n = lambda ps: F.size(F.filter(ps, lambda p: fits(ps, p)))
+        # an array of one element gives the pairs a name, so that they are made once
+        of = lambda ps: F.struct(F.when(F.size(ps) > 0, n(ps) / F.size(ps)).otherwise(1.0).alias("share"), F.forall(ps, lambda p: p["item"] == p["doc"]).alias("exact"), F.size(ps).cast("long").alias("slots"), n(ps).cast("long").alias("consistent"))
+        return F.when(same, F.get(F.transform(F.array(pairs), of), F.lit(0)))
+
+    judged = at.select("doc_id", "item_id", F.array_max(F.transform("runs", judge)).alias("best")).where("best is not null")
+    # the best-consistent run counts, of all rows of a document
+    judged = judged.groupBy(F.col("doc_id").alias("d"), F.col("item_id").alias("i")).agg(F.max("best").alias("best"))
+    out = enough.join(judged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("i"))).select("doc_id", "item_id", "windows", "matched", "best.slots", "best.consistent", "best.exact")
     return out.where(F.col("consistent") >= F.col("slots") * consistency)
 
 

@@ -80,6 +80,34 @@ def test_decontamination_on_given_tables(spark, docs):
     assert want and want == got
 
 
+APPLES = "take 5 apples and then put 5 apples back on the table so that 5 apples are there and count 5 apples again"
+
+
+def leaking(spark, items, rows):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r for r in decontam.leaks(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), bench).collect()}
+
+
+def test_template_words_and_fills_are_aligned(spark):
+    text = "on 2020-01-05 at 10:30 we met in Paris, London or New York City the 1st time, 5km or 3.5 kg off; a#b covid19 Anna's"
+    row = spark.createDataFrame([(text,)], "text string").select(decontam.template(F.col("text")).alias("w"), decontam.slots(F.col("text")).alias("f")).first()
+    got = [(w, f) for w, f in zip(row["w"], row["f"], strict=True) if f]
+    assert got == [("###", ["2020", "01", "05"]), ("##", ["10", "30"]), ("^", ["paris"]), ("^", ["london"]), ("^", ["new\u0003york\u0003city"]), ("#st", ["1"]), ("#", ["5"]), ("~", ["km"]), ("#", ["3.5"]), ("~", ["kg"]), ("covid#", ["19"])]
+    assert all(sum(map(w.count, "#~^")) == len(f) for w, f in zip(row["w"], row["f"], strict=True))
+
+
+def test_decontamination_finds_copies_after_any_slots(spark):
+    before = ["posted on 2020-01-05 by me: ", "the 1st of them at 10:30 says: ", "we went to Paris, London and then: ", "covid19 in h2o, she said: "]
+    got = leaking(spark, [APPLES], [b + APPLES for b in before])
+    assert set(got) == {(k, 0) for k in range(len(before))} and all(r["exact"] for r in got.values())
+
+
+def test_decontamination_judges_every_place_of_an_item(spark):
+    bad = "take 1 apples and then put 2 apples back on the table so that 3 apples are there and count 4 apples again"
+    got = leaking(spark, [APPLES], [f"{bad}. {APPLES}", f"{APPLES}. {bad}", f"{bad}. {bad}"])
+    assert set(got) == {(0, 0), (1, 0)} and all(r["exact"] for r in got.values())
+
+
 # 2
 
 
