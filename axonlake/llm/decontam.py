@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from axonlake.llm.common import read, small, stash
 
-#: Words in a window, and how many of them must be literal for a benchmark window to count.
+#: Words in a window, and how many of them must be literal for a window to match as a template.
 WINDOW, LITERALS = 8, 4
 #: Share of an item's windows that a document must have, and share of its slots that must be filled consistently.
 COVERAGE, CONSISTENCY = 0.4, 0.8
@@ -60,56 +60,67 @@ def slots(text: Column) -> Column:
     return F.transform(_filled(_marked(text)), lambda w: F.regexp_extract_all(w, F.lit(FILL), F.lit(1)))
 
 
-def _windows(words: Column, lengths: list[int]) -> Column:
-    """(start, hash) of each run of so many words; the hash knows the length."""
+def _windows(words: Column, filled: Column, lengths: list[int], literals: int) -> Column:
+    """(start, hash) of each run of so many words; the hash knows the length. A run with enough literal words is hashed as a template, others with their fills."""
+    run = lambda i, n: F.when(_loose(F.slice(words, i, n), n, literals), F.slice(words, i, n)).otherwise(F.slice(filled, i, n))
     of = lambda n: F.transform(
         F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(i.cast("int").alias("start"), F.xxhash64(F.lit(n), F.slice(words, i, n)).alias("h")),
+        lambda i: F.struct(i.cast("int").alias("start"), F.xxhash64(F.lit(n), run(i, n)).alias("h")),
     )
     return F.concat(*map(of, lengths))
 
 
+def _loose(run: Column, n: int, literals: int) -> Column:
+    """Whether a run of n words has enough literal words to match as a template."""
+    for mark in "#~^":
+        run = F.array_remove(run, mark)
+    return F.size(run) >= min(literals, n)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
     """(doc_id, item_id, windows, matched, slots, consistent, exact) for each document that has a benchmark item or a re-parameterised copy.
 
     Both sides become templates; the windows of the documents meet those of the benchmark by hash, in one pass that
     shuffles only matches (the benchmark's windows are broadcast if a count says that they are few). An item shorter
-    than a window is matched as a whole. Windows of the benchmark with too few literal words are left out, as they would match
-    anything. A document leaks an item if it has `coverage` of its windows and of its slots (placeholders in matched windows)
+    than a window is matched as a whole. Windows with fewer literal words than `literals` (short items: all their words, if fewer)
+    would match anything as templates; they match with the values in their slots only, so word for word. A document leaks an item
+    if it has `coverage` of its windows, or of those with enough literal words, and of its slots (placeholders in matched windows)
     at least `consistency` are filled one-to-one: the same value in the item is the same value in the document. Each place where
     the item's windows match is judged on its own if it reaches the coverage (else the longest), and the best one counts.
     `exact` says that all slots have the item's own values.
-    Null or empty texts, and items with fewer literals than asked, match nothing. Rows with the same doc_id count as one
+    Null or empty texts match nothing. Rows with the same doc_id count as one
     document, null as one id. Very long documents are taken whole. An empty table on either side gives no rows.
     """
     docs, items = docs.select("doc_id", "text"), benchmark.select("item_id", "text").where("text is not null")
-    known = items.select("item_id", template(F.col("text")).alias("words")).where(F.size("words") > 0)
+    # a column of its own, twice: computed once a row, not once a window
+    shaped = lambda df, key: df.select(key, _marked(F.col("text")).alias("marked")).select(key, _bare(F.col("marked")).alias("words"), _filled(F.col("marked")).alias("filled"))
+    known = shaped(items, "item_id").where(F.size("words") > 0)
     short = [r[0] for r in known.select(F.size("words").alias("n")).where(f"n < {window}").distinct().collect()]  # at most window - 1 lengths
-    marks = lambda c: F.filter(c, lambda w: w.isin("#", "~", "^"))
-    each = lambda n, at: known.where(at).select("item_id", "words", F.explode(_windows(F.col("words"), [n])).alias("w"), F.lit(n).alias("n"))
-    parts = [each(window, f"size(words) >= {window}"), *(each(n, f"size(words) = {n}") for n in short)]
-    index = parts[0]
-    for p in parts[1:]:
-        index = index.unionByName(p)
-    inside = F.slice("words", F.col("w.start"), F.col("n"))
-    index = index.where(F.col("n") - F.size(marks(inside)) >= F.least(F.lit(literals), F.col("n"))).select("item_id", F.col("w.start").alias("item_start"), F.col("w.h").alias("h"))
+    of = lambda lengths: F.explode(_windows(F.col("words"), F.col("filled"), lengths, literals)).alias("w")
+    each = lambda n, at: known.where(at).select("item_id", "words", of([n])).select("item_id", F.col("w.start").alias("item_start"), F.col("w.h").alias("h"), _loose(F.slice("words", F.col("w.start"), n), n, literals).alias("loose"))
+    index = each(window, f"size(words) >= {window}")
+    for n in short:
+        index = index.unionByName(each(n, f"size(words) = {n}"))
     index = stash(index, "benchmark-windows")
-    counts = index.groupBy("item_id").agg(F.count("*").alias("windows"))
-    shaped = docs.select("doc_id", template(F.col("text")).alias("words"))  # a column of its own: computed once a row, not once a window
-    found = shaped.select("doc_id", F.explode(_windows(F.col("words"), [window, *short])).alias("w")).select("doc_id", F.col("w.start").alias("doc_start"), F.col("w.h").alias("h"))
-    hits = stash(found.join(small(index), "h").select("doc_id", "item_id", "doc_start", "item_start"), "benchmark-hits")
-    enough = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_start").alias("matched")).join(small(counts), "item_id").where(F.col("matched") >= F.col("windows") * coverage)
+    counts = index.groupBy("item_id").agg(F.count("*").alias("windows"), F.count_if("loose").alias("loose_windows"))
+    found = shaped(docs, "doc_id").select("doc_id", of([window, *short])).select("doc_id", F.col("w.start").alias("doc_start"), F.col("w.h").alias("h"))
+    hits = stash(found.join(small(index), "h").select("doc_id", "item_id", "doc_start", "item_start", "loose"), "benchmark-hits")
+    reached = lambda all_of, loose: (all_of >= F.col("windows") * coverage) | ((F.col("loose_windows") > 0) & (loose >= F.col("loose_windows") * coverage))
+    matched = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_start").alias("matched"), F.countDistinct(F.when(F.col("loose"), F.col("item_start"))).alias("loose_matched"))
+    enough = matched.join(small(counts), "item_id").where(reached(F.col("matched"), F.col("loose_matched")))
     enough = stash(enough, "benchmark-enough")
     # slots of the few that are left: words and fills come from one tokenisation
     wanted = enough.select("doc_id").distinct()
     text_of = docs.join(small(wanted.select(F.col("doc_id").alias("wanted"))), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     shape = lambda df, key, p: df.select(key, template(F.col("text")).alias(f"{p}_words"), slots(F.col("text")).alias(f"{p}_fill"))
     doc_shape, item_shape = shape(text_of, "doc_id", "doc"), shape(items, "item_id", "item")
-    kept = hits.join(enough.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), "windows"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("i"))).drop("d", "i")
+    kept = hits.join(enough.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), "windows", "loose_windows"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("i"))).drop("d", "i")
     # a run of matched windows is one alignment: document words = item words + shift; all that reach the coverage are judged, and the longest
-    runs = kept.groupBy("doc_id", "item_id", "windows", (F.col("doc_start") - F.col("item_start")).alias("shift")).agg(F.sort_array(F.collect_set("item_start")).alias("starts"))
-    runs = runs.withColumn("longest", F.max(F.size("starts")).over(Window.partitionBy("doc_id", "item_id")))
-    runs = runs.where((F.size("starts") >= F.col("windows") * coverage) | (F.size("starts") == F.col("longest")))
+    loose = F.collect_set(F.when(F.col("loose"), F.col("item_start")))
+    runs = kept.groupBy("doc_id", "item_id", "windows", "loose_windows", (F.col("doc_start") - F.col("item_start")).alias("shift")).agg(F.sort_array(F.collect_set("item_start")).alias("starts"), F.size(loose).alias("loose"))
+    pair = Window.partitionBy("doc_id", "item_id")
+    runs = runs.withColumns({"longest": F.max(F.size("starts")).over(pair), "loosest": F.max("loose").over(pair)})
+    runs = runs.where(reached(F.size("starts"), F.col("loose")) | (F.size("starts") == F.col("longest")) | ((F.col("loose") > 0) & (F.col("loose") == F.col("loosest"))))
     runs = runs.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("shift", "starts")).alias("runs"))
     at = runs.join(item_shape, "item_id").join(doc_shape.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).drop("d")
     covered = lambda r: F.array_distinct(F.flatten(F.transform(r["starts"], lambda s: F.sequence(s, F.least(s + (window - 1), F.size("item_words"))))))

@@ -108,6 +108,20 @@ def test_decontamination_judges_every_place_of_an_item(spark):
     assert set(got) == {(0, 0), (1, 0)} and all(r["exact"] for r in got.values())
 
 
+def test_decontamination_finds_exact_copies_with_few_literals(spark):
+    items = ["What is 3 + 4 * 5 - 6 / 2?", "Compute 12 + 7, 15 - 9, 8 * 6, 40 / 5 and 31 - 4", "1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89"]
+    other = [re.sub("[0-9]+", lambda m: str(int(m[0]) + 1), t) for t in items]
+    got = leaking(spark, items, [f"on 2020-01-05 they asked: {t} Nobody knew" for t in items + other])
+    assert set(got) == {(k, k) for k in range(len(items))} and all(r["exact"] for r in got.values())
+
+
+def test_decontamination_keeps_templates_of_items_with_low_windows(spark):
+    item = "if a farmer has seven old cows then how many are 3 + 4 * 5 - 6 / 2 * 8 + 9 - 1 + 7 * 5 - 2"
+    copy = re.sub("[0-9]+", lambda m: str(int(m[0]) + 10), item)
+    got = leaking(spark, [item], [item, copy])
+    assert set(got) == {(0, 0), (1, 0)} and got[0, 0]["exact"] and not got[1, 0]["exact"]
+
+
 # 2
 
 
