@@ -12,26 +12,47 @@ from axonlake.llm import decontam, mixing, neardup, sharding, toxicity
 from axonlake.llm.common import read, small, stash
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for the rows with these doc_ids (null is an id); the ids are broadcast if a count says that they are few."""
-    gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(small(stash(gone, "gone")), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+#: Name of the row number that a stage gives its rows.
+ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written, so that every reading sees the same numbers."""
+    return stash(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """(doc_id, text) of numbered rows with the row number as doc_id."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Numbered rows but for those with these row numbers as doc_id; the numbers are broadcast if a count says that they are few."""
+    gone = numbers.select(F.col("doc_id").alias("__gone")).distinct()
+    return rows.join(small(stash(gone, "gone")), F.col(ROW) == F.col("__gone"), "left_anti").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go."""
-    verdict = toxicity.scored(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
-    return _without(docs, verdict.where("rejected"))
+    """Rows that the classifier chain rejects go, whatever their doc_id."""
+    rows = _numbered(docs)
+    verdict = toxicity.scored(_by_row(rows), toxicity.learn(rows, read(spark, sf_dir, "labels")))
+    return _without(rows, verdict.where("rejected"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents as similar as 0.8 in five-word shingles, the one with the smallest doc_id stays; repeated rows of an id are one document."""
-    return _without(docs, neardup.near_duplicates(docs, percent=80).where("not kept"))
+    """Of each group of rows as similar as 0.8 in five-word shingles, exact copies included, one stays: the smallest doc_id (null last), then the first row. Rows without words stay."""
+    rows = _numbered(docs)
+    groups = neardup.near_duplicates(_by_row(rows), percent=80).where("n_shingles > 0").select(F.col("doc_id").alias("__at"), F.col("component_id").alias("__group"))
+    groups = stash(groups.join(rows.select(ROW, F.col("doc_id").alias("__id")), F.col("__at") == F.col(ROW)).select("__at", "__group", "__id"), "groups")
+    many = groups.groupBy("__group").agg(F.count("*").alias("__n"), F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__at")).alias("__first")).where("__n > 1")
+    gone = groups.join(small(many.select("__group", F.col("__first.__at").alias("__kept"))), "__group").where("__at <> __kept")
+    return _without(rows, gone.select(F.col("__at").alias("doc_id")))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark item, as it stands or re-parameterised, go."""
-    return _without(docs, decontam.leaks(docs, read(spark, sf_dir, "benchmark")))
+    """Rows with a benchmark item, as it stands or re-parameterised, go, whatever their doc_id."""
+    rows = _numbered(docs)
+    return _without(rows, decontam.leaks(_by_row(rows), read(spark, sf_dir, "benchmark")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

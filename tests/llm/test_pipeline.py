@@ -80,3 +80,30 @@ def test_odd_rows_and_clashing_columns(spark, name):
     n = got.count()
     assert n == len(ODD) if name in ("toxicity", "decontamination", "sharding") else n >= 0
     assert f(spark, rows.limit(0), SF).count() == 0
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_duplicates", "decontamination"])
+def test_rows_go_by_row_not_by_id(spark, name):
+    """Null and repeated ids: a clean row stays beside a rejected row of its id, and one row of exact copies stays."""
+    clean = ["a quiet walk along the river in the early morning light of spring", "bread needs flour and water and salt and quite some time to rise"]
+    if name == "near_duplicates":
+        bad = "the very same words are said here twice and then once more for all"
+        rows, want = [(None, bad), (None, bad), (7, bad), (7, bad)], {(7, bad): 1}
+    else:
+        table, at = ("benchmark", "item_id") if name == "decontamination" else ("labels", "doc_id")
+        given = spark.read.parquet(f"{SF}/{table}.parquet")
+        if name == "toxicity":
+            given = given.where("toxic = 1").join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id")
+        bad = given.orderBy(at).first()["text"]
+        rows, want = [(None, bad), (7, bad)], {}
+    rows += [(None, clean[0]), (7, clean[1])]
+    if name == "toxicity":  # the chain learns from the given documents
+        base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+        docs = base.unionByName(spark.createDataFrame([(i if i is None else 10**9, t) for i, t in rows], "doc_id long, text string"))
+        got = [(r["doc_id"], r["text"]) for r in dict(cp.STAGES)[name](spark, docs, SF).where(f"doc_id is null or doc_id = {10**9}").collect()]
+        assert sorted(t for _, t in got) == sorted(t for _, t in rows if t != bad)
+        return
+    got = [tuple(r) for r in dict(cp.STAGES)[name](spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()]
+    expected = [r for r in rows if r[1] != bad] + [r for r, n in want.items() for _ in range(n)]
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(got, key=key) == sorted(expected, key=key)
