@@ -276,6 +276,26 @@ def test_windows_score_each_place_once():
         assert seen == list(range(n))
 
 
+def test_every_place_of_a_text_trains():
+    group = np.arange(lmscore.TOKENS) % 7
+    rows = [np.array([0, *range(1, n + 1), 0]) for n in (0, 1, 31, 32, 33, 64, 100)]
+    x, y = lmscore._training_windows(rows, group)
+    assert sorted(y[y >= 0].tolist()) == sorted(group[np.concatenate([r[1:] for r in rows])].tolist())
+    assert (y >= 0).any(axis=1).all()
+    short, model = Attention(lmscore.TOKENS, lmscore.CLASSES), Attention(lmscore.TOKENS, lmscore.CLASSES)
+    loss, grads = model.gradients(x[:1, :1], y[:1, :1])
+    padded, same = short.gradients(x[:1], y[:1])
+    assert math.isclose(loss, padded, rel_tol=1e-5) and all(np.allclose(grads[k], same[k], atol=1e-6) for k in grads)
+
+
+def test_vocabulary_is_of_all_rows(spark):
+    n = 2 * lmscore.SAMPLE_DOCS + 500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") == n - 1, "zebra zebra zebra").otherwise("a b c").alias("text"))
+    ranks = lmscore.Path(lmscore.TOKENIZER).read_bytes()
+    model_id = lmscore._vocabulary(docs, ranks)
+    assert (model_id[lmscore.Subwords(ranks).of([b"zebra", b"a", b"b", b"c"])] < lmscore.TOKENS - 1).all()
+
+
 # 7
 
 
