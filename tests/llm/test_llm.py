@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from axonlake.llm import chat, decontam, lmscore, mixing, neardup, pii, quality, sharding, topk, toxicity
-from axonlake.llm.attention import CONTEXT, Attention
+from axonlake.llm.attention import CONTEXT, STEP, Attention, Scorer
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, size string"
@@ -282,11 +282,11 @@ def test_scored_log_probabilities_equal_the_plain_form():
     rng, model = np.random.default_rng(2), some_model(dtype=np.float32)
     ids, y = rng.integers(0, 96, (7, CONTEXT)), rng.integers(0, 96, (7, CONTEXT))
     want = np.take_along_axis(model.log_prob_all(ids), y[:, :, None], 2)[:, :, 0]
-    assert np.allclose(model.log_prob(ids, y), want, atol=1e-4)
+    assert np.allclose(Scorer(model).log_prob(ids, y), want, atol=1e-4)
     model.w["qkv"] *= 20  # exponents out of range
     model.w["within"] *= 100
     want = np.take_along_axis(model.log_prob_all(ids), y[:, :, None], 2)[:, :, 0]
-    assert np.allclose(np.maximum(model.log_prob(ids, y), -80), np.maximum(want, -80), atol=1e-2)
+    assert np.allclose(np.maximum(Scorer(model).log_prob(ids, y), -80), np.maximum(want, -80), atol=1e-2)
 
 
 def test_windows_score_each_place_once():
@@ -304,9 +304,9 @@ def test_scores_of_rows_equal_a_loop_over_places():
     for k, r in enumerate(rows):
         own, total = np.concatenate([[0], r, [0]]), 0.0
         for p in range(len(r) + 1):
-            window = 0 if p < CONTEXT else -(-(p + 1 - CONTEXT) // 28)
-            total += model.log_prob_all(own[None, 28 * window : p + 1])[0, -1, own[p + 1]]
-        assert math.isclose(lmscore._log_probs(model, seq, start)[k], total, rel_tol=1e-4)
+            window = 0 if p < CONTEXT else -(-(p + 1 - CONTEXT) // STEP)
+            total += model.log_prob_all(own[None, STEP * window : p + 1])[0, -1, own[p + 1]]
+        assert math.isclose(lmscore._log_probs(Scorer(model), seq, start)[k], total, rel_tol=1e-4)
 
 
 def test_windows_are_drawn_over_all_rows_and_places():
