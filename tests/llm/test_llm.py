@@ -454,17 +454,18 @@ def cheapest(roles):
     best = {0: 0}
     for role in roles:
         own, new = chat.ROLES.index(role) + 1 if role in chat.ROLES else 0, {}
+        other = chat.RELABEL if own else chat.NAME
         for p, c in best.items():
-            options = [(p, chat.MERGE + chat.RELABEL * (own != p))] if p else []
+            options = [(p, chat.MERGE + other * (own != p))] if p else []
             frontier = {(p, 0)}
             for _ in range(4):
                 for s, k in list(frontier):
-                    options += [(q, chat.INSERT * k + chat.RELABEL * (own != q)) for q in chat.NEXT[s]]
+                    options += [(q, chat.INSERT * k + other * (own != q)) for q in chat.NEXT[s]]
                 frontier = {(q, k + 1) for s, k in frontier for q in chat.NEXT[s]}
             for q, d in options:
                 new[q] = min(new.get(q, 1 << 30), c + d)
         best = new
-    return min(c + chat.INSERT * len(chat.CLOSE[p]) for p, c in best.items())
+    return min(c + chat.AT_END[p] for p, c in best.items())
 
 
 def test_repair_is_cheapest_and_legal():
@@ -472,25 +473,37 @@ def test_repair_is_cheapest_and_legal():
         for roles in itertools.product([*chat.ROLES, None], repeat=n):
             cost, steps = chat.repair(list(roles))
             text, _ = chat.rendered(steps, ["t"] * n, True)
-            assert cost + chat.INSERT * len(chat.CLOSE[steps[-1][1]]) == cheapest(roles)
+            assert cost + chat.AT_END[steps[-1][1]] == cheapest(roles)
             out = re.findall(r"<\|(system|user|assistant)\|>", text)
             assert re.fullmatch("(system )?(user assistant )+", "".join(x + " " for x in out)) and text.endswith("<|end|>\n")
 
 
-def test_long_conversations_come_in_chunks(spark):
+def test_two_turns_of_a_user_stay_the_users():
+    assert [s[2] for s in chat.repair(["user", "user"])[1]] == ["keep", "merge"]
+    assert [s[1:] for s in chat.repair(["user", None])[1]] == [(2, "keep"), (3, "relabel")]
+
+
+def test_text_of_a_conversation_does_not_depend_on_chunks_or_partitions(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    rows = [(1, i, ["user", "assistant", "system", None, "tool"][rng.integers(5)], f"t{i} <|end|>") for i in range(300)] + [(2, 0, "user", None), (2, 0, "user", None), (None, None, None, "x")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    cost, steps = chat.repair([r[2] for r in rows[:300]])
-    best = cost + chat.INSERT * len(chat.CLOSE[steps[-1][1]])
-    for turns in (7, 1000):
+    some = lambda: ["user", "assistant", "system", None, "tool"][rng.integers(5)]
+    rows = [(1, i, some(), f"t{i} <|end|>") for i in range(300)] + [(2, 0, "user", None), (2, 0, "user", None), (None, None, None, "x")]
+    rows += [(4, 7, some(), f"u{i:03d}") for i in range(90)]  # all of one turn number
+    df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, part string")
+    order = sorted(rows[303:], key=lambda r: (r[2] is not None, r[2] or "", r[3]))
+    want = {}
+    for c, own in ((1, rows[:300]), (2, rows[300:302]), (None, rows[302:303]), (4, order)):
+        cost, steps = chat.repair([r[2] for r in own])
+        text, _ = chat.rendered(steps, [r[3] for r in own], True)
+        want[c] = (text, cost + chat.AT_END[steps[-1][1]], len(own))
+    assert want[2][0] == "<|user|>\n\n<|end|>\n<|assistant|>\n<|end|>\n" and want[None][0].startswith("<|user|>\nx")
+    for turns, parts, fan in ((1, 4, 3), (7, 8, 4), (7, 1, 256), (1000, 4, 256)):
+        monkeypatch.setattr(chat, "FAN", fan)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
         got = sorted((r for r in chat.format_chats(df, turns).collect()), key=lambda r: r["chunk"])
-        join = lambda c: "".join(r["rendered"] for r in got if r["conv_id"] == c)  # noqa: E731, B023
-        assert sum(r["cost"] for r in got if r["conv_id"] == 1) == best
-        assert sum(r["n_turns"] for r in got if r["conv_id"] == 1) == 300
-        assert (len([r for r in got if r["conv_id"] == 1]) > 40) == (turns == 7)
-        opened = re.findall(r"<\|(system|user|assistant)\|>", join(1))
-        assert re.fullmatch("(system )?(user assistant )+", "".join(x + " " for x in opened)) and join(1).count("<|end|>") == len(opened)
-        assert [f"t{i} " in join(1) for i in range(300)] == [True] * 300
-        assert join(2) == "<|user|>\n\n<|end|>\n<|assistant|>\n<|end|>\n" and join(None).startswith("<|user|>\nx")
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        for c in want:
+            own = [r for r in got if r["conv_id"] == c]
+            assert [r["chunk"] for r in own] == list(range(len(own)))
+            assert ("".join(r["rendered"] for r in own), sum(r["cost"] for r in own), sum(r["n_turns"] for r in own)) == want[c]
+        assert (len([r for r in got if r["conv_id"] == 1]) >= 43) == (turns < 1000)
     assert chat.format_chats(df.limit(0)).count() == 0
