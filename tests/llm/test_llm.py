@@ -424,26 +424,43 @@ def test_components_by_rounds(spark, monkeypatch):
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 100)
-    monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 2)
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(600, 8)).astype(np.float32)
-    x[50:60] = x[0]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (800, [None] + [1.0] * 7), (900, [float("nan")] * 8), (1000, []), (None, [1.0] * 8), (1100, [1.0, 2.0])]
-    got = topk.top_k(v := topk.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), v.where("vec_id % 100 = 0")).collect()
-    whole = np.floor(1024 * x.astype(float)).astype(np.int64)
-    for q in range(0, 600, 100):
-        s = whole @ whole[q]
-        want = sorted(((-s[i], i) for i in range(600) if i != q))[:10]
-        assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [(k + 1, i, -n) for k, (n, i) in enumerate(want)]
-    assert {r["query_id"] for r in got} == set(range(0, 600, 100))
+    x = np.concatenate([rng.normal(size=(300, 8)) + 9 * (rng.integers(4, size=(300, 1)) == np.arange(8)), rng.normal(size=(300, 8))]).astype(np.float32)
+    x[50:160] = x[0]  # more of one vector than a shard holds
+    rows = [(i if i != 599 else 200, v.tolist()) for i, v in enumerate(x)]  # id 200 twice
+    odd = [(700, None), (800, [None] + [1.0] * 7), (900, [float("nan")] * 8), (1000, []), (None, [1.0] * 8), (1100, [1.0, 2.0])]
+    df = spark.createDataFrame([(*r, "s", 1) for r in rows + odd], "vec_id long, embedding array<float>, shard string, row int")
+    v = topk.vectors(df)
+    got = topk.top_k(v, v.where("vec_id % 100 = 0")).collect()
+    whole, ids, want = np.floor(1024 * x.astype(float)).astype(np.int64), [i for i, _ in rows], []
+    for q in range(600):
+        if ids[q] % 100 == 0:
+            s = whole @ whole[q]
+            want += [(ids[q], k + 1, i, -n) for k, (n, i) in enumerate(sorted((-s[i], ids[i]) for i in range(600) if i != q)[:10])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_cells_that_can_not_reach_the_floor_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 50)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 4)) * 0.01 + np.where(rng.integers(2, size=(400, 1)) > 0, 1, -1)
+    seen = []
+    monkeypatch.setattr(topk, "stash", lambda df, name, f=topk.stash: seen.append((name, out := f(df, name))) or out)
+    v = topk.vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert topk.top_k(v, v.where("vec_id % 100 = 0")).count() == 40
+    made = dict(seen)
+    cells, shards, visits = made["shards"].count(), made["shards"].agg(F.sum("shards")).first()[0], made["visits"].count()
+    assert cells >= 8 and visits < 0.6 * 4 * shards
 
 
 def test_top_k_of_few_and_of_large_values(spark):
-    rows = spark.createDataFrame([(100, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1.0, 1.0]), (2, [-1.0, 1.0])], "vec_id long, embedding array<double>")
+    rows = spark.createDataFrame([(100, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1.0, 1.0]), (2, [-1.0, 1.0]), (3, [1e306, 1.0])], "vec_id long, embedding array<double>")
     got = topk.top_k(v := topk.vectors(rows), v.where("vec_id % 100 = 0")).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2, 2]
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+    assert topk.top_k(v, v.limit(0)).count() == 0
 
 
 # 10
