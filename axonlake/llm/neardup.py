@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -13,17 +14,17 @@ from pyspark.sql import functions as F
 from axonlake.llm.common import read, small, stash
 from axonlake.llm.words import STEP, WordHashes, mixed, shingles, split, texts
 
-#: A signature has CHUNKS * WIDE minimum hashes of 16 bits. By the pigeonhole principle two signatures that differ in
-#: at most RADIUS = 2 * CHUNKS - 1 places agree in some chunk up to one place; a chunk has a key for each place left out.
-CHUNKS, WIDE = 8, 5
-PLACES, RADIUS = CHUNKS * WIDE, 2 * CHUNKS - 1
-#: Buckets of more rows are compared in pairs of blocks of this many.
+#: A signature has so many minimum hashes of 16 bits. It is cut into chunks; by the pigeonhole principle two signatures that differ
+#: in at most 2 * chunks - 1 places (the radius) agree in some chunk up to one place; a chunk has a key for each place left out.
+PLACES = 40
+#: Chance at most that a pair just as similar as asked differs in more places than the radius. Chunks are as wide as that allows.
+MISS = 2e-4
+#: Buckets of more nodes are dealt to blocks of about this many.
 BLOCK = 2048
 #: At most so many links are joined to components by one task.
 FEW_LINKS = 100_000
 #: Closest candidates of a component in the second round; nodes and shingles in a block of a cluster in the last, about.
 CLOSEST, CELL_NODES, CELL_MARKS = 8, 400, 1_000_000
-#: At 85 % similarity a pair differs in 6 places of 40 on average; in more than 15 with a chance of 1 in 10,000.
 _RNG = np.random.default_rng(8)
 _MULTIPLY = _RNG.integers(0, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, PLACES, dtype=np.uint64)
@@ -31,6 +32,14 @@ _ADD = _RNG.integers(0, 2**63, PLACES, dtype=np.uint64)
 _OFFSET = np.arange(1, PLACES + 1, dtype=np.uint64) * STEP
 
 
+def layout(percent: int) -> tuple[int, int]:
+    """(places in a chunk, radius) for a similarity: at 85 % chunks of 5 and a radius of 15, at 80 % chunks of 4 and a radius of 19."""
+    differ = 1 - percent / 100
+    beyond = lambda r: sum(math.comb(PLACES, k) * differ**k * (1 - differ) ** (PLACES - k) for k in range(r + 1, PLACES + 1))
+    widths = [(w, 2 * (PLACES // w) - 1) for w in range(PLACES, 1, -1) if PLACES % w == 0]
+    return next(((w, r) for w, r in widths if beyond(r) <= MISS), widths[-1])
+
+
 def signature(hashes: np.ndarray) -> bytes:
     """PLACES minimum hashes, 16 bits of each."""
     least = np.full(PLACES, np.iinfo(np.uint64).max, np.uint64)
@@ -48,22 +57,22 @@ def _sketch(batches):
             words = split(text)
             marks = shingles(known.of(words))
             count.append(len(marks))
-            node.append(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).astype(np.int64).item() if words else None)
+            node.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
             sig.append(signature(marks) if words else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(count, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "node", "sig"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(count, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "words", "sig"])
 
 
-def _keys(batches):
+def _keys(batches, wide: int):
     for b in batches:
-        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(-1, CHUNKS, WIDE).astype(np.uint64)
+        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(-1, PLACES // wide, wide).astype(np.uint64)
         node, keys = b.column(0).to_numpy(), []
-        for chunk in range(CHUNKS):
-            for out in range(WIDE):
+        for chunk in range(PLACES // wide):
+            for out in range(wide):
                 key = np.zeros(len(sig), np.uint64)
-                for place in range(WIDE):
+                for place in range(wide):
                     if place != out:
-                        key = key << np.uint64(16) | sig[:, chunk, place]
-                keys.append(mixed(key + _OFFSET[chunk * WIDE + out]))
+                        key = mixed(key * STEP + sig[:, chunk, place])
+                keys.append(mixed(key + _OFFSET[chunk * wide + out]))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(node, len(keys)))], names=["key", "node"])
 
 
@@ -103,19 +112,6 @@ def _bounds(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(new))
 
 
-def _shared(batches):
-    """Keys with more than one node, with the bucket's size and each row's place in it."""
-    for t in _runs(batches, ["key"]):
-        key, node = t["key"].to_numpy(), t["node"].to_numpy()
-        edge = _bounds(key)
-        n = np.diff(edge)
-        size, place = np.repeat(n, n), np.arange(len(key)) - np.repeat(edge[:-1], n)
-        for at in range(0, len(key), 50_000):
-            m = size[at : at + 50_000] > 1
-            cols = [x[at : at + 50_000][m] for x in (key, node, size, place)]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["key", "node", "n", "place"])
-
-
 def _chosen(near: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> list[int]:
     """Of pairs (a, b) of components by rising distance: those that connect them (limit 0), or each component's closest `limit`."""
     out, parent, have = [], {}, {}
@@ -138,16 +134,18 @@ def _chosen(near: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> list[
     return out
 
 
-def _within(batches, limit: int):
-    """Pairs of nodes of one bucket that lie in the radius and in different components."""
+def _within(batches, limit: int, marked: bool, radius: int):
+    """Pairs of nodes of one cell of a bucket that lie in the radius and in different components: see _chosen. `marked`: also (x, x) for each node x that is in any such pair."""
     for t in _runs(batches, ["key", "cell"]):
         key, cell, node, comp, block = (t[c].to_numpy() for c in ("key", "cell", "node", "comp", "block"))
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(-1, PLACES)
         edge, found = _bounds(key, cell), []
         n = np.diff(edge)
         two = edge[:-1][n == 2]
-        two = two[(comp[two] != comp[two + 1]) & ((sig[two] != sig[two + 1]).sum(axis=1) <= RADIUS)]
+        two = two[(comp[two] != comp[two + 1]) & ((sig[two] != sig[two + 1]).sum(axis=1) <= radius)]
         found.append((node[two], node[two + 1]))
+        if marked:
+            found += [(node[two], node[two]), (node[two + 1], node[two + 1])]
         for at, size in zip(edge[:-1][n > 2], n[n > 2], strict=True):
             own, c, s, k = slice(at, at + size), comp[at : at + size], sig[at : at + size], block[at : at + size]
             if (c == c[0]).all():
@@ -160,10 +158,13 @@ def _within(batches, limit: int):
                 if m.any():
                     j = np.flatnonzero(m) + i + 1
                     d = (s[j] != s[i]).sum(axis=1)
-                    j, d = j[d <= RADIUS], d[d <= RADIUS]
+                    j, d = j[d <= radius], d[d <= radius]
                     near.append(d), left.append(np.full(len(j), i)), right.append(j)
             if near:
                 near, left, right = map(np.concatenate, (near, left, right))
+                if marked and len(near):
+                    own_node = node[own][np.unique(np.append(left, right))]
+                    found.append((own_node, own_node))
                 pick = _chosen(near, c[left], c[right], limit)
                 found.append((node[own][left[pick]], node[own][right[pick]]))
         x, y = (np.concatenate(z) for z in zip(*found, strict=True))
@@ -176,12 +177,12 @@ def _sets(batches):
         node, marks = [], []
         for text in texts(b):
             words = split(text)
-            node.append(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).astype(np.int64).item())
+            node.append(xxhash.xxh3_128_digest(b" ".join(words)))
             marks.append(shingles(known.of(words)).view(np.int64))
             if len(node) >= 200:
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["node", "marks"])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], names=["words", "marks"])
                 node, marks = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["node", "marks"])
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], names=["words", "marks"])
 
 
 def _joined(batches):
@@ -273,51 +274,57 @@ def _cells(block, last):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text; other columns are left alone).
-
-    Texts with the same words form one node. Nodes whose signatures agree in a chunk up to one place meet in a bucket;
-    pairs within the radius become candidates, and a candidate becomes a link only if the full shingle sets agree.
-    To keep large groups linear, a bucket first gives a spanning forest of its closest pairs, then the closest
-    pairs of each component that is still apart. What is still apart then but has candidates is a cluster: all its
-    pairs of components are compared by their full sets, in cells of bounded blocks. So no candidate is lost,
-    while pairs inside a component found before are not looked at again.
+    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id of any type that can be ordered, text; other columns are left alone, whatever their names).
+
+    Texts with the same words (told by 128 bits of a hash) form one node. Nodes whose signatures agree in a chunk up to one place meet
+    in a bucket; pairs within the radius become candidates, and a candidate becomes a link only if the full shingle sets agree.
+    To keep large groups linear, a bucket is dealt to blocks of about BLOCK nodes. A block first gives a spanning forest of its closest
+    pairs, then the closest pairs of each component that is still apart. Only buckets that hold several components then are compared
+    across their blocks. Components that are still apart but have candidates form a cluster: those of its nodes that have a candidate in
+    another component are compared by their full sets, in cells of bounded blocks. So no candidate is lost, while pairs inside a
+    component found before are not looked at again.
     A null or empty text has no shingles and is its own component. A null doc_id counts as the largest; a
     component of nulls only has component_id null and is kept. Rows with one doc_id and equal texts are both
     kept if that id is the component's. Very long texts are taken whole. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = stash(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, node long, sig binary"), "sketches")
-    nodes = stash(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig")), "nodes")
-    keyed = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long")
-    buckets = stash(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, n long, place long"), "buckets")
-
-    def candidates(labels: DataFrame | None, limit: int, every: bool) -> DataFrame:
-        block = (F.col("place") / BLOCK).cast("long")
-        last = F.when(F.col("n") > BLOCK, ((F.col("n") - 1) / BLOCK).cast("long")).otherwise(F.lit(0).cast("long"))
-        cells = _cells(F.least(block, last), last) if every else F.array(F.least(block, last))
-        meet = buckets.join(nodes.select("node", "sig"), "node")
+    docs, (wide, radius) = docs.select("doc_id", "text"), layout(percent)
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = stash(docs.mapInArrow(_sketch, f"doc_id {kind}, n_shingles long, words binary, sig binary"), "sketches")
+    nodes = rows.where("words is not null").groupBy("words").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"))
+    nodes = stash(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keyed = stash(nodes.select("node", "sig").mapInArrow(functools.partial(_keys, wide=wide), "key long, node long"), "keys")
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    several = several.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    buckets = stash(keyed.join(several, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "buckets")
+
+    def candidates(labels: DataFrame | None, limit: int, every: bool, marked: bool = False) -> DataFrame:
         if labels is None:
-            meet = meet.withColumn("comp", F.col("node"))
+            meet = buckets.withColumn("comp", F.col("node"))
         else:
-            meet = meet.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        meet = meet.withColumn("block", F.least(block, last)).withColumn("cell", F.explode(cells)).select("key", "cell", "node", "comp", "block", "sig")
+            meet = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            apart = meet.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("key")
+            meet = meet.join(apart, "key")
+        cells = _cells(F.col("block"), F.col("blocks") - 1) if every else F.array("block")
+        meet = meet.join(nodes.select("node", "sig"), "node").withColumn("cell", F.explode(cells)).select("key", "cell", "node", "comp", "block", "sig")
         meet = meet.repartition("key", "cell").sortWithinPartitions("key", "cell")
-        return stash(meet.mapInArrow(functools.partial(_within, limit=limit), "a long, b long").distinct(), "pairs")
+        return stash(meet.mapInArrow(functools.partial(_within, limit=limit, marked=marked, radius=radius), "a long, b long").distinct(), "pairs")
 
-    first = candidates(None, 0, True)
-    ends = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()  # every node that has a candidate at all
-    ids = stash(nodes.join(ends, "node").select(F.col("first_id").alias("wanted")).distinct(), "wanted")
+    met = buckets.select("node").distinct()
+    ids = stash(nodes.join(met, "node").select(F.col("first_id").alias("wanted")).distinct(), "wanted")
     text_of = docs.join(small(ids), docs["doc_id"].eqNullSafe(F.col("wanted")), "left_semi")
-    sets = stash(text_of.mapInArrow(_sets, "node long, marks array<bigint>").dropDuplicates(["node"]), "sets")
+    sets = text_of.mapInArrow(_sets, "words binary, marks array<bigint>").dropDuplicates(["words"])
+    sets = stash(sets.join(nodes.join(met, "node").select("words", "node"), "words").select("node", "marks"), "sets")
     stars = lambda labels: labels.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
-    labels = stash(components(_verified(first, sets, percent)), "labels")
+    labels = stash(components(_verified(candidates(None, 0, False), sets, percent)), "labels")
     labels = stash(components(_verified(candidates(labels, CLOSEST, False), sets, percent).unionByName(stars(labels))), "labels")
 
-    # what is still apart: clusters of components with a candidate between them
+    # what is still apart: clusters of components with a candidate between them, and their nodes that have one
     of = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
-    apart = candidates(labels, 0, True).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    cluster = stash(components(apart.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("cluster")), "clusters")
-    member = sets.select("node", F.size("marks").alias("n")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(cluster, "comp")
+    apart = candidates(labels, 0, True, marked=True)
+    between = apart.where("a <> b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    cluster = stash(components(between.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("cluster")), "clusters")
+    member = sets.join(apart.where("a = b").select(F.col("a").alias("node")), "node").select("node", F.size("marks").alias("n"))
+    member = member.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(cluster, "comp")
     member = stash(member, "cluster-members")
     blocks = member.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / CELL_NODES, F.sum(F.col("n").cast("long")) / CELL_MARKS)).alias("blocks"))
     placed = member.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -325,11 +332,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     last_links = cells.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell").mapInArrow(functools.partial(_confirmed, percent=percent), "a long, b long")
     labels = stash(components(last_links.unionByName(stars(labels))), "labels")
 
-    known = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    known = nodes.select("node", "words", "first_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     firsts = stash(known.groupBy("comp").agg(F.min("first_id").alias("component_id")), "firsts")
-    member = stash(known.join(firsts, "comp").select("node", "component_id"), "members")
-    out = rows.select("doc_id", "n_shingles", "node").join(member, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    member = stash(known.join(firsts, "comp").select("words", "component_id"), "members")
+    out = rows.select("doc_id", "n_shingles", "words").join(member, "words", "left")
+    component = F.when(F.col("words").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 

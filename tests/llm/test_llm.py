@@ -413,6 +413,16 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_chunks_follow_the_similarity():
+    assert neardup.layout(85) == (5, 15) and neardup.layout(80) == (4, 19) and neardup.layout(50)[1] > 30
+
+
+def test_near_duplicates_of_string_ids(spark):
+    rows = [("b", "one two three four five six", 1), ("a", "One two  three four five six", 2), ("c", "nothing of the kind", 3), (None, "one two three four five six", 4)]
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string, node int")).collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), "c": ("c", True), None: ("a", False)}
+
+
 def test_components_by_rounds(spark, monkeypatch):
     monkeypatch.setattr(neardup, "FEW_LINKS", 0)
     links = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 150), (-5, 150), (7, 7)]
