@@ -59,7 +59,7 @@ def sample(labels: DataFrame, label: str, rows: int, where: Column | None = None
 
 
 def featured(docs: DataFrame, chosen: DataFrame, extract: Callable[[], Callable[[bytes], Row]], label: str, key: str = "doc_id"):
-    """(rows, labels) of the chosen documents. chosen is bounded (see sample), so it is broadcast and its features come to the driver."""
+    """(rows, labels) of the chosen documents, one text (the least) of a repeated id. chosen is bounded (see sample), so it is broadcast and its features come to the driver."""
 
     def run(batches):
         of = extract()
@@ -67,7 +67,8 @@ def featured(docs: DataFrame, chosen: DataFrame, extract: Callable[[], Callable[
             found = [of(t) for t in b.column(0).fill_null("").cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([a.astype("<u4").tobytes() for a, _ in found], pa.binary()), pa.array([b"" if x is None else x.astype("<f4").tobytes() for _, x in found], pa.binary()), b.column(1), b.column(2)], names=["at", "x", "label", "key"])
 
-    joined = docs.select(F.col(key), F.col("text")).join(F.broadcast(chosen), key).select("text", F.col(label).cast("double").alias("label"), F.col(key).cast("string").alias("key"))
+    joined = docs.select(F.col(key), F.col("text")).join(F.broadcast(chosen), key).groupBy(key, label).agg(F.min("text").alias("text"))
+    joined = joined.select("text", F.col(label).cast("double").alias("label"), F.col(key).cast("string").alias("key"))
     got = joined.mapInArrow(run, "at binary, x binary, label double, key string").toArrow().sort_by([("key", "ascending"), ("label", "ascending")]).combine_chunks()
     # views of the collected buffers, no copies; a row without values has ones
     view = lambda c, kind: [np.frombuffer(v.as_buffer(), kind) if v.is_valid and len(v.as_buffer()) else np.zeros(0, kind) for v in got[c]]

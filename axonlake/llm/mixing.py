@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from axonlake.llm.common import SPACE, read, stash
+from axonlake.llm.common import SPACE, read, small, stash
 
-#: Sources are named by whoever states the weights; more than this many is taken for a wrong column.
-MAX_SOURCES = 100_000
 #: Buckets of the seeded order: hex digits of the hash that name one.
 DIGITS = 3
+#: Columns that a mix adds.
+ADDED = ["size", "source_size", "target", "copies", "taken"]
 
 
 def word_count(text: str = "text") -> Column:
@@ -18,31 +18,38 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
-def water_fill(sizes: list[int], weights: list[float], total: float, epochs: float) -> list[float]:
-    """Shares of total by weight, none above epochs * size: those above are clamped and the rest is shared anew by weight until none is.
+def water_fill(sources: DataFrame, total: float, epochs: float) -> DataFrame:
+    """sources (size, weight and any others) with target: shares of total by weight, none above epochs * size.
 
-    If all are clamped, less than total is given out. A source of weight 0 gets nothing.
+    Sources above are clamped and the rest is shared anew by weight until none is; each round is one aggregate over all sources. If
+    all are clamped, less than total is given out. A source of weight 0 gets nothing.
     """
-    caps = [epochs * s for s in sizes]
-    free = set(range(len(sizes)))
+    cap, weight = F.col("size") * float(epochs), F.col("weight").cast("double")
+    rest, free, clamped = total, sources.agg(F.sum(weight)).first()[0] or 0.0, 0
     while True:
-        rest, weight = total - sum(caps[i] for i in range(len(sizes)) if i not in free), sum(weights[i] for i in free)
-        share = {i: weights[i] * rest / weight if weight else 0.0 for i in free}
-        above = {i for i in free if share[i] > caps[i]}
-        if not above:
-            return [share[i] if i in free else caps[i] for i in range(len(sizes))]
-        free -= above
+        share = weight * rest / free if free else F.lit(0.0)
+        above = share > cap if free else weight > 0
+        n, taken, left = sources.agg(F.count_if(above), F.sum(F.when(above, cap)), F.sum(F.when(~above, weight))).first()
+        if n == clamped:
+            return sources.withColumn("target", F.when(above, cap).otherwise(share))
+        rest, free, clamped = total - (taken or 0.0), left or 0.0, n
 
 
-def allot(totals: DataFrame, weights: tuple[float, ...], volume: float, epochs: float) -> list[tuple]:
-    """(source, its size, its target) for each source; weights repeat over the sources by code point, null last."""
-    rows = totals.limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = sorted(((r["source"], r["size"]) for r in rows), key=lambda r: (r[0] is None, (r[0] or "").encode()))
-    sizes = [s for _, s in rows]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(rows))], volume * sum(sizes), epochs)
-    return [(s, n, float(t)) for (s, n), t in zip(rows, targets, strict=True)]
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with `number` from 0 in this order: ranges are sorted on their own and count on from those before (one row for each range)."""
+    at, low = F.col("__at"), (1 << 33) - 1
+    rows = stash(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("__part", F.shiftright(at, 33))
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    first = rows.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(before, F.lit(0)).alias("__first"))
+    return rows.join(F.broadcast(first), "__part").withColumn("number", F.col("__first") + at.bitwiseAND(low)).drop("__at", "__part", "__first")
+
+
+def allot(totals: DataFrame, weights: tuple[float, ...], volume: float, epochs: float) -> DataFrame:
+    """totals (source, size) with target; weights repeat over the sources by code point, null last."""
+    sources = numbered(totals, [F.col("source").asc_nulls_last()])
+    sources = stash(sources.withColumn("weight", F.get(F.lit([float(w) for w in weights]), (F.col("number") % len(weights)).cast("int"))), "sources")
+    return water_fill(sources, volume * (sources.agg(F.sum("size")).first()[0] or 0), epochs)
 
 
 def mix(df: DataFrame, size: Column, key: str = "doc_id", source: str = "source", weights: tuple[float, ...] = (3, 1, 2), volume: float = 1.5, epochs: float = 2.0, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
@@ -53,23 +60,24 @@ def mix(df: DataFrame, size: Column, key: str = "doc_id", source: str = "source"
     a source misses its target by at most half a row. The running sum over the order goes through sums of 16^3 hash
     buckets a source; only the bucket where the target falls is sorted, so a source with most of the rows needs no
     task of its own. Rows with a null key share one place in the order, repeated rows as well; rows of size 0 are
-    taken with what surrounds them. Null is a source of its own. An empty df gives no rows.
+    taken with what surrounds them. Null is a source of its own; there may be any number of sources. Texts are taken whole.
+    Columns of `keep` called size, source_size, target, copies or taken are left out. An empty df gives no rows.
     """
-    added = ["size", "source_size", "target", "copies", "taken"]
-    keep = [c for c in ([key] if keep is None else keep) if c not in added]
-    spark, order = df.sparkSession, F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+    keep = [c for c in ([key] if keep is None else keep) if c not in ADDED]
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
     rows = stash(df.select(*keep, F.col(source).cast("string").alias("__source"), size.cast("long").alias("__size"), order.alias("__order")), "mix")
     bucket = F.substring("__order", 1, DIGITS)
     sums = stash(rows.groupBy("__source", bucket.alias("__bucket")).agg(F.sum("__size").alias("__sum")), "mix-sums")
-    plan = [(s, n, t, int(t // n) if n else 0) for s, n, t in allot(sums.groupBy(F.col("__source").alias("source")).agg(F.sum("__sum").alias("size")), weights, volume, epochs)]
-    plan = spark.createDataFrame([(*p, float(p[2] - p[3] * p[1])) for p in plan], "__of string, __source_size long, __target double, __whole int, __rest double")
+    plan = allot(sums.groupBy(F.col("__source").alias("source")).agg(F.sum("__sum").alias("size")), weights, volume, epochs)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0)
+    plan = stash(plan.select(F.col("source").alias("__of"), F.col("size").alias("__source_size"), F.col("target").alias("__target"), whole.cast("int").alias("__whole"), (F.col("target") - whole * F.col("size")).alias("__rest")), "mix-plan")
     upto = F.sum("__sum").over(Window.partitionBy("__source").orderBy("__bucket"))
     same = lambda df: df["__source"].eqNullSafe(plan["__of"])
     passed = sums.withColumn("__upto", upto)
-    falls = passed.join(F.broadcast(plan), same(passed)).where("__upto > __rest")
+    falls = passed.join(small(plan), same(passed)).where("__upto > __rest")
     falls = falls.groupBy("__of").agg(F.min("__bucket").alias("__edge"), F.min_by(F.col("__upto") - F.col("__sum"), "__bucket").alias("__before")).withColumnRenamed("__of", "__edge_of")
-    plan = plan.join(F.broadcast(falls), plan["__of"].eqNullSafe(F.col("__edge_of")), "left").drop("__edge_of")  # one row for each source
-    known = rows.join(F.broadcast(plan), same(rows))
+    plan = stash(plan.join(falls, plan["__of"].eqNullSafe(F.col("__edge_of")), "left").drop("__edge_of"), "mix-edges")  # one row for each source
+    known = rows.join(small(plan), same(rows))
     at_edge = F.col("__edge").isNotNull() & (bucket == F.col("__edge"))
     run = Window.partitionBy("__source").orderBy("__order", "__size").rowsBetween(Window.unboundedPreceding, 0)
     inside = known.where(at_edge).withColumn("__fits", F.col("__before") + F.sum("__size").over(run) - F.col("__size") / 2 <= F.col("__rest"))

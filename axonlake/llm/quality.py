@@ -76,7 +76,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 def scored(docs: DataFrame, model: Ftrl, folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of every row of docs, from the text alone; one pass, no shuffle.
 
-    Null and empty texts score as the bias says; without any labels every score is 0.5. Repeated rows score alike.
+    Null and empty texts score as the bias says; without any labels every score is 0.5. Repeated rows score alike, long texts are taken
+    whole, columns besides doc_id and text are left alone, whatever their names. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights().astype(np.float32), model.bias()))
 

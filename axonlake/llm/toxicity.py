@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +20,10 @@ from axonlake.llm.words import texts
 
 #: Hashed features, labelled documents to learn from at most, folds of the out-of-fold predictions.
 SIZE, TRAIN_DOCS, FOLDS = 1 << 20, 8000, 3
-#: The categories in the order of the chain. Labels tell toxic documents from others; a toxic document is in a category
-#: if it has one of its words, and in the last one always. Seed words of the categories.
-CATEGORIES = {
-    "insult": ["idiot", "moron", "loser", "clown", "scum", "trash"],
-    "contempt": ["stupid", "pathetic", "worthless", "disgusting"],
-    "toxic": [],
-}
+#: The categories in the order of the chain: two kinds of toxic documents, found in the training documents, and toxic documents of any kind.
+CATEGORIES = ["kind_1", "kind_2", "toxic"]
+#: Words and beginnings that tell toxic training documents from others best, by which the kinds are told apart.
+TELLING = 256
 _WORD = re.compile(r"[^\W\d_]+")
 #: A word counts itself and its beginnings of these lengths; each has a feature for being there so many times.
 STARTS, TIMES = (4, 5, 6, 7, 8), (1, 2, 4, 8)
@@ -37,7 +37,9 @@ def numbers(word: str) -> list[int]:
 class _Words(dict):
     """The row of each word in `table`, which has its feature groups; forgets all beyond a bound."""
 
-    table = np.zeros((1024, len(STARTS) + 1), np.int64)
+    def __init__(self):
+        super().__init__()
+        self.table = np.zeros((1024, len(STARTS) + 1), np.int64)
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
@@ -87,39 +89,87 @@ class _Seen:
         return _with(self.rows[self.own[k]], self.chain[self.own[k]])
 
 
-def fit_chain(rows: list, labels: list[np.ndarray], folds: int = FOLDS) -> list[Ftrl]:
-    """One model a category. What a model sees of the categories before it are predictions by models that had not seen the row."""
-    chain, models = [[] for _ in rows], []
-    fold = np.arange(len(rows)) % folds
-    new = lambda: Ftrl(SIZE + len(labels), alpha=0.3, l1=1.5)
+def folds_of(rows: list, folds: int = FOLDS) -> np.ndarray:
+    """The fold of each row, by its features: equal texts are in one fold."""
+    return np.array([xxhash.xxh3_64_intdigest(np.asarray(at, "<u4").tobytes()) % folds for at, _ in rows], np.int64)
+
+
+def _fitted(rows: list, chain: list, y: np.ndarray, own) -> Ftrl:
+    return Ftrl(SIZE + len(CATEGORIES), alpha=0.3, l1=1.5).fit(_Seen(rows, chain, own), y[own])
+
+
+def fit_chain(rows: list, labels: list[np.ndarray], folds: int = FOLDS, each: Callable = lambda f, n: list(map(f, range(n)))) -> list[Ftrl]:
+    """One model a category. What a model sees of the categories before it are predictions by models that had not seen the row.
+
+    `each(f, n)` gives f(0), ..., f(n - 1): the fits of a category don't depend on each other.
+    """
+    chain, models, fold = [[] for _ in rows], [], folds_of(rows, folds)
     for y in labels:
-        before = [list(c) for c in chain]
-        models.append(new().fit(_Seen(rows, before, range(len(rows))), y))
-        for k in range(folds):
-            own = np.flatnonzero(fold != k)
-            model = new().fit(_Seen(rows, before, own), y[own])
-            for i in np.flatnonzero(fold == k):
-                at, x = _with(rows[i], before[i])
-                chain[i] = [*chain[i], float(probability(model.weights(at) @ x + model.bias()))]
+
+        def one(k: int, before=[list(c) for c in chain], y=y):  # noqa: B006
+            """The model of a category (k = 0), or what a model that has not seen fold k - 1 says of it."""
+            if not k:
+                return _fitted(rows, before, y, np.arange(len(rows)))
+            model = _fitted(rows, before, y, np.flatnonzero(fold != k - 1))
+            out = [_with(rows[i], before[i]) for i in np.flatnonzero(fold == k - 1)]
+            return [float(probability(model.weights(at) @ x + model.bias())) for at, x in out]
+
+        model, *said = each(one, folds + 1)
+        models.append(model)
+        for k, own in enumerate(said):
+            for i, p in zip(np.flatnonzero(fold == k), own, strict=True):
+                chain[i] = [*chain[i], p]
     return models
 
 
-def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, list[str]] | None = None, rows: int = TRAIN_DOCS) -> list[Ftrl]:
-    """The chain, learned from at most `rows` labelled documents."""
-    categories = CATEGORIES if categories is None else categories
-    chosen = sample(labels, "toxic", rows)
-    # which seed words a document has is told by its features: a word's own number
-    found, y = featured(docs, chosen, counted, "toxic")
-    seeds = {c: np.array([numbers(w)[0] * len(TIMES) for w in words], np.int64) for c, words in categories.items()}
-    return fit_chain(found, [np.array([y[i] * (not len(seeds[c]) or bool(np.isin(seeds[c], found[i][0]).any())) for i in range(len(found))], float) for c in categories])
+def on_executors(spark: SparkSession) -> Callable:
+    """`each` of fit_chain with a task for each fit; what f refers to is of bounded size and broadcast."""
+
+    def each(f, n):
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(f))
+
+        def run(batches):
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(pickle.loads(shared.value)(k))], pa.binary())], names=["k", "out"])
+
+        got = spark.range(0, n, 1, n).mapInArrow(run, "k long, out binary").collect()
+        return [pickle.loads(r["out"]) for r in sorted(got, key=lambda r: r["k"])]
+
+    return each
+
+
+def kinds(rows: list, toxic: np.ndarray) -> list[np.ndarray]:
+    """The labels of each category. Toxic documents fall into two kinds along the main direction in which those words and beginnings
+    vary over them that are much more frequent in toxic documents than in others."""
+    groups = [np.unique(np.asarray(at, np.int64) // len(TIMES)) for at, _ in rows]
+    seen = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(g for g, t in zip(groups, toxic, strict=True) if t == k)]), minlength=SIZE // len(TIMES)) for k in (0, 1)]
+    odds = np.log((seen[1] + 0.5) / (toxic.sum() + 1)) - np.log((seen[0] + 0.5) / (len(toxic) - toxic.sum() + 1))
+    telling = np.sort(np.argsort(-odds * np.sqrt(seen[1]), kind="stable")[:TELLING])
+    own = np.flatnonzero(toxic)
+    x = np.array([np.isin(telling, groups[i]) for i in own], float).reshape(len(own), len(telling))
+    first = np.zeros(len(toxic), bool)
+    if len(own) > 1:
+        x -= x.mean(axis=0)
+        along = np.linalg.svd(x, full_matrices=False)[2][0]
+        first[own] = x @ along * np.sign(along[np.argmax(np.abs(along))]) > 0
+    return [(toxic.astype(bool) & first).astype(float), (toxic.astype(bool) & ~first).astype(float), toxic]
+
+
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS) -> list[Ftrl]:
+    """The chain, learned from at most `rows` labelled documents; a doc_id that is repeated counts once."""
+    found, y = featured(docs, sample(labels, "toxic", rows), counted, "toxic")
+    return fit_chain(found, kinds(found, y), each=on_executors(docs.sparkSession))
 
 
-def scored(docs: DataFrame, models: list[Ftrl], categories: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
+def scored(docs: DataFrame, models: list[Ftrl], threshold: float = 0.5) -> DataFrame:
     """doc_id, a probability p_<category> for each category, and `rejected` (the last one reaches the threshold) of every row; one pass, no shuffle.
 
-    Null and empty texts have no features and score as the bias says. Without labels all probabilities are 0.5 and nothing is rejected.
+    Null and empty texts have no features and score as the bias says. Repeated rows score alike; long texts are taken whole;
+    columns besides doc_id and text are left alone, whatever their names. Without labels all probabilities are 0.5 and
+    nothing is rejected. An empty table gives no rows.
     """
-    categories = list(CATEGORIES) if categories is None else categories
+    categories = CATEGORIES
     trained = any(m.n.any() or m.bias_n for m in models)
     sparse = [(np.flatnonzero(w := m.weights()), w[w != 0], m.bias()) for m in models]
     shared = docs.sparkSession.sparkContext.broadcast((len(models[0].z), sparse))

@@ -1,6 +1,9 @@
 """A pipeline over the documents: toxicity, near duplicates, benchmark passages, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept and is written and read again.
+In every stage a row is judged by its own text, whatever its doc_id: null and repeated ids are rows like others. A null or empty text
+has nothing to reject, is no copy of anything and stays. Columns besides those of documents ride along, whatever their
+names, but for those that a stage adds (the last: size, shard, slot) or that begin with two underscores. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,12 +59,15 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated as the mix of 150 % of the words asks, sources weighing 3, 1, 2 and at most 2 epochs."""
-    return mixing.repeat(mixing.mix(docs, mixing.word_count(), keep=docs.columns).select(*docs.columns, "copies"))
+    """Documents repeated as the mix of 150 % of the words asks, sources weighing 3, 1, 2 and at most 2 epochs. A source without words gives no rows."""
+    # columns with names that the mix uses ride along under others
+    names = {c: f"__kept_{i}" if c in mixing.ADDED else c for i, c in enumerate(docs.columns)}
+    mixed = mixing.mix(docs.withColumnsRenamed(names), mixing.word_count(), keep=list(names.values()))
+    return mixing.repeat(mixed.select(*(F.col(own).alias(c) for c, own in names.items()), F.col("copies").alias("__copies")), "__copies")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """8 contiguous shards of near-equal bytes: the documents with size, shard and slot."""
+    """8 contiguous shards of near-equal bytes in the order of doc_id (null first): the documents with size, shard and slot, which replace columns of these names."""
     return sharding.contiguous_shards(docs, sharding.text_bytes(), ["doc_id"])
 
 

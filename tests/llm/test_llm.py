@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from axonlake.llm import chat, decontam, lmscore, mixing, neardup, pii, quality, sharding, topk, toxicity
 from axonlake.llm.attention import CONTEXT, STEP, Attention, Scorer
+from axonlake.llm.linear import Ftrl, featured
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, size string"
@@ -125,10 +126,32 @@ def test_decontamination_keeps_templates_of_items_with_low_windows(spark):
 # 2
 
 
-def test_water_filling_gives_excess_to_the_rest():
-    assert mixing.water_fill([10, 100, 100], [1, 1, 1], 150, 2) == [20, 65, 65]
-    assert mixing.water_fill([], [], 0, 2) == []
-    assert sum(mixing.water_fill([5, 7], [1, 0], 100, 2)) == 10
+def plain_water_fill(sizes, weights, total, epochs):
+    """Source by source, clamped ones taken out until none is above."""
+    free, out = set(range(len(sizes))), [epochs * n for n in sizes]
+    while True:
+        rest, weight = total - sum(out[i] for i in range(len(sizes)) if i not in free), sum(weights[i] for i in free)
+        share = {i: weights[i] * rest / weight if weight else 0.0 for i in free}
+        above = {i for i in free if share[i] > epochs * sizes[i]}
+        if not above:
+            return [share.get(i, out[i]) for i in range(len(sizes))]
+        free -= above
+
+
+def test_water_filling_gives_excess_to_the_rest(spark):
+    rng = np.random.default_rng(8)
+    cases = [([10, 100, 100], [1.0, 1.0, 1.0], 150.0), ([5, 7], [1.0, 0.0], 100.0), (rng.integers(0, 50, 40).tolist(), rng.integers(1, 9, 40).astype(float).tolist(), 1500.0)]
+    for sizes, weights, total in cases:
+        got = mixing.water_fill(spark.createDataFrame([(i, n, w) for i, (n, w) in enumerate(zip(sizes, weights, strict=True))], "i long, size long, weight double"), total, 2)
+        assert np.allclose([r["target"] for r in got.orderBy("i").collect()], plain_water_fill(sizes, weights, total, 2))
+    assert plain_water_fill([10, 100, 100], [1, 1, 1], 150, 2) == [20, 65, 65]
+    assert mixing.water_fill(spark.createDataFrame([], "size long, weight double"), 0.0, 2).count() == 0
+
+
+def test_sources_are_numbered_by_code_point(spark):
+    names = ["b", "é", None, "a", "Z", "\U0001f600", "\uffee"]
+    got = mixing.numbered(spark.createDataFrame([(n,) for n in names], "source string"), [F.col("source").asc_nulls_last()]).collect()
+    assert {r["source"]: r["number"] for r in got} == {n: k for k, n in enumerate([*sorted(filter(None, names)), None])}
 
 
 def test_mix_handles_odd_rows(odd, none):
@@ -163,6 +186,81 @@ def test_chain_learns_and_feeds_forward(docs, spark):
     assert test.loc[test["toxic"] == 0, "rejected"].mean() < 0.02
 
 
+def plain_ftrl(rows, labels, order, alpha, l1, beta=1.0, l2=1.0):
+    """Follow the regularised leader, feature by feature; gives the margin of a row."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if i == "bias":
+            return -z[i] / ((beta + math.sqrt(n[i])) / alpha)
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    def margin(row):
+        return sum(weight(i) * x for i, x in row) + weight("bias")
+
+    for k in order:
+        row = [(int(i), float(x)) for i, x in zip(*rows[k], strict=True)]
+        weights, g = {i: weight(i) for i, _ in [*row, ("bias", 1.0)]}, 1 / (1 + math.exp(-margin(row))) - labels[k]
+        for i, x in [*row, ("bias", 1.0)]:
+            z[i] += g * x - (math.sqrt(n[i] + (g * x) ** 2) - math.sqrt(n[i])) / alpha * weights[i]
+            n[i] += (g * x) ** 2
+    return margin
+
+
+def some_rows(n=60):
+    rng = np.random.default_rng(6)
+    rows = [(np.sort(rng.choice(40, 6, replace=False)), rng.uniform(0.5, 1, 6)) for _ in range(n)]
+    return rows, np.array([float(3 in at or 5 in at) for at, _ in rows])
+
+
+def test_ftrl_equals_a_plain_loop():
+    rows, y = some_rows()
+    model, rng = Ftrl(40, alpha=0.3, l1=0.5).fit(rows, y, epochs=2, seed=3), np.random.default_rng(3)
+    margin = plain_ftrl(rows, y, np.concatenate([rng.permutation(60) for _ in range(2)]), 0.3, 0.5)
+    for at, x in rows:
+        assert math.isclose(model.weights(at) @ x + model.bias(), margin(list(zip(at.tolist(), x.tolist(), strict=True))), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_chain_equals_a_plain_loop():
+    rows, y = some_rows()
+    rows = [(at, np.ones(6)) for at, _ in rows] + [(rows[0][0], np.ones(6))]
+    y = np.append(y, y[0])
+    labels, fold = toxicity.kinds(rows, y), toxicity.folds_of(rows)
+    assert ((labels[0] + labels[1]) == y).all() and labels[0].any() and labels[1].any() and fold[0] == fold[-1]
+    models, chain = toxicity.fit_chain(rows, labels), [[] for _ in rows]
+    for c, own in enumerate(labels):
+        with_chain = [[*zip(at.tolist(), x.tolist(), strict=True), *((toxicity.SIZE + k, p) for k, p in enumerate(ps))] for (at, x), ps in zip(rows, chain, strict=True)]
+        as_arrays = [tuple(map(np.array, zip(*r, strict=True))) for r in with_chain]
+
+        def fitted(part, own=own, as_arrays=as_arrays):
+            rng = np.random.default_rng(0)
+            return plain_ftrl([as_arrays[i] for i in part], own[part], np.concatenate([rng.permutation(len(part)) for _ in range(3)]), 0.3, 1.5)
+
+        whole = fitted(np.arange(len(rows)))
+        for r, a in zip(with_chain, as_arrays, strict=True):
+            assert math.isclose(models[c].weights(a[0].astype(int)) @ a[1] + models[c].bias(), whole(r), rel_tol=1e-6, abs_tol=1e-9)
+        for k in range(toxicity.FOLDS):
+            blind = fitted(np.flatnonzero(fold != k))
+            for i in np.flatnonzero(fold == k):
+                chain[i] = [*chain[i], 1 / (1 + math.exp(-blind(with_chain[i])))]
+
+
+def test_a_repeated_id_trains_once(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (2, "x " * 9000)], "doc_id long, text string")
+    rows, y = featured(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), toxicity.counted, "toxic")
+    assert y.tolist() == [1.0, 0.0] and len(rows[1][0]) == 4 * 2
+
+
+def test_trained_chain_on_odd_rows(spark, odd):
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i % 5} " + "vile " * (i % 3 == 0)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    models = toxicity.learn(docs, labels)
+    rows = odd.select("doc_id", "text", F.lit("x").alias("p_toxic")).union(spark.createDataFrame([(9, "vile", "x"), (9, "vile", "x"), (8, "vile " * 90_000, "x")], "doc_id long, text string, p_toxic string"))
+    got = toxicity.scored(rows, models).collect()
+    assert len(got) == len(ODD) + 3 and got[0].__fields__ == ["doc_id", "p_kind_1", "p_kind_2", "p_toxic", "rejected"]
+    assert [r["rejected"] for r in got if r["doc_id"] == 9] == [True, True] and len({tuple(r) for r in got if r["doc_id"] in (3, 9)}) == 2
+
+
 def test_chain_of_nothing_rejects_nothing(odd, none, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.scored(odd, toxicity.learn(odd, labels)).collect()

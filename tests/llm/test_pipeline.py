@@ -1,6 +1,8 @@
 """The pipeline's stages against brute force on the smallest tables, and on odd rows with clashing columns."""
 
+import hashlib
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,8 +79,14 @@ def test_odd_rows_and_clashing_columns(spark, name):
     rows = spark.createDataFrame(ODD, "doc_id long, text string, source string, size string").withColumns({"lang": F.lit(None).cast("string"), "n_chars": F.lit(1).cast("long"), "shard": F.lit("x"), "node": F.lit(1), "kept": F.lit(1)})
     got = f(spark, rows, SF)
     assert set(rows.columns) <= set(got.columns)
-    n = got.count()
-    assert n == len(ODD) if name in ("toxicity", "decontamination", "sharding") else n >= 0
+    ids = Counter(r["doc_id"] for r in got.collect())
+    want = Counter(r[0] for r in ODD)
+    if name == "near_duplicates":  # of the three rows of the same words, one stays
+        want = Counter([1, 2, 3, 4, 5])
+    elif name == "mixing":  # source b has its whole epoch and 2,495.5 words more, which the middle of row 4 doesn't reach; a and é are clamped; no source: no words
+        before = lambda i: hashlib.md5(f"0:{i}".encode()).hexdigest() < hashlib.md5(b"0:4").hexdigest()  # noqa: E731, S324
+        want = Counter({3: 4, None: 2, 4: 1, 1: 1 + before(1), 5: 1 + before(5)})
+    assert ids == want
     assert f(spark, rows.limit(0), SF).count() == 0
 
 
