@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections import Counter
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,47 +95,22 @@ def _fitted(rows: list, chain: list, y: np.ndarray, own) -> Ftrl:
     return Ftrl(SIZE + len(CATEGORIES), alpha=0.3, l1=1.5).fit(_Seen(rows, chain, own), y[own])
 
 
-def fit_chain(rows: list, labels: list[np.ndarray], folds: int = FOLDS, each: Callable = lambda f, n: list(map(f, range(n)))) -> list[Ftrl]:
+def fit_chain(rows: list, labels: list[np.ndarray], folds: int = FOLDS) -> list[Ftrl]:
     """One model a category. What a model sees of the categories before it are predictions by models that had not seen the row.
-
-    `each(f, n)` gives f(0), ..., f(n - 1): the fits of a category don't depend on each other.
+    The rows are bounded (TRAIN_DOCS), so the fits run on the driver: sending the rows to tasks takes more disk than the fits take time.
     """
     chain, models, fold = [[] for _ in rows], [], folds_of(rows, folds)
     for y in labels:
-
-        def one(k: int, before=[list(c) for c in chain], y=y):  # noqa: B006
-            """The model of a category (k = 0), or what a model that has not seen fold k - 1 says of it."""
-            if not k:
-                return _fitted(rows, before, y, np.arange(len(rows)))
-            model = _fitted(rows, before, y, np.flatnonzero(fold != k - 1))
-            out = [_with(rows[i], before[i]) for i in np.flatnonzero(fold == k - 1)]
-            return [float(probability(model.weights(at) @ x + model.bias())) for at, x in out]
-
-        model, *said = each(one, folds + 1)
-        models.append(model)
-        for k, own in enumerate(said):
-            for i, p in zip(np.flatnonzero(fold == k), own, strict=True):
-                chain[i] = [*chain[i], p]
+        before = [list(c) for c in chain]
+        models.append(_fitted(rows, before, y, np.arange(len(rows))))
+        for k in range(folds):
+            model = _fitted(rows, before, y, np.flatnonzero(fold != k))
+            for i in np.flatnonzero(fold == k):
+                at, x = _with(rows[i], before[i])
+                chain[i] = [*chain[i], float(probability(model.weights(at) @ x + model.bias()))]
     return models
 
 
-def on_executors(spark: SparkSession) -> Callable:
-    """`each` of fit_chain with a task for each fit; what f refers to is of bounded size and broadcast."""
-
-    def each(f, n):
-        shared = spark.sparkContext.broadcast(cloudpickle.dumps(f))
-
-        def run(batches):
-            for b in batches:
-                for k in b.column(0).to_pylist():
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(pickle.loads(shared.value)(k))], pa.binary())], names=["k", "out"])
-
-        got = spark.range(0, n, 1, n).mapInArrow(run, "k long, out binary").collect()
-        return [pickle.loads(r["out"]) for r in sorted(got, key=lambda r: r["k"])]
-
-    return each
-
-
 def kinds(rows: list, toxic: np.ndarray) -> list[np.ndarray]:
     """The labels of each category. Toxic documents fall into two kinds along the main direction in which those words and beginnings
     vary over them that are much more frequent in toxic documents than in others."""
@@ -159,7 +131,7 @@ def kinds(rows: list, toxic: np.ndarray) -> list[np.ndarray]:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS) -> list[Ftrl]:
     """The chain, learned from at most `rows` labelled documents; a doc_id that is repeated counts once."""
     found, y = featured(docs, sample(labels, "toxic", rows), counted, "toxic")
-    return fit_chain(found, kinds(found, y), each=on_executors(docs.sparkSession))
+    return fit_chain(found, kinds(found, y))
 
 
 def scored(docs: DataFrame, models: list[Ftrl], threshold: float = 0.5) -> DataFrame:
