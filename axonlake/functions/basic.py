@@ -122,8 +122,9 @@ def redact(text: Column, payload: int = 4096) -> Column:
 
 
 def body_between(text: Column, start: str, end: str) -> Column:
-    """What lies between two markers, trimmed; null if a marker is missing."""
-    at, stop = F.instr(text, F.lit(start)), F.instr(text, F.lit(end))
+    """What lies between a marker and the first end marker after it, trimmed; null if one is missing."""
+    at = F.instr(text, F.lit(start))
+    stop = F.call_function("locate", F.lit(end), text, at + len(start))
     inside = F.substr(text, at + len(start), stop - at - len(start))
     return F.when((at > 0) & (stop >= at + len(start)), F.trim(inside))
 
@@ -137,9 +138,8 @@ def utf8_cut(text: Column, most: int) -> Column:
 
 def byte_tokens(text: Column) -> Column:
     """The UTF-8 bytes of a text as token ids 0 to 255; specials begin at 256."""
-    h = F.hex(F.encode(text, "UTF-8"))
-    n = F.octet_length(text)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))).when(n == 0, F.array().cast("array<int>"))
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("[0-9A-F]{2}"), F.lit(0))
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def learning_rate(step: Column, base: float, kind: str = "constant", warm: int = 0, total: int = 0, every: int = 1, factor: float = 0.1) -> Column:

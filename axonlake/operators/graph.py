@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import math
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axonlake.functions.basic import is_unknown
+from axonlake.functions.basic import divided, is_unknown
 from axonlake.operators.order import dense_index, first_rows, seeded
 
 EDGE_REASONS = ["null_endpoint", "invalid_id", "missing_annotation", "predicate_false", "kept"]
@@ -74,6 +79,26 @@ def endpoints(rows: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return rows.select(F.col(src).alias("id")).union(rows.select(F.col(dst).alias("id"))).where("id is not null").distinct()
 
 
+def prediction_profile(predictions: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
+    """One row: rows, null and invalid (negative) ids, unique ids, rows beyond the first of their id, rows with an unknown label and their share."""
+    valid, unknown = F.when(F.col(key) >= 0, F.col(key)), is_unknown(F.col(label))
+    out = predictions.agg(F.count("*").alias("n_rows"), F.count_if(F.col(key).isNull()).alias("null_ids"), F.count_if(F.col(key) < 0).alias("invalid_ids"), F.count_distinct(valid).alias("unique_ids"), F.count(valid).alias("valid_rows"), F.count_if(unknown).alias("unknown_rows"))
+    return out.select("n_rows", "null_ids", "invalid_ids", "unique_ids", (F.col("valid_rows") - F.col("unique_ids")).alias("duplicate_rows"), "unknown_rows", divided(F.col("unknown_rows"), F.col("n_rows")).alias("unknown_ratio"))
+
+
+def lookup_counts(nodes: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
+    """One row: nodes that the table has, nodes that it lacks, its ids with several rows and the rows beyond their first."""
+    per = table.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    found = nodes.select(key).join(per, key, "left").agg(F.count("n").alias("matched"), F.count_if(F.col("n").isNull()).alias("missing"))
+    return found.crossJoin(per.agg(F.count_if(F.col("n") > 1).alias("duplicate_ids"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows")))  # one row each
+
+
+def distinct_windows(windows: DataFrame, low: str, high: str, ordinal: str) -> DataFrame:
+    """(low, high, position): each window once, positions by the least ordinal at which it is seen."""
+    first = windows.groupBy(low, high).agg(F.min(ordinal).alias("__first"))
+    return dense_index(first, ["__first"], "position").drop("__first")
+
+
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: rows, nulls, negatives, zeros, sum of what is known and whether that sum is valid (no negatives); one pass."""
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns)))
@@ -165,38 +190,37 @@ def topology_digest(edges: DataFrame) -> str:
     return out.hexdigest()
 
 
-def rewire(edges: DataFrame, fraction: float, seeds: DataFrame) -> DataFrame:
-    """Degree-preserving variants: for each seed, ceil(fraction * edges) double-edge swaps; swaps that give a self loop or an existing pair are refused and counted.
+def rewire(edges: DataFrame, fraction: float, seeds: list[int], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Degree-preserving variants: for each seed ceil(fraction * edges) attempts to swap the targets of two edges, with what became of them.
 
-    A variant is one sequential task of applyInPandas, and variants run side by side, so edges must fit a task's memory.
-    Returns (seed, src, dst, ord, swapped, refused_loop, refused_duplicate).
+    An attempt that gives a self loop or a pair that is there already is refused and counted. Attempts are made in rounds: edges are
+    ordered by a seeded hash, neighbours in that order form pairs that share no edge, joins tell which new pairs exist, and of
+    attempts that propose one pair the first counts. So no task holds a variant. `cut` writes a table and reads it back.
+    Edges with a repeated (src, dst) are an error. Returns (seed, src, dst, ord, swapped, refused_loop, refused_duplicate).
     """
-    import math
-
-    import numpy as np
-    import pandas as pd
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord")
-        rng = np.random.default_rng(int(group["seed"].iloc[0]))
-        src, dst = group["src"].to_numpy().copy(), group["dst"].to_numpy().copy()
-        pairs, n = set(zip(src.tolist(), dst.tolist(), strict=True)), len(src)
-        want, done, loops, copies = math.ceil(fraction * n), 0, 0, 0
-        for _ in range(100 * want):
-            if done == want or n < 2:
-                break
-            i, j = rng.integers(0, n, 2).tolist()
-            a, b, c, d = int(src[i]), int(dst[i]), int(src[j]), int(dst[j])
-            if a == d or c == b:
-                loops += 1
-            elif i == j or (a, d) in pairs or (c, b) in pairs:
-                copies += 1
-            else:
-                pairs -= {(a, b), (c, d)}
-                pairs |= {(a, d), (c, b)}
-                dst[i], dst[j], done = d, b, done + 1
-        return pd.DataFrame({"seed": group["seed"], "src": src, "dst": dst, "ord": group["ord"], "swapped": done, "refused_loop": loops, "refused_duplicate": copies})
-
-    each = edges.select("src", "dst", "ord").crossJoin(F.broadcast(seeds.select("seed")))  # a copy of the edges for each of the few variants asked for
-    return each.groupBy("seed").applyInPandas(one, "seed long, src long, dst long, ord long, swapped long, refused_loop long, refused_duplicate long")
-
+    edges = cut(edges.select("src", "dst", "ord"))
+    n, distinct = edges.agg(F.count("*"), F.count_distinct("src", "dst")).first()
+    if distinct < n:
+        raise ValueError("a graph with repeated pairs can't be rewired")
+    variants = []
+    for seed in seeds:
+        own, left, counts, turn = edges, math.ceil(fraction * n), Counter(), 0
+        while left and n > 1:
+            draw = F.conv(F.substring(seeded(seed, F.lit(str(turn)), "ord"), 1, 15), 16, 10).cast("long")
+            placed = dense_index(own.withColumn("draw", draw), ["draw", "ord"], "at").withColumn("pair", F.floor(F.col("at") / 2))
+            tries, edge = min(left, n // 2), F.struct("src", "dst", "ord")
+            both = placed.where(F.col("pair") < tries).groupBy("pair").agg(F.min_by(edge, "at").alias("e"), F.max_by(edge, "at").alias("f"))
+            swapped = F.array(F.struct("e.src", F.col("f.dst").alias("dst"), "e.ord"), F.struct("f.src", F.col("e.dst").alias("dst"), "f.ord"))
+            asked = both.select("pair", F.explode(swapped).alias("x")).select("pair", "x.*")
+            first = asked.groupBy("src", "dst").agg(F.min("pair").alias("first"))
+            seen = asked.join(first, ["src", "dst"]).join(own.select("src", "dst", F.lit(True).alias("there")), ["src", "dst"], "left")
+            loop, taken = F.max(F.col("src") == F.col("dst")).alias("loop"), F.max((F.col("first") < F.col("pair")) | F.col("there").isNotNull()).alias("taken")
+            verdict = cut(seen.groupBy("pair").agg(loop, taken, F.collect_list(F.struct("ord", "dst")).alias("new")))
+            for r in verdict.groupBy("loop", "taken").agg(F.count("*").alias("n")).collect():
+                counts["loop" if r["loop"] else "taken" if r["taken"] else "swapped"] += r["n"]
+            new = verdict.where("not loop and not taken").select(F.explode("new").alias("x")).select("x.ord", F.col("x.dst").alias("new"))
+            own = cut(own.join(new, "ord", "left").select("src", F.coalesce("new", "dst").alias("dst"), "ord"))
+            left, turn = left - tries, turn + 1
+        said = {"swapped": counts["swapped"], "refused_loop": counts["loop"], "refused_duplicate": counts["taken"]}
+        variants.append(own.select(F.lit(seed).cast("long").alias("seed"), "src", "dst", "ord", *(F.lit(v).cast("long").alias(k) for k, v in said.items())))
+    return functools.reduce(DataFrame.unionByName, variants)

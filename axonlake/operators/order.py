@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from axonlake.sources.shared import stash
 
-def dense_index(df: DataFrame, keys: list[str], name: str = "index", ranges: int = 64) -> DataFrame:
-    """df with its position, from 0, in the order of `keys` (null first).
 
-    The leading key is cut into ranges at approximate quantiles; rows are numbered within their range and ranges
-    are offset by the counts before them, so no task sorts the whole table. Rows with equal keys get positions in any order.
+def dense_index(df: DataFrame, keys: list[str], name: str = "index") -> DataFrame:
+    """df with its position, from 0, in the order of `keys` (null first), whatever their types.
+
+    Rows are range-partitioned by all keys and sorted in their ranges, written once, and ranges count on from those before them, so no
+    task sorts the whole table and a frequent leading value is cut apart by the other keys. Rows with equal keys get positions in any order.
     """
-    lead = F.col(keys[0])
-    cuts = df.agg(F.percentile_approx(keys[0], [i / ranges for i in range(1, ranges)], 1000)).first()[0] if dict(df.dtypes)[keys[0]] in ("int", "bigint", "double", "float", "smallint", "tinyint") else None
-    cuts = sorted(set(cuts or []))
-    part = F.size(F.filter(F.lit(cuts), lambda c: c < lead)) if cuts else F.lit(0)
-    placed = df.withColumn("__range", F.when(lead.isNull(), -1).otherwise(part))
-    counts = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    rows = stash(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__order_at", F.monotonically_increasing_id()), "positions")
+    part, row = F.shiftright("__order_at", 33), F.col("__order_at").bitwiseAND((1 << 33) - 1)  # of the range, and in it
+    counts = rows.groupBy(part.alias("__range")).agg(F.count("*").alias("__n"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     offsets = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
-    own = Window.partitionBy("__range").orderBy(*(F.col(k).asc_nulls_first() for k in keys))
-    return placed.withColumn("__pos", F.row_number().over(own)).join(F.broadcast(offsets), "__range").withColumn(name, (F.col("__from") + F.col("__pos") - 1).cast("long")).drop("__range", "__pos", "__from")
+    placed = rows.withColumn("__range", part).join(F.broadcast(offsets), "__range")
+    return placed.withColumn(name, (F.col("__from") + row).cast("long")).drop("__range", "__order_at", "__from")
 
 
 def first_rows(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:

@@ -12,7 +12,7 @@ QUERY_BLOCK = 4096
 
 
 def nearest(queries: DataFrame, rows: DataFrame, places: int = 6) -> DataFrame:
-    """(query_id, vec_id, hit, sim): for each query the most similar other row, similarity rounded; ties to the lowest id; hit: same label.
+    """(query_id, vec_id, hit, sim): for each query the most similar other row, similarity rounded for output only; ties to the lowest id; hit: same label.
 
     A stated set of queries meets all rows in blocks: blocks of queries are broadcast and each scan keeps one best row
     per query and task before the shuffle. Vectors without length are left out.
@@ -24,8 +24,8 @@ def nearest(queries: DataFrame, rows: DataFrame, places: int = 6) -> DataFrame:
     for b in range(blocks):
         own = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         met = unit(rows).join(F.broadcast(own), F.col("vec_id") != F.col("query_id"))
-        sim = F.round(dot(F.col("__x"), F.col("q")) / (F.col("__n") * F.col("qn")), places)
-        best = F.max_by(F.struct("vec_id", (F.col("label") == F.col("q_label")).alias("hit"), sim.alias("sim")), F.struct(sim.alias("s"), (-F.col("vec_id")).alias("v")))
+        sim = dot(F.col("__x"), F.col("q")) / (F.col("__n") * F.col("qn"))
+        best = F.max_by(F.struct("vec_id", (F.col("label") == F.col("q_label")).alias("hit"), F.round(sim, places).alias("sim")), F.struct(sim.alias("s"), (-F.col("vec_id")).alias("v")))
         parts.append(met.groupBy("query_id").agg(best.alias("x")).select("query_id", "x.*"))
     out = parts[0]
     for p in parts[1:]:

@@ -89,7 +89,7 @@ def spiking_run(spark, d):
     return kernels.lif_run(variants, list(range(25)), dict.fromkeys(range(5), 12.0), 20)
 
 
-@query(f"WITH {NR}, e AS (SELECT src, dst, count(*) / 100.0 AS w FROM nr GROUP BY 1, 2) SELECT src, dst, round(least(1.5, greatest(0.0, w + 0.1 * (0.5 * 0.2 + (src % 5) * (dst % 3)))), 6) AS weight, round(0.5 * 0.2 + (src % 5) * (dst % 3), 6) AS eligibility FROM e")
+@query(f"WITH {NR}, e AS (SELECT src, dst, count(*) / 100.0 AS w FROM nr GROUP BY 1, 2) SELECT src, dst, round(least(1.5, greatest(0.0, w + 0.1 * (0.5 * 0.2 + (src % 5) * (dst % 3)))), 6) AS weight, round(CAST(0.5 * 0.2 + (src % 5) * (dst % 3) AS DOUBLE), 6) AS eligibility FROM e")
 def plasticity_step(spark, d):
     e = nations(spark, d).groupBy("src", "dst").agg((F.count("*") / 100.0).alias("weight")).withColumn("eligibility", F.lit(0.2))
     # activity before is id % 5 on one side and id % 3 on the other, so the sides are told apart by two calls' inputs
@@ -106,7 +106,7 @@ def receptor_occupancy(spark, d):
     return kernels.occupancy(r, s.select(F.col("s_suppkey").alias("region"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).otherwise(0.0).alias("concentration"))).select("cell", six("occupancy").alias("occupancy"), "assumed")
 
 
-@query("WITH r AS (SELECT n_nationkey AS region, n_nationkey * 0.8 + 1 AS c FROM nation) SELECT (region + k) % 25 AS region, round(sum(c * CASE k WHEN 0 THEN 0.75 ELSE 0.25 END), 6) AS concentration FROM r, (SELECT unnest([0, 1]) AS k) GROUP BY 1")
+@query("WITH r AS (SELECT n_nationkey AS region, n_nationkey * 0.8 + 1 AS c FROM nation) SELECT (region + k) % 25 AS region, round(sum(CAST(c * CASE k WHEN 0 THEN 0.75 ELSE 0.25 END AS DOUBLE)), 6) AS concentration FROM r, (SELECT unnest([0, 1]) AS k) GROUP BY 1")
 def regional_step(spark, d):
     n = table(spark, d, "nation")
     regions = n.select(F.col("n_nationkey").alias("region"), F.col("n_nationkey").cast("double").alias("concentration"), F.lit(1.0).alias("release"))

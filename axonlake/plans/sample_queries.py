@@ -47,10 +47,10 @@ def split_by_source(spark, d):
 
 @query(None)
 def group_safe_split(spark, d):
-    """No conversation parity class and no role-free group on both sides; tests check the sides."""
+    """Every three conversations have a speaker, every four a session; no group that they connect is on both sides; tests check the sides."""
     from axonlake.sources.shared import stash
 
-    c = table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") % 11).alias("speaker"), F.expr("conv_id div 5").alias("session")).where("conv_id % 11 = (conv_id div 5) % 11 or conv_id % 13 = 0")
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.expr("conv_id div 3").alias("speaker"), F.expr("conv_id div 4").alias("session"))
     return sampling.group_safe_split(c, ("speaker", "session"), 0.3, lambda df: stash(df, "split"))
 
 
@@ -95,14 +95,15 @@ def perplexity(spark, d):
     return sampling.perplexity(s, ["source"]).select("source", "tokens", six("mean_nll").alias("mean_nll"), six("perplexity").alias("perplexity"))
 
 
-@query("WITH p AS (SELECT a.conv_id, left(a.text, 60) AS ref, left(b.text, 60) AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1 WHERE octet_length(encode(left(a.text, 60))) = length(left(a.text, 60)) AND octet_length(encode(left(b.text, 60))) = length(left(b.text, 60))) SELECT CAST(sum(levenshtein(ref, hyp)) AS BIGINT) AS edits, CAST(sum(length(ref)) AS BIGINT) AS ref_length, round(sum(levenshtein(ref, hyp)) / nullif(sum(length(ref)), 0), 6) AS rate, count(*) FILTER (ref = hyp) AS exact FROM p")
+@query("WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') AS t FROM conversations), p AS (SELECT a.t AS ref, b.t AS hyp FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1) SELECT CAST(sum(levenshtein(ref, hyp)) AS BIGINT) AS edits, CAST(sum(length(ref)) AS BIGINT) AS ref_length, round(sum(levenshtein(ref, hyp)) / nullif(sum(length(ref)), 0), 6) AS rate, round(avg(CASE WHEN ref = hyp THEN 1 ELSE 0 END), 6) AS exact FROM p")
 def cer_distance(spark, d):
-    c = table(spark, d, "conversations")
-    own = lambda t, n: c.where(F.col("turn") == t).select("conv_id", F.substring("text", 1, 60).alias(n))
-    ascii = lambda c: F.octet_length(c) == F.length(c)  # noqa: E731  (the SQL engine's distance counts bytes)
-    p = own(0, "ref").join(own(1, "hyp"), "conv_id").where(ascii("ref") & ascii("hyp"))
-    edits, length = F.sum(F.levenshtein("ref", "hyp")), F.sum(F.length("ref"))
-    return p.agg(edits.cast("long").alias("edits"), length.alias("ref_length"), six(basic.divided(edits, length)).alias("rate"), F.count_if(F.col("ref") == F.col("hyp")).alias("exact"))
+    """Character error rate of each second turn against the first; signs beyond ASCII are one sign, as the SQL engine's distance counts bytes."""
+    from axonlake.operators import text
+
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?").alias("t"))
+    own = lambda t, n: c.where(F.col("turn") == t).select("conv_id", F.col("t").alias(n))
+    counted = text.edit_counts(own(0, "reference").join(own(1, "hypothesis"), "conv_id"))
+    return text.corpus_rate(counted, []).select("edits", "ref_length", six("rate").alias("rate"), six("exact").alias("exact"))
 
 
 @query(None)
@@ -129,9 +130,9 @@ def topk_topp(spark, d):
     return sampling.top_k_p(c, ["l_returnflag", "l_linenumber"], 10, 30, "id", "n").select("l_returnflag", "l_linenumber", "id", "rank", six("share").alias("share"))
 
 
-@query("WITH e AS (SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS x FROM embeddings), s AS (SELECT vec_id, x, list_sum(list_transform(x, lambda v: exp(v - list_max(x)))) AS z FROM e) SELECT vec_id, CAST(list_position(x, list_max(x)) - 1 AS INT) AS best, round(exp(x[1] - list_max(x)) / z, 6) AS p0, round(x[1] - list_max(x) - ln(z), 6) AS log_p0, round(sqrt(list_sum(list_transform(x, lambda v: v * v))), 6) AS norm FROM s")
+@query("WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), s AS (SELECT vec_id, x, list_sum(list_transform(x, lambda v: exp(v - list_max(x)))) AS z FROM e) SELECT vec_id, CAST(list_position(x, list_max(x)) - 1 AS INT) AS best, round(exp(x[1] - list_max(x)) / z, 6) AS p0, round(x[1] - list_max(x) - ln(z), 6) AS log_p0, round(sqrt(list_sum(list_transform(x, lambda v: v * v))), 6) AS norm FROM s")
 def array_functions(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("x"))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
     x = F.col("x")
     return e.select("vec_id", arrays.argmax(x).alias("best"), six(arrays.softmax(x)[0]).alias("p0"), six(arrays.log_softmax(x)[0]).alias("log_p0"), six(arrays.l2(x)).alias("norm"))
 
@@ -144,18 +145,18 @@ def ctc_decode(spark, d):
     return e.select("vec_id", frames.alias("f")).select("vec_id", arrays.ctc_collapse(F.col("f")).alias("decoded"))
 
 
-@query("SELECT doc_id, CAST(octet_length(encode(text)) AS INT) AS n, sha256(text) AS digest, CAST(list_sum(list_transform(range(0, octet_length(encode(text))), lambda i: CAST(('0x' || substr(hex(encode(text)), CAST(i * 2 + 1 AS INT), 2)) AS BIGINT))) AS BIGINT) AS total FROM documents WHERE length(text) < 600")
+@query("SELECT doc_id, CAST(octet_length(encode(text)) AS INT) AS n, sha256(text) AS digest, CAST(coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))), 0) AS BIGINT) AS total FROM documents")
 def byte_tokens(spark, d):
     t = F.col("text")
-    docs = table(spark, d, "documents").where(F.length("text") < 600).select("doc_id", "text", basic.byte_tokens(t).alias("x"))
+    docs = table(spark, d, "documents").select("doc_id", "text", basic.byte_tokens(t).alias("x"))
     return docs.select("doc_id", F.size("x").alias("n"), F.sha2(t.cast("binary"), 256).alias("digest"), F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
-@query("SELECT doc_id, length(regexp_replace(text, '(?i)\\b(api[_-]?key|token|secret|password)\\s*=\\s*\"?[^\\s\"&]+\"?', '\\1=[REDACTED]', 'g')) AS n FROM documents WHERE length(text) <= 4096 AND NOT regexp_matches(text, '(?i)bearer\\s|\\b(sk|pk|rk)-')")
+@query(r"""WITH m AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b(?:sk|pk|rk)-[A-Za-z0-9_-]{8,}', '[REDACTED_KEY]', 'g'), '(?i)bearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g'), '(?i)\b(api[_-]?key|token|secret|password)\s*=\s*"?[^\s"&]+"?', '\1=[REDACTED]', 'g'), '(?i)"(api[_-]?key|token|secret|password|authorization)"\s*:\s*"[^"]*"', '"\1":"[REDACTED]"', 'g') AS x FROM documents)
+SELECT doc_id, CASE WHEN length(text) > 4096 THEN '[PAYLOAD length=' || length(text) || ' sha256=' || left(sha256(text), 16) || ']' ELSE x END AS masked FROM m""")
 def redaction(spark, d):
-    t = F.col("text")
-    docs = table(spark, d, "documents").where((F.length(t) <= 4096) & ~t.rlike(r"(?i)bearer\s|\b(sk|pk|rk)-"))
-    return docs.select("doc_id", F.length(basic.redact(t)).cast("long").alias("n"))
+    """All masks on every whole text; a long text becomes its length and digest."""
+    return table(spark, d, "documents").select("doc_id", basic.redact(F.col("text")).alias("masked"))
 
 
 @query("WITH h AS (SELECT sha256(source) AS s, source FROM documents), p AS (SELECT source AS split, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents UNION ALL SELECT 'x', sha256(CAST(doc_id AS VARCHAR)) FROM documents WHERE doc_id % 100 = 0) SELECT h AS sha256, 'several_splits' AS problem FROM p GROUP BY 1 HAVING count(DISTINCT split) > 1")
