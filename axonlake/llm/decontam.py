@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,23 +62,48 @@ def slots(text: Column) -> Column:
     return F.transform(_filled(_marked(text)), lambda w: F.regexp_extract_all(w, F.lit(FILL), F.lit(1)))
 
 
-def _windows(words: Column, filled: Column, lengths: list[int], literals: int) -> Column:
-    """(start, hash) of each run of so many words; the hash knows the length. A run with enough literal words is hashed as a template, others with their fills."""
-    run = lambda i, n: F.when(_loose(F.slice(words, i, n), n, literals), F.slice(words, i, n)).otherwise(F.slice(filled, i, n))
+def _shaped(df: DataFrame, key: str, lengths: list[int], literals: int) -> DataFrame:
+    """df (key, text) as key and, for each n of lengths, p<n>, q<n> and c<n>: for each run of n words (by its start) its hash as a template, its hash
+    with the fills and its number of literal words. All are built up from halves in a few passes over the words; the hashes with
+    fills only for texts in which some run has fewer literal words than asked."""
+    # a column of its own for each step: computed once a row, not once a window
+    df = df.select(key, _marked(F.col("text")).alias("marked")).select(key, "marked", _bare(F.col("marked")).alias("words"))
+    df = df.select(key, "marked", F.size("words").alias("size"), F.transform("words", lambda w: F.xxhash64(w)).alias("p1"), F.transform("words", lambda w: F.when(w.isin("#", "~", "^"), 0).otherwise(1)).alias("c1"))
+    df = _runs(_runs(df, "p", lengths, lambda a, b: F.xxhash64(a, b)), "c", lengths, lambda a, b: a + b)
+    low = F.lit(False)
+    for n in lengths:
+        low = low | F.coalesce(F.array_min(f"c{n}") < min(literals, n), F.lit(False))  # null where no run begins
+    df = df.withColumn("q1", F.when(low, F.transform(_filled(F.col("marked")), lambda w: F.xxhash64(w)))).drop("marked")
+    return _runs(df, "q", lengths, lambda a, b: F.xxhash64(a, b))
+
+
+def _runs(df: DataFrame, name: str, lengths: list[int], put: Callable[[Column, Column], Column]) -> DataFrame:
+    """df with <name><n> for each n of lengths: what `put` makes of each run of n elements of <name>1, of its two parts at a time. Places at the end where no run begins hold anything."""
+    later = lambda c, by: F.slice(c, by + 1, 1 << 30)
+    powers = [1 << k for k in range(1, max(lengths).bit_length())]
+    for n in [*powers, *(n for n in lengths if n not in powers and n > 1)]:
+        whole = 1 << (n.bit_length() - 1)
+        if n == whole:
+            df = df.withColumn(f"{name}{n}", F.zip_with(f"{name}{n // 2}", later(f"{name}{n // 2}", n // 2), put))
+        else:
+            out, at = F.col(f"{name}{whole}"), whole
+            for k in reversed(range(whole.bit_length() - 1)):
+                if n >> k & 1:
+                    out, at = F.zip_with(out, later(f"{name}{1 << k}", at), put), at + (1 << k)
+            df = df.withColumn(f"{name}{n}", out)
+    return df
+
+
+def _windows(lengths: list[int], literals: int) -> Column:
+    """(start, hash, loose) of each run of so many words of a shaped row; the hash knows the length. A run with enough literal words is `loose`: hashed as a template, others with their fills."""
+    loose = lambda i, n: F.get(f"c{n}", i - 1) >= min(literals, n)
     of = lambda n: F.transform(
-        F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(i.cast("int").alias("start"), F.xxhash64(F.lit(n), run(i, n)).alias("h")),
+        F.when(F.col("size") >= n, F.sequence(F.lit(1), F.col("size") - (n - 1))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(i.cast("int").alias("start"), F.xxhash64(F.lit(n), F.when(loose(i, n), F.get(f"p{n}", i - 1)).otherwise(F.get(f"q{n}", i - 1))).alias("h"), loose(i, n).alias("loose")),
     )
     return F.concat(*map(of, lengths))
 
 
-def _loose(run: Column, n: int, literals: int) -> Column:
-    """Whether a run of n words has enough literal words to match as a template."""
-    for mark in "#~^":
-        run = F.array_remove(run, mark)
-    return F.size(run) >= min(literals, n)
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
     """(doc_id, item_id, windows, matched, slots, consistent, exact) for each document that has a benchmark item or a re-parameterised copy.
 
@@ -92,18 +119,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, con
     document, null as one id. Very long documents are taken whole. An empty table on either side gives no rows.
     """
     docs, items = docs.select("doc_id", "text"), benchmark.select("item_id", "text").where("text is not null")
-    # a column of its own, twice: computed once a row, not once a window
-    shaped = lambda df, key: df.select(key, _marked(F.col("text")).alias("marked")).select(key, _bare(F.col("marked")).alias("words"), _filled(F.col("marked")).alias("filled"))
-    known = shaped(items, "item_id").where(F.size("words") > 0)
-    short = [r[0] for r in known.select(F.size("words").alias("n")).where(f"n < {window}").distinct().collect()]  # at most window - 1 lengths
-    of = lambda lengths: F.explode(_windows(F.col("words"), F.col("filled"), lengths, literals)).alias("w")
-    each = lambda n, at: known.where(at).select("item_id", "words", of([n])).select("item_id", F.col("w.start").alias("item_start"), F.col("w.h").alias("h"), _loose(F.slice("words", F.col("w.start"), n), n, literals).alias("loose"))
-    index = each(window, f"size(words) >= {window}")
+    sizes = items.select("item_id", F.size(template(F.col("text"))).alias("n")).where("n > 0")
+    short = [r[0] for r in sizes.select("n").where(f"n < {window}").distinct().collect()]  # at most window - 1 lengths
+    lengths = [window, *short]
+    known = _shaped(items, "item_id", lengths, literals)
+    each = lambda n, at: known.where(at).select("item_id", F.explode(_windows([n], literals)).alias("w")).select("item_id", F.col("w.start").alias("item_start"), "w.h", "w.loose")
+    index = each(window, f"size >= {window}")
     for n in short:
-        index = index.unionByName(each(n, f"size(words) = {n}"))
+        index = index.unionByName(each(n, f"size = {n}"))
     index = stash(index, "benchmark-windows")
     counts = index.groupBy("item_id").agg(F.count("*").alias("windows"), F.count_if("loose").alias("loose_windows"))
-    found = shaped(docs, "doc_id").select("doc_id", of([window, *short])).select("doc_id", F.col("w.start").alias("doc_start"), F.col("w.h").alias("h"))
+    found = _shaped(docs, "doc_id", lengths, literals).select("doc_id", F.explode(_windows(lengths, literals)).alias("w")).select("doc_id", F.col("w.start").alias("doc_start"), "w.h")
     hits = stash(found.join(small(index), "h").select("doc_id", "item_id", "doc_start", "item_start", "loose"), "benchmark-hits")
     reached = lambda all_of, loose: (all_of >= F.col("windows") * coverage) | ((F.col("loose_windows") > 0) & (loose >= F.col("loose_windows") * coverage))
     matched = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_start").alias("matched"), F.countDistinct(F.when(F.col("loose"), F.col("item_start"))).alias("loose_matched"))
