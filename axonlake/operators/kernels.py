@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axonlake.functions.arrays import activation
+from axonlake.operators.order import few
 
 
 def leaky_step(state: DataFrame, edges: DataFrame, drive: DataFrame, tau: float, dt: float = 1.0, kind: str = "tanh") -> DataFrame:
@@ -123,7 +124,7 @@ def injected(targets: DataFrame, stimulus: DataFrame) -> DataFrame:
 
 def intervened(trace: DataFrame, rules: DataFrame) -> DataFrame:
     """trace (id, step, v) with the value of the last rule (id, low, high, value, ord) whose steps [low, high) hold it."""
-    met = trace.join(F.broadcast(rules), "id").where((F.col("step") >= F.col("low")) & (F.col("step") < F.col("high")))  # rules are declared, so few
+    met = trace.join(few(rules), "id").where((F.col("step") >= F.col("low")) & (F.col("step") < F.col("high")))  # rules are declared, so few
     best = met.groupBy("id", "step").agg(F.max_by("value", "ord").alias("__v"))
     return trace.join(best, ["id", "step"], "left").withColumn("v", F.coalesce("__v", "v")).drop("__v")
 

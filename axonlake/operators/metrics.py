@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonlake.functions.basic import divided, mid_rank, nearest_rank, passes
+from axonlake.operators.order import few
 
 
 def named_set(nodes: DataFrame, selectors: list[Column], key: str = "id", allow_empty: bool = True) -> DataFrame:
@@ -25,9 +26,10 @@ def window_measures(trace: DataFrame, sets: DataFrame, windows: DataFrame) -> Da
     trace (id, step, spike, output), sets (set, id), windows (window, low, high). Windows are few, sets may be large;
     pairs without any row in a window still give a row of zeros with no first step.
     """
-    inside = trace.join(sets, "id").join(F.broadcast(windows), (F.col("step") >= F.col("low")) & (F.col("step") < F.col("high")))
+    windows = few(windows)
+    inside = trace.join(sets, "id").join(windows, (F.col("step") >= F.col("low")) & (F.col("step") < F.col("high")))
     got = inside.groupBy("set", "window").agg(F.countDistinct(F.when(F.col("spike") > 0, F.col("id"))).alias("spiked"), F.sum("spike").cast("long").alias("spikes"), F.min(F.when(F.col("spike") > 0, F.col("step"))).alias("first_step"), F.sum("output").alias("output"))
-    every = sets.groupBy("set").agg(F.countDistinct("id").alias("members")).crossJoin(F.broadcast(windows))  # sets by windows, both few
+    every = sets.groupBy("set").agg(F.countDistinct("id").alias("members")).crossJoin(windows)  # sets by windows, both few
     out = every.join(got, ["set", "window"], "left")
     return out.select("set", "window", "low", "high", "members", F.coalesce("spiked", F.lit(0)).alias("spiked"), F.coalesce("spikes", F.lit(0)).alias("spikes"), "first_step", F.coalesce("output", F.lit(0.0)).alias("output"))
 
@@ -133,7 +135,7 @@ def latency_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def bench_verdicts(candidate: DataFrame, baselines: DataFrame, settings: list[str], tolerance: float = 0.0) -> DataFrame:
     """candidate joined to baselines of the same settings: latency ratio, quality delta, within, faster, wins. Differing settings are refused: they give comparable = false and no verdict."""
     b = baselines.select(F.col("name").alias("baseline"), *(F.col(s).alias(f"b_{s}") for s in settings), F.col("latency").alias("b_latency"), F.col("quality").alias("b_quality"))
-    both = candidate.crossJoin(F.broadcast(b))  # a few baselines
+    both = candidate.crossJoin(few(b))  # every candidate meets every baseline
     same = F.lit(True)
     for s in settings:
         same = same & F.col(s).eqNullSafe(F.col(f"b_{s}"))

@@ -39,3 +39,8 @@ def last_rows(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
 def seeded(seed: int, *columns: str | Column) -> Column:
     """A text that orders rows at random, the same in every engine: md5 of seed and values."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") if isinstance(c, str) else c for c in columns)).cast("binary"))
+
+
+def few(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df, broadcast if a count says that it has at most so many rows; beyond that Spark's own choice of join holds."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

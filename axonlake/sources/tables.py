@@ -42,7 +42,9 @@ class FieldMapping:
 def csv_table(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
     """A CSV or CSV.gz table with a header: names trimmed of spaces and a byte-order mark, required columns checked, cells trimmed, blanks null; what can't be cast is an error (ANSI)."""
     raw = spark.read.csv(path, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    names = [c.lstrip("﻿").strip() for c in raw.columns]
+    # the header as it is in the file: Spark numbers repeated names, which would hide them
+    head = spark.read.csv(path, header=False, inferSchema=False).first() or ()
+    names = [(c or "").lstrip("﻿").strip() or f"_c{i}" for i, c in enumerate(head)]
     if len(set(names)) != len(names):
         raise ValueError("a column name is repeated")
     if missing := [c for c in types if c not in names]:
@@ -144,6 +146,7 @@ def hierarchy(df: DataFrame, column: str, depth: int = 64) -> DataFrame:
     raise ValueError(f"the hierarchy is deeper than {depth}")
 
 
+#: Columns of a trajectory table.
 TRAJECTORY = {"fname": "string", "fly": "string", "condition": "string", "segment": "string", "t": "double", "x_cm": "double", "y_cm": "double"}
 
 
@@ -154,8 +157,8 @@ def trajectory(spark: SparkSession, path: str, extra: dict[str, str] | None = No
     return df.where(F.when(finite("t") & finite("x_cm") & finite("y_cm"), True).otherwise(F.raise_error(F.lit("t, x and y must be finite")).cast("boolean")))
 
 
-def _pcm(content: bytes) -> tuple[int, list[list[float]]]:
-    """(rate, channels) of a RIFF WAVE file with 8-, 16- or 32-bit integer samples."""
+def _pcm(content: bytes) -> tuple:
+    """(rate, array of samples by channels) of a RIFF WAVE file with 8-, 16- or 32-bit integer samples."""
     if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
         raise ValueError("no RIFF WAVE file")
     at, head, data = 12, None, b""
@@ -173,7 +176,7 @@ def _pcm(content: bytes) -> tuple[int, list[list[float]]]:
 
     x = np.frombuffer(data[: len(data) // (head[5] // 8) * (head[5] // 8)], {8: np.uint8, 16: "<i2", 32: "<i4"}[head[5]]).astype(float)
     x = (x - 128) / 128 if head[5] == 8 else x / 2.0 ** (head[5] - 1)
-    return head[2], x[: len(x) // head[1] * head[1]].reshape(-1, head[1]).T.tolist()
+    return head[2], x[: len(x) // head[1] * head[1]].reshape(-1, head[1])
 
 
 def audio(spark: SparkSession, path: str) -> DataFrame:
@@ -183,10 +186,10 @@ def audio(spark: SparkSession, path: str) -> DataFrame:
     def decode(content: pd.Series) -> pd.DataFrame:
         rows = []
         for c in content:
-            rate, channels = _pcm(bytes(c))
-            mono = [sum(v) / len(v) for v in zip(*channels, strict=True)]
-            peak = max(map(abs, mono), default=0.0)
-            rows.append((rate, [v / peak for v in mono] if peak else mono))
+            rate, x = _pcm(bytes(c))
+            mono = x.mean(axis=1)
+            peak = abs(mono).max(initial=0.0)
+            rows.append((rate, (mono / peak if peak else mono).tolist()))
         return pd.DataFrame(rows, columns=["rate", "samples"])
 
     return spark.read.format("binaryFile").load(path).withColumn("x", decode("content")).select("path", "x.rate", "x.samples")
@@ -217,8 +220,10 @@ def table_digest(df: DataFrame) -> str:
 
 
 def markdown(df: DataFrame, rows: int = 1000) -> str:
-    """A report of at most so many rows as a Markdown table; null is an empty cell."""
-    found = df.limit(rows).collect()
+    """A report of at most so many rows as a Markdown table; null is an empty cell. More rows are an error, not a cut."""
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"a report has at most {rows} rows")
     line = lambda cells: "| " + " | ".join(cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *(line(["" if v is None else str(v).replace("|", "\\|") for v in r]) for r in found)]) + "\n"
 

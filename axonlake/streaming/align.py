@@ -2,7 +2,7 @@
 
 A stream has rows (series, kind, tick, sequence, duration, value). kind is `sample`, `mark` (all samples before its tick have come) or
 `finish`. Unlike Spark's watermark, which drops what is late, a sample before the mark is an error, as is a mark
-that goes back; the micro-batch then fails as a whole and state stays as it was. The sum of all batches equals
+that goes back or any row after a finish; the micro-batch then fails as a whole and state stays as it was. The sum of all batches equals
 the batch operators of operators.temporal on the same rows.
 """
 
@@ -25,18 +25,20 @@ class Aligner:
         if mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
         self.mode, self.ticks, self.last, self.capacity = mode, ticks, last, capacity
-        self.next, self.mark, self.pending, self.held = first, None, [], None
+        self.next, self.mark, self.pending, self.held, self.done = first, None, [], None, False
 
     def load(self, text: str) -> Aligner:
-        self.next, self.mark, self.pending, self.held = json.loads(text)
+        self.next, self.mark, self.pending, self.held, self.done = json.loads(text)
         self.pending = [tuple(x) for x in self.pending]
         return self
 
     def dump(self) -> str:
-        return json.dumps([self.next, self.mark, self.pending, self.held])
+        return json.dumps([self.next, self.mark, self.pending, self.held, self.done])
 
     def push(self, rows: list[tuple]) -> list[tuple[int, int, float]]:
         """rows (kind, tick, sequence, duration, value) of one micro-batch, samples before marks of the same batch; returns (step, tick of the sample, value)."""
+        if self.done and rows:
+            raise ValueError("rows after the finish")
         for kind, tick, sequence, duration, value in sorted(rows, key=lambda r: (r[0] != "sample", r[1])):
             if kind == "sample":
                 if self.mark is not None and tick < self.mark:
@@ -53,14 +55,16 @@ class Aligner:
             out += self._until(self.mark)
         if any(r[0] == "finish" for r in rows):
             out += self._until(None)
+            self.done = True
         return out
 
     def _until(self, mark: int | None) -> list[tuple[int, int, float]]:
         """Everything at positions before the mark; None: to the end."""
         self.pending.sort(key=lambda s: (s[0], s[1]))
         if self.mode == "pulse":
-            ready = [s for s in self.pending if mark is None or -(-s[0] // self.ticks) * self.ticks < mark]
-            self.pending = [s for s in self.pending if s not in ready]
+            due = [mark is None or -(-s[0] // self.ticks) * self.ticks < mark for s in self.pending]
+            ready = [s for s, d in zip(self.pending, due, strict=True) if d]
+            self.pending = [s for s, d in zip(self.pending, due, strict=True) if not d]
             return [(-(-s[0] // self.ticks), s[0], s[3]) for s in ready]
         out, live = [], list(self.held or []) if self.mode == "interval" else self.held
         end = self.last if mark is None else -(-mark // self.ticks) - 1  # the last step before the mark

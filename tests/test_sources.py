@@ -37,6 +37,15 @@ def test_csv_release(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/classification")).first()["included"] == "released"
     with pytest.raises(ValueError, match="missing"):
         tables.csv_table(spark, str(tmp_path / "neurons.csv.gz"), {"nothing": "long"})
+    (tmp_path / "twice.csv").write_text("a, a,b\n1,2,3\n")
+    with pytest.raises(ValueError, match="repeated"):
+        tables.csv_table(spark, str(tmp_path / "twice.csv"), {"b": "long"})
+
+
+def test_reports_are_never_cut(spark):
+    assert tables.markdown(spark.sql("SELECT 1 AS a, NULL AS b"), 1) == "| a | b |\n| --- | --- |\n| 1 |  |\n"
+    with pytest.raises(ValueError, match="at most 1 rows"):
+        tables.markdown(spark.range(2), 1)
 
 
 def test_mapping_refuses(spark):

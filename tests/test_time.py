@@ -64,6 +64,10 @@ def test_late_samples_and_marks_are_errors():
         Aligner("hold", 1).load(before).push([("sample", 5, 1, 0, 1.0)])
     with pytest.raises(ValueError, match="goes back"):
         Aligner("hold", 1).load(before).push([("mark", 4, 0, 0, 0.0)])
+    own.push([("finish", 0, 0, 0, 0.0)])
+    for row in (("sample", 9, 0, 0, 1.0), ("mark", 9, 0, 0, 0.0), ("finish", 0, 0, 0, 0.0)):
+        with pytest.raises(ValueError, match="after the finish"):
+            Aligner("hold", 1).load(own.dump()).push([row])
     with pytest.raises(ValueError, match="wait"):
         Aligner("hold", 1, capacity=1).push([("sample", 1, 0, 0, 1.0), ("sample", 2, 0, 0, 1.0)])
 
