@@ -621,6 +621,9 @@ def test_text_of_a_conversation_does_not_depend_on_chunks_or_partitions(spark, m
         text, _ = chat.rendered(steps, [r[3] for r in own], True)
         want[c] = (text, cost + chat.AT_END[steps[-1][1]], len(own))
     assert want[2][0] == "<|user|>\n\n<|end|>\n<|assistant|>\n<|end|>\n" and want[None][0].startswith("<|user|>\nx")
+    opened = re.findall(r"<\|(system|user|assistant)\|>", want[1][0])
+    assert re.fullmatch("(system )?(user assistant )+", "".join(x + " " for x in opened)) and want[1][0].count("<|end|>") == len(opened)
+    assert [f"t{i} " in want[1][0] for i in range(300)] == [True] * 300
     for turns, parts, fan in ((1, 4, 3), (7, 8, 4), (7, 1, 256), (1000, 4, 256)):
         monkeypatch.setattr(chat, "FAN", fan)
         spark.conf.set("spark.sql.shuffle.partitions", parts)
