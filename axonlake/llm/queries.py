@@ -16,6 +16,7 @@ MODULES = {
     "op8_neardup": "neardup",
     "op9_topk": "topk",
     "op10_chat": "chat",
+    "op13_packing": "packing",
 }
 
 
