@@ -16,6 +16,8 @@ MODULES = {
     "op8_neardup": "neardup",
     "op9_topk": "topk",
     "op10_chat": "chat",
+    "op11_codes": "gnat",
+    "op12_trie": "prefix_trie",
     "op13_packing": "packing",
 }
 
@@ -25,6 +27,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from axonlake.llm import mixing, neardup, sharding, topk
+    from axonlake.llm import gnat, mixing, neardup, prefix_trie, sharding, topk
 
-    return {"op2_mixing": mixing.OP2_SQL, "op5_sharding": sharding.OP5_SQL, "op8_neardup": neardup.OP8_SQL, "op9_topk": topk.OP9_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op5_sharding": sharding.OP5_SQL, "op8_neardup": neardup.OP8_SQL, "op9_topk": topk.OP9_SQL, "op11_codes": gnat.OP11_SQL, "op12_trie": prefix_trie.OP12_SQL}
