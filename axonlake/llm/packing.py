@@ -163,7 +163,7 @@ def sequences(placed: DataFrame) -> DataFrame:
 def fullness(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: sequences, the least number that the tokens would need, and the share of places filled."""
     total = placed.agg(F.countDistinct("sequence_id").alias("sequences"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
-    return total.select("sequences", F.ceil(F.col("tokens") / capacity).alias("least"), (F.col("tokens") / (F.col("sequences") * capacity)).alias("filled"))
+    return total.select("sequences", F.ceil(F.col("tokens") / capacity).alias("least"), F.try_divide("tokens", F.col("sequences") * capacity).alias("filled"))
 
 
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
