@@ -29,11 +29,6 @@ def nearest_rank(column: str, q: float) -> Column:
     return F.min(column) if q == 0 else F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
 
 
-def linear_quantile(column: str, q: float) -> Column:
-    """The value at position q * (n - 1), interpolated."""
-    return F.expr(f"percentile_cont({q}) WITHIN GROUP (ORDER BY {column})")
-
-
 def mid_rank(value: Column, reference: Column) -> Column:
     """Share of the values that are below the reference, equal ones as half; null without values or reference."""
     known = F.count(F.when(value.isNotNull() & reference.isNotNull(), 1))

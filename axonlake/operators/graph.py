@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from axonlake.functions.basic import divided, is_unknown
 from axonlake.operators.order import dense_index, first_rows, seeded
+from axonlake.sources.shared import stash
 
 EDGE_REASONS = ["null_endpoint", "invalid_id", "missing_annotation", "predicate_false", "kept"]
 
@@ -142,22 +143,53 @@ def sparse_gradients(edges: DataFrame, values: DataFrame, upstream: DataFrame) -
     return joined.groupBy("param").agg(F.sum(F.col("value") * F.col("up")).alias("grad")), joined.groupBy(F.col("src").alias("id")).agg(F.sum(F.col("weight") * F.col("up")).alias("grad"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, checkpoint=None, rounds: int = 10_000) -> DataFrame:
-    """(id, distance) of all nodes that can be reached from start (id), by frontiers; `checkpoint` writes a frontier and reads it back."""
-    cut = checkpoint or (lambda df: df.checkpoint())
-    seen = frontier = cut(start.select("id").distinct().withColumn("distance", F.lit(0)))
-    for d in range(1, rounds):
+def _keep(tables: list[tuple[int, DataFrame]], frontier: DataFrame, cut) -> None:
+    """Adds a frontier to what has been seen. Two tables of as many rounds become one, so a row is written a logarithm of the rounds times, and there are as few tables."""
+    tables.append((1, frontier))
+    while len(tables) > 1 and tables[-1][0] == tables[-2][0]:
+        (n, late), (_, early) = tables.pop(), tables.pop()
+        tables.append((2 * n, cut(early.unionByName(late))))
+
+
+def _seen(tables: list[tuple[int, DataFrame]]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, (df for _, df in tables))
+
+
+def reachable(edges: DataFrame, start: DataFrame, checkpoint=None) -> DataFrame:
+    """(id, distance) of all nodes that can be reached from start (id), by frontiers until one is empty; `checkpoint` writes a frontier and reads it back."""
+    cut = checkpoint or (lambda df: stash(df, "frontier"))
+    tables: list[tuple[int, DataFrame]] = []
+    frontier, d = cut(start.select("id").distinct().withColumn("distance", F.lit(0))), 0
+    while d == 0 or not frontier.isEmpty():
+        _keep(tables, frontier, cut)
+        d += 1
         step = frontier.select(F.col("id").alias("src")).join(edges.select("src", F.col("dst").alias("id")), "src").select("id").distinct()
-        frontier = cut(step.join(seen, "id", "left_anti").withColumn("distance", F.lit(d)))
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        frontier = cut(step.join(_seen(tables), "id", "left_anti").withColumn("distance", F.lit(d)))
+    return _seen(tables)
+
+
+def shortest_actions(edges: DataFrame, goals: DataFrame, checkpoint=None) -> DataFrame:
+    """(id, distance, action, next): for each node that can reach a goal (id) how far the nearest is, and what to do there: edges are (src, dst, action).
+
+    Frontiers go backwards from the goals and carry the choice: of the edges that lead to a node one step nearer the least action, then the
+    least next node. At a goal action and next are null. It ends when a frontier is empty.
+    """
+    cut = checkpoint or (lambda df: stash(df, "frontier"))
+    tables: list[tuple[int, DataFrame]] = []
+    kinds = {c: edges.schema[c].dataType for c in ("action", "dst")}
+    none = [F.lit(None).cast(kinds["action"]).alias("action"), F.lit(None).cast(kinds["dst"]).alias("next")]
+    frontier, d = cut(goals.select("id").distinct().select("id", F.lit(0).alias("distance"), *none)), 0
+    while d == 0 or not frontier.isEmpty():
+        _keep(tables, frontier, cut)
+        d += 1
+        back = edges.join(frontier.select(F.col("id").alias("dst")), "dst").groupBy(F.col("src").alias("id")).agg(F.min(F.struct("action", F.col("dst").alias("next"))).alias("x"))
+        frontier = cut(back.join(_seen(tables), "id", "left_anti").select("id", F.lit(d).alias("distance"), "x.action", "x.next"))
+    return _seen(tables)
 
 
 def connected(links: DataFrame, checkpoint=None) -> DataFrame:
     """(id, component) of the ends of links (src, dst): the smallest id that can be reached, either way along the links."""
-    cut = checkpoint or (lambda df: df.checkpoint())
+    cut = checkpoint or (lambda df: stash(df, "labels"))
     both = cut(links.select("src", "dst").union(links.select("dst", "src")).distinct())
     labels = cut(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("src")).alias("component")))
     while True:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from axonlake.functions.basic import divided, mid_rank, nearest_rank, passes
 from axonlake.operators.order import few
+from axonlake.operators.selection import nearest_ranks
 
 
 def named_set(nodes: DataFrame, selectors: list[Column], key: str = "id", allow_empty: bool = True) -> DataFrame:
@@ -114,18 +115,6 @@ def bootstrap(differences: DataFrame, resamples: int = 200, seed: int = 0, level
     return means.agg(nearest_rank("m", tail).alias("low"), nearest_rank("m", 1 - tail).alias("high")).crossJoin(rows.agg(F.avg("v").alias("mean"))).select("mean", "low", "high")
 
 
-def nearest_ranks(df: DataFrame, by: list[str], column: str, ranks: dict[str, float]) -> DataFrame:
-    """by and, for each name, element number ceil(q * n) of the sorted values of a group (0: the least); nulls are left out.
-
-    Equal values are counted first, so only distinct ones are sorted, once for all ranks.
-    """
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*by)
-    upto, total = F.sum("__n").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)), F.sum("__n").over(w)
-    rows = counts.withColumns({"__upto": upto, "__total": total})
-    return rows.groupBy(*by).agg(*(F.min(F.when(F.col("__upto") >= F.ceil(F.col("__total") * q), F.col("__v"))).alias(name) for name, q in ranks.items()))
-
-
 def latency_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, mean, nearest-rank p50, p90, p99, least and greatest."""
     plain = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))

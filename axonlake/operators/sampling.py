@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonlake.operators.order import dense_index, last_rows, seeded
+from axonlake.sources.shared import stash
 
 
 def split_by(df: DataFrame, group: str, fraction: float, seed: int = 0) -> DataFrame:
@@ -21,34 +22,75 @@ def split_by(df: DataFrame, group: str, fraction: float, seed: int = 0) -> DataF
     return df.join(verdict, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
-def group_safe_split(df: DataFrame, ends: tuple[str, str], fraction: float, checkpoint=None) -> DataFrame:
-    """df with `split` such that no value of either column is on both sides: connected components of the values, and the set of components whose size comes nearest to the target.
+def nearest_subset(counts: dict[int, int], target: float) -> dict[int, int]:
+    """How many items of each size to take so that their sum comes nearest to the target, some but not all of them; of two sums equally near the smaller.
 
-    The subset sum runs on the driver over the component sizes, at most 100,000 of them.
+    counts says how many items of each size there are. A first choice takes the largest that fit; it misses the target by less than the greatest
+    size M. Some best choice differs from it in at most 2 M + 1 items: put the differences in an order in which their sums stay within M of zero,
+    then among more of them two sums are equal, and what lies between can be undone. So only sums as far from the first choice as so many items
+    reach are followed, as bits of one number, a few shifts for each size; sizes of which there are many come first, and the search ends at the target itself.
+    """
+    total, sizes = sum(s * n for s, n in counts.items()), sorted((s for s, n in counts.items() if n and s > 0), reverse=True)
+    first, left = {}, target
+    for s in sizes:
+        first[s] = int(min(counts[s], max(left, 0) // s))
+        left -= s * first[s]
+    base, items = sum(s * n for s, n in first.items()), 2 * max(sizes, default=0) + 2
+    reach = min(total, items * max(sizes, default=0))
+    mask, nearest = (1 << (2 * reach + 1)) - 1, round(target) - base
+    sums, steps = 1 << reach, []  # bit reach + d: a sum of base + d
+    for s in sorted(sizes, key=lambda s: (-counts[s], s)):
+        less, more = min(first[s], items), min(counts[s] - first[s], items)
+        steps.append((s, less, more, sums))
+        sums >>= min(s * less, 2 * reach + 1)
+        many, k = less + more, 1
+        while many:
+            k = min(k, many)
+            sums |= sums << s * k & mask
+            many, k = many - k, 2 * k
+        if float(target).is_integer() and 0 < base + nearest < total and sums >> reach + nearest & 1:
+            break
+    best = None
+    for away in range(2 * reach + 2):
+        for d in sorted({nearest - away, nearest + away}):
+            if -reach <= d <= reach and 0 < base + d < total and sums >> reach + d & 1:
+                best = min([x for x in (best, (abs(base + d - target), d)) if x])
+        if best and away > best[0] + 1:
+            break
+    if best is None:
+        return {}
+    taken, d = dict(first), best[1]
+    for s, less, more, before in reversed(steps):
+        for k in sorted(range(-less, more + 1), key=abs):
+            if 0 <= reach + d - s * k <= 2 * reach and before >> reach + d - s * k & 1:
+                taken[s], d = first[s] + k, d - s * k
+                break
+    return {s: n for s, n in taken.items() if n}
+
+
+def group_safe_split(df: DataFrame, ends: tuple[str, str], fraction: float, checkpoint=None, seed: int = 0) -> DataFrame:
+    """df with `split` such that no value of either column is on both sides: connected components of the values, held out so that their rows come nearest to the fraction.
+
+    The driver gets how many components there are of each size (at most the square root of twice the rows) and says how many of each are held out;
+    which ones is a seeded order within a size. A single component is not held out.
     """
     from axonlake.operators.graph import connected
 
     a, b = ends
-    side = lambda c, p: F.concat(F.lit(p), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    rows = df.withColumns({"__a": side(a, "a:"), "__b": side(b, "b:")})
+    side = lambda c, p: F.when(F.col(c).isNull(), p + "-").otherwise(F.concat(F.lit(p + "+"), F.col(c).cast("string")))
+    rows = df.withColumns({"__a": side(a, "a"), "__b": side(b, "b")})
     parts = connected(rows.select(F.col("__a").alias("src"), F.col("__b").alias("dst")).distinct(), checkpoint)
-    placed = rows.join(parts.select(F.col("id").alias("__a"), F.col("component").alias("__c")), "__a")
-    sizes = [(r["__c"], r["n"]) for r in placed.groupBy("__c").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "__c").limit(100_001).collect()]
-    if len(sizes) > 100_000:
-        raise ValueError("too many components for the subset sum")
-    total = sum(n for _, n in sizes)
-    reach: dict[int, tuple[int, int] | None] = {0: None}  # size -> (size before, component)
-    for i, (_, n) in enumerate(sizes):
-        for s in sorted(reach, reverse=True):
-            if s + n not in reach and s + n <= total:
-                reach[s + n] = (s, i)
-    options = [s for s in reach if 0 < s < total] or [0]
-    at, chosen = min(options, key=lambda s: (abs(s - fraction * total), s)), set()
-    while reach[at] is not None:
-        at, i = reach[at]
-        chosen.add(sizes[i][0])
-    held = df.sparkSession.createDataFrame([(c,) for c in sorted(chosen)], "__held string")
-    return placed.join(held, F.col("__c") == F.col("__held"), "left").withColumn("split", F.when(F.col("__held").isNotNull(), "validation").otherwise("train")).drop("__a", "__b", "__c", "__held")
+    placed = stash(rows.join(parts.select(F.col("id").alias("__a"), F.col("component").alias("__c")), "__a"), "components")
+    sizes = stash(placed.groupBy("__c").agg(F.count("*").alias("__n")).withColumn("__h", seeded(seed, "__c")), "sizes")
+    counts = {r["__n"]: r["k"] for r in sizes.groupBy("__n").agg(F.count("*").alias("k")).collect()}
+    taken, before, quota = nearest_subset(counts, fraction * sum(s * n for s, n in counts.items())), 0, []
+    for s in sorted(counts):
+        quota.append((s, before + taken.get(s, 0)))
+        before += counts[s]
+    ranked = dense_index(sizes, ["__n", "__h", "__c"], "__k").join(F.broadcast(df.sparkSession.createDataFrame(quota, "__n long, __upto long")), "__n")  # as many rows as sizes
+    held = ranked.where("__k < __upto").select(F.col("__c").alias("__held"))
+    out = placed.join(held, F.col("__c") == F.col("__held"), "left")
+    return out.withColumn("split", F.when(F.col("__held").isNotNull(), "validation").otherwise("train")).drop("__a", "__b", "__c", "__held")
 
 
 def uniform_sample(df: DataFrame, n: int, key: list[str], seed: int = 0) -> DataFrame:
@@ -124,13 +166,6 @@ def pairs_other_event(samples: DataFrame) -> DataFrame:
     return x.join(y, (F.col("x.entity_id") == F.col("y.entity_id")) & (F.col("x.event_id") != F.col("y.event_id")) & (F.col("x.sample_id") < F.col("y.sample_id"))).select(F.col("x.entity_id").alias("entity_id"), F.col("x.sample_id").alias("left_id"), F.col("y.sample_id").alias("right_id"))
 
 
-def without_overlap(texts: DataFrame, held: DataFrame, column: str = "text") -> DataFrame:
-    """texts whose trimmed text neither contains nor lies in a held-out text; empty texts stay. The held-out side is what Spark may broadcast."""
-    h = held.select(F.trim(column).alias("__h")).where("__h <> ''").distinct()
-    own = F.trim(F.col(column))
-    return texts.join(h, (own != "") & (own.contains(F.col("__h")) | F.col("__h").contains(own)), "left_anti")
-
-
 def without_hashes(texts: DataFrame, hashes: DataFrame, column: str = "text") -> DataFrame:
     """texts whose SHA-256 is not held out."""
     return texts.join(hashes.select(F.col("sha256").alias("__h")), F.sha2(F.col(column).cast("binary"), 256) == F.col("__h"), "left_anti")

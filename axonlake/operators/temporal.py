@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonlake.functions.basic import ceil_steps
+from axonlake.operators.scan import RANGE, own, segmented
 
 
 def latest(samples: DataFrame, by: list[str]) -> DataFrame:
@@ -23,21 +24,28 @@ def _merged(samples: DataFrame, grid: DataFrame, by: list[str]):
     return s.unionByName(g)
 
 
+def _counted(samples: DataFrame, grid: DataFrame, by: list[str]) -> DataFrame:
+    return samples.select(*by).unionByName(grid.select(*by))
+
+
 def asof_hold(samples: DataFrame, grid: DataFrame, by: list[str]) -> DataFrame:
     """Each grid row with the value of the latest sample at or before its tick; rows before the first sample have null.
 
-    One shuffle by series: the union is sorted by tick and the last sample carried on, so no pair of rows is built.
+    The union is sorted in ranges of (series, tick) and the last sample carried on, from one range to the next too, so no pair of rows
+    is built and a series with most of the rows is many tasks.
     """
-    w = Window.partitionBy(*by).orderBy("tick", "__grid").rowsBetween(Window.unboundedPreceding, 0)
-    out = _merged(samples, grid, by).withColumn("__s", F.last("__s", ignorenulls=True).over(w))
+    rows = segmented(_merged(samples, grid, by), by, ["tick", "__grid"], before=1, keep=F.col("__grid") == 0, counted=_counted(samples, grid, by))
+    w = Window.partitionBy(RANGE, *by).orderBy("tick", "__grid").rowsBetween(Window.unboundedPreceding, 0)
+    out = own(rows.withColumn("__s", F.last("__s", ignorenulls=True).over(w)))
     return out.where("__grid = 1").select(*by, "step", "tick", F.col("__s.tick").alias("sample_tick"), F.col("__s.value").alias("value"))
 
 
 def asof_linear(samples: DataFrame, grid: DataFrame, by: list[str]) -> DataFrame:
     """Each grid row between two samples with the value on the line between them, kept within their range; at or after the last sample it holds, before the first it is null."""
-    back = Window.partitionBy(*by).orderBy("tick", "__grid").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy("tick", "__grid").rowsBetween(1, Window.unboundedFollowing)
-    out = _merged(samples, grid, by).withColumns({"__l": F.last("__s", ignorenulls=True).over(back), "__r": F.first("__s", ignorenulls=True).over(ahead)}).where("__grid = 1")
+    rows = segmented(_merged(samples, grid, by), by, ["tick", "__grid"], before=1, after=1, keep=F.col("__grid") == 0, counted=_counted(samples, grid, by))
+    back = Window.partitionBy(RANGE, *by).orderBy("tick", "__grid").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(RANGE, *by).orderBy("tick", "__grid").rowsBetween(1, Window.unboundedFollowing)
+    out = own(rows.withColumns({"__l": F.last("__s", ignorenulls=True).over(back), "__r": F.first("__s", ignorenulls=True).over(ahead)})).where("__grid = 1")
     left, right = F.col("__l.value").cast("double"), F.col("__r.value").cast("double")
     part = (F.col("tick") - F.col("__l.tick")).cast("double") / (F.col("__r.tick") - F.col("__l.tick")).cast("double")
     line = F.least(F.greatest(left + (right - left) * part, F.least(left, right)), F.greatest(left, right))
@@ -71,22 +79,29 @@ def available(feedback: DataFrame, now: int, unit: str) -> DataFrame:
 def correlated(actions: DataFrame, feedback: DataFrame) -> DataFrame:
     """Feedback with a verdict: ok, no_action, before_action, other_experience, repeated (a second one of an action and source)."""
     a = actions.select("action_id", F.col("experience").alias("own"), F.col("step").alias("acted_at"))
-    n = F.row_number().over(Window.partitionBy("action_id", "source").orderBy("produced_at", "feedback_id"))
-    verdict = F.when(F.col("acted_at").isNull(), "no_action").when(F.col("own") != F.col("experience"), "other_experience").when(F.col("produced_at") < F.col("acted_at"), "before_action").when(F.col("__n") > 1, "repeated").otherwise("ok")
-    return feedback.join(a, "action_id", "left").withColumn("__n", n).withColumn("verdict", verdict).drop("own", "acted_at", "__n")
+    # the first of each action and source: a minimum, combined before the shuffle; feedback without an action takes no part
+    firsts = feedback.join(a, "action_id", "left_semi").groupBy("action_id", "source").agg(F.min(F.struct("produced_at", "feedback_id")).alias("__first"))
+    repeated = F.struct("produced_at", "feedback_id") > F.col("__first")
+    verdict = F.when(F.col("acted_at").isNull(), "no_action").when(F.col("own") != F.col("experience"), "other_experience").when(F.col("produced_at") < F.col("acted_at"), "before_action").when(repeated, "repeated").otherwise("ok")
+    return feedback.join(a, "action_id", "left").join(firsts, ["action_id", "source"], "left").withColumn("verdict", verdict).drop("own", "acted_at", "__first")
 
 
 def chronology(samples: DataFrame, by: list[str]) -> DataFrame:
     """samples (in the order of `ordinal`) with `problem`: time_regress, repeated_sequence, sequence_regress or null."""
-    w = Window.partitionBy(*by).orderBy("ordinal")
-    problem = F.when(F.col("tick") < F.lag("tick").over(w), "time_regress").when(F.count("*").over(Window.partitionBy(*by, "sequence")) > 1, "repeated_sequence").when(F.col("sequence") < F.lag("sequence").over(w), "sequence_regress")
-    return samples.withColumn("problem", problem)
+    w = Window.partitionBy(RANGE, *by).orderBy("ordinal")
+    rows = own(segmented(samples, by, ["ordinal"], before=1).withColumns({"__tick": F.lag("tick").over(w), "__sequence": F.lag("sequence").over(w)}))
+    key = F.struct(*by, "sequence")
+    times = samples.groupBy(key.alias("__key")).agg(F.count("*").alias("__times"))
+    met = rows.join(times, key.eqNullSafe(F.col("__key")))
+    problem = F.when(F.col("tick") < F.col("__tick"), "time_regress").when(F.col("__times") > 1, "repeated_sequence").when(F.col("sequence") < F.col("__sequence"), "sequence_regress")
+    return met.select(*samples.columns, problem.alias("problem"))
 
 
 def running_baseline(rewards: DataFrame, by: list[str], order: list[str], window: int, value: str = "reward") -> DataFrame:
     """rewards with `expected`, the mean of at most `window` rewards before (0 if none), and `surprise`."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-window, -1)
-    return rewards.withColumn("expected", F.coalesce(F.avg(value).over(w), F.lit(0.0))).withColumn("surprise", F.col(value) - F.col("expected"))
+    w = Window.partitionBy(RANGE, *by).orderBy(*order).rowsBetween(-window, -1)
+    out = own(segmented(rewards, by, order, before=window).withColumn("expected", F.coalesce(F.avg(value).over(w), F.lit(0.0))))
+    return out.withColumn("surprise", F.col(value) - F.col("expected"))
 
 
 def reward_map(surprise: Column, split: bool = False) -> Column:
@@ -100,7 +115,8 @@ def causal_samples(points: DataFrame, order: str = "ordinal", trial: str = "tria
 
     points (ordinal, trial, segment, t, x, y). Neighbours are those of the trial in source order; a change of segment is a relocation.
     """
-    w = Window.partitionBy(trial).orderBy(order)
+    w = Window.partitionBy(RANGE, trial).orderBy(order)
+    points = segmented(points, [trial], [order], before=1, after=1)
     p, n = (lambda c: F.lag(c).over(w)), (lambda c: F.lead(c).over(w))
     out = points.withColumns({"dx": F.col("x") - p("x"), "dy": F.col("y") - p("y"), "dt": F.col("t") - p("t"), "next_dx": n("x") - F.col("x"), "next_dy": n("y") - F.col("y"), "next_dt": n("t") - F.col("t"), "__moved": (F.col("segment") != p("segment")) | (F.col("segment") != n("segment"))})
     reason = (
@@ -110,11 +126,16 @@ def causal_samples(points: DataFrame, order: str = "ordinal", trial: str = "tria
         .when((F.hypot("dx", "dy") > max_step) | (F.hypot("next_dx", "next_dy") > max_step), "jump")
         .otherwise("kept")
     )
-    return out.withColumn("reason", reason).drop("__moved")
+    return own(out.withColumn("reason", reason)).drop("__moved")
 
 
 def runs(df: DataFrame, by: list[str], order: str, test: Column) -> DataFrame:
-    """Maximal runs of consecutive positions that pass: (by.., first, last, n)."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    inside = df.where(test).withColumn("__island", F.col(order) - rank)
-    return inside.groupBy(*by, "__island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("__island")
+    """Maximal runs of consecutive positions that pass: (by.., first, last, n). A repeated position counts once."""
+    at = F.col(order)
+    w = Window.partitionBy(RANGE, *by).orderBy(order)
+    inside = segmented(df.where(test).select(*by, order).distinct(), by, [order], before=1, after=1)
+    starts, ends = ~F.coalesce(F.lag(order).over(w) == at - 1, F.lit(False)), ~F.coalesce(F.lead(order).over(w) == at + 1, F.lit(False))
+    borders = segmented(own(inside.withColumns({"__starts": starts, "__ends": ends})).where("__starts or __ends"), by, [order], after=1)
+    last = F.when(F.col("__ends"), at).otherwise(F.lead(order).over(w))
+    out = own(borders.withColumn("last", last)).where("__starts")
+    return out.select(*by, at.alias("first"), "last", (F.col("last") - at + 1).cast("long").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from axonlake.functions import arrays, basic
-from axonlake.operators import sampling
+from axonlake.operators import containment, sampling
 from axonlake.operators.graph import shuffled_column
 from axonlake.plans.registry import query, six, table
 
@@ -31,7 +31,7 @@ def pair_async(spark, d):
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE trim(b.text) <> '' AND trim(d.text) <> '' AND (contains(trim(d.text), trim(b.text)) OR contains(trim(b.text), trim(d.text))))")
 def text_overlap_antijoin(spark, d):
-    return sampling.without_overlap(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id")
+    return containment.without_overlap(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 0)")

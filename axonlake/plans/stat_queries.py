@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonlake.functions.basic import linear_quantile
-from axonlake.operators import metrics
+from axonlake.operators import metrics, selection
 from axonlake.plans.registry import micros, query, six, table
 
 T = "trace AS (SELECT user_id AS id, CAST(floor((epoch_us(ts) - 1704067200000000) / 86400000000) AS BIGINT) AS step, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS spike, value AS output FROM events)"
@@ -59,12 +58,14 @@ def thresholds(spark, d):
 
 @query("SELECT l_returnflag, quantile_disc(l_extendedprice, 0.25) AS p25, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.75) AS p75, max(l_extendedprice) AS p100, min(l_extendedprice) AS p0 FROM lineitem GROUP BY 1")
 def quantiles_nearest_rank(spark, d):
-    return metrics.nearest_ranks(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {f"p{round(100 * q)}": q for q in (0, 0.25, 0.5, 0.75, 1)})
+    return selection.nearest_ranks(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {f"p{round(100 * q)}": q for q in (0, 0.25, 0.5, 0.75, 1)})
 
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1")
 def quantiles_linear(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*(F.round(linear_quantile("l_extendedprice", q), 4).alias(f"p{round(100 * q)}") for q in (0.25, 0.5, 0.9)))
+    names = {f"p{round(100 * q)}": q for q in (0.25, 0.5, 0.9)}
+    rows = selection.linear_quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", names)
+    return rows.select("l_returnflag", *(F.round(name, 4).alias(name) for name in names))
 
 
 V = "cells AS (SELECT l_linenumber AS metric, l_suppkey % 10 AS kind, avg(l_quantity) AS value FROM lineitem GROUP BY 1, 2)"
