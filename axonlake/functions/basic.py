@@ -99,21 +99,59 @@ def ceil_steps(tick: Column, source_ticks: int, steps: int) -> Column:
     return F.ceil(tick.cast("decimal(38,0)") * steps / F.lit(source_ticks)).cast("long")
 
 
-#: Masks in the order in which they are applied.
+#: What is masked in a line, and what stands in its place.
 REDACTIONS = [
-    (r"\b(?:sk|pk|rk)-[A-Za-z0-9_-]{8,}", "[REDACTED_KEY]"),
-    (r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"),
-    (r"(?i)\b(api[_-]?key|token|secret|password)\s*=\s*\"?[^\s\"&]+\"?", "$1=[REDACTED]"),
-    (r"(?i)\"(api[_-]?key|token|secret|password|authorization)\"\s*:\s*\"[^\"]*\"", "\"$1\":\"[REDACTED]\""),
+    (r"sk-[A-Za-z0-9_-]{8,}", "sk-[redacted]"),
+    (r"Bearer [^\t\n\f\r ]+", "Bearer [redacted]"),
+    (r"(?i)(token|api_key|apikey)=[^&\t\n\f\r \"]+", "$1=[redacted]"),
 ]
+_MEMBER = r'("(?:token|api_key|secret|password|raw_text|audio|image)"[\t\n\f\r ]*:[\t\n\f\r ]*)"((?:[^"\\]++|\\[^\n])*+)"'
+#: An escape of a quoted text: a sign, a byte in hexadecimal or octal, a code point that is no surrogate.
+_ESCAPE = r'\\(?:[abfnrtv\\"]|x[0-9A-Fa-f]{2}|[0-3][0-7]{2}|u(?![Dd][89A-Fa-f])[0-9A-Fa-f]{4}|U(?:0000(?![Dd][89A-Fa-f])|000[1-9A-Fa-f]|0010)[0-9A-Fa-f]{4})'
 
 
-def redact(text: Column, payload: int = 4096) -> Column:
-    """The text with keys, bearer tokens, key=value and JSON secrets masked; a text beyond `payload` characters becomes its length and digest."""
+def _utf8_hex(point: Column) -> Column:
+    """The UTF-8 bytes of a code point, in hexadecimal."""
+    byte = lambda n: F.lpad(F.hex(n), 2, "0")
+    rest = lambda shift: byte(F.shiftright(point, shift).bitwiseAND(63).bitwiseOR(128))
+    return (
+        F.when(point < 0x80, byte(point))
+        .when(point < 0x800, F.concat(byte(F.shiftright(point, 6).bitwiseOR(192)), rest(0)))
+        .when(point < 0x10000, F.concat(byte(F.shiftright(point, 12).bitwiseOR(224)), rest(6), rest(0)))
+        .otherwise(F.concat(byte(F.shiftright(point, 18).bitwiseOR(240)), rest(12), rest(6), rest(0)))
+    )
+
+
+def unquoted(value: Column) -> Column:
+    """The bytes that stand between the quotes of a quoted text, escapes resolved; a text with an escape that isn't one is taken as it is."""
+    signs = F.create_map(*(F.lit(x) for pair in {"a": "07", "b": "08", "f": "0C", "n": "0A", "r": "0D", "t": "09", "v": "0B", "\\": "5C", '"': "22"}.items() for x in pair))
+
+    def resolved(x: Column) -> Column:
+        kind = F.substring(x, 2, 1)
+        number = lambda at, base: F.conv(F.substr(x, F.lit(at)), base, 10).cast("int")
+        return F.when(~x.startswith("\\"), F.hex(F.encode(x, "UTF-8"))).when(kind == "x", F.upper(F.substr(x, F.lit(3)))).when(kind.isin("u", "U"), _utf8_hex(number(3, 16))).when(kind.rlike("[0-3]"), F.lpad(F.hex(number(2, 8)), 2, "0")).otherwise(F.try_element_at(signs, kind))
+
+    good = value.rlike(rf"^(?:[^\\\n]++|{_ESCAPE})*+$") & value.contains("\\")
+    parts = F.regexp_extract_all(value, F.lit(rf"{_ESCAPE}|[^\\]+"), F.lit(0))
+    return F.when(good, F.unhex(F.array_join(F.transform(parts, resolved), ""))).otherwise(F.encode(value, "UTF-8"))
+
+
+def redact(text: Column) -> Column:
+    """The text with secrets masked: keys, bearer tokens, key=value pairs and JSON members; of raw texts, audio and images only the number of bytes and the
+    beginning of their digest are left. All else stays as it is, whatever its length.
+    """
     out = text
     for pattern, put in REDACTIONS:
         out = F.regexp_replace(out, pattern, put)
-    return F.when(F.length(text) > payload, F.concat(F.lit("[PAYLOAD length="), F.length(text).cast("string"), F.lit(" sha256="), F.substring(F.sha2(text.cast("binary"), 256), 1, 16), F.lit("]"))).otherwise(out)
+
+    def masked(name: Column, value: Column) -> Column:
+        data = unquoted(value)
+        raw = F.concat(F.lit("[len="), F.octet_length(data).cast("string"), F.lit(" sha256="), F.substring(F.sha2(data, 256), 1, 8), F.lit("]"))
+        return F.concat(name, F.lit('"'), F.when(name.rlike("^\"(?:raw_text|audio|image)\""), raw).otherwise("[redacted]"), F.lit('"'))
+
+    names, values = (F.regexp_extract_all(out, F.lit(_MEMBER), F.lit(k)) for k in (1, 2))
+    masks = F.concat(F.array(F.lit("")), F.zip_with(names, values, masked))
+    return F.when(F.size(names) > 0, F.array_join(F.zip_with(masks, F.split(out, _MEMBER, -1), lambda m, rest: F.concat(m, rest)), "")).otherwise(out)
 
 
 def body_between(text: Column, start: str, end: str) -> Column:

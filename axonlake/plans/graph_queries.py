@@ -214,17 +214,32 @@ def sparse_grad(spark, d):
     return graph.sparse_gradients(p, ids("src", 7), ids("dst", 5))[0]
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT c_nationkey AS a, (c_nationkey * 7 + 3) % 25 AS b FROM customer), r AS (SELECT 0 AS id, 0 AS distance UNION SELECT l.b, distance + 1 FROM r JOIN l ON r.id = l.a WHERE distance < 30) SELECT id, min(distance) AS distance FROM r GROUP BY 1""")
+LINKS = "links AS MATERIALIZED (SELECT src, dst, weight % 4 AS action FROM pairs WHERE n_rows > 1 UNION ALL SELECT dst, src, weight % 4 FROM pairs WHERE n_rows > 1)"
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    """Both ways along the pairs of more than one row: sparse, with several components."""
+    p = stash(pairs(spark, d).where("n_rows > 1").select("src", "dst", (F.col("weight") % 4).alias("action")), "links")
+    return p.unionByName(p.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "action"))
+
+
+@query(f"""WITH RECURSIVE {N}, {R}, {C}, {P}, {LINKS}, r(id, distance) USING KEY (id) AS (SELECT min(src), 0 FROM links UNION SELECT l.dst, min(r.distance) + 1 FROM r JOIN links l ON r.id = l.src WHERE NOT EXISTS (SELECT 1 FROM recurring.r s WHERE s.id = l.dst) GROUP BY l.dst) SELECT id, distance FROM r WHERE id IS NOT NULL""")
 def graph_reachable(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("src"), ((F.col("c_nationkey") * 7 + 3) % 25).alias("dst")).distinct()
-    start = table(spark, d, "nation").where("n_nationkey = 0").select(F.col("n_nationkey").alias("id"))
-    return graph.reachable(c, start, _cut)
+    e = links(spark, d)
+    return graph.reachable(e, e.agg(F.min("src").alias("id")).where("id is not null"), _cut)
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT c_nationkey AS a, (c_nationkey * c_nationkey) % 25 AS b FROM customer), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS id, a AS c FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.c = u.a) SELECT id, min(c) AS component FROM r GROUP BY 1""")
+@query(f"""WITH RECURSIVE {N}, {R}, {C}, {P}, {LINKS}, r(id, component) USING KEY (id) AS (SELECT DISTINCT src, src FROM links UNION SELECT l.dst, min(r.component) FROM r JOIN links l ON r.id = l.src JOIN recurring.r s ON s.id = l.dst WHERE r.component < s.component GROUP BY l.dst) SELECT id, component FROM r""")
 def graph_components(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("src"), ((F.col("c_nationkey") * F.col("c_nationkey")) % 25).alias("dst")).distinct()
-    return graph.connected(c, _cut)
+    return graph.connected(links(spark, d), _cut)
+
+
+@query(f"""WITH RECURSIVE {N}, {R}, {C}, {P}, {LINKS}, r(id, distance) USING KEY (id) AS (SELECT id, 0 FROM nodes WHERE nation = 2 AND id % 2 = 1 UNION SELECT l.src, min(r.distance) + 1 FROM r JOIN links l ON r.id = l.dst WHERE NOT EXISTS (SELECT 1 FROM recurring.r s WHERE s.id = l.src) GROUP BY l.src),
+ t AS (SELECT r.id, r.distance, l.action, l.dst, row_number() OVER (PARTITION BY r.id ORDER BY l.action, l.dst) AS k FROM r LEFT JOIN (links l JOIN r n ON n.id = l.dst) ON l.src = r.id AND n.distance = r.distance - 1) SELECT id, distance, CAST(action AS BIGINT) AS action, dst AS next FROM t WHERE k = 1""")
+def graph_shortest_actions(spark, d):
+    """From every node the way to the nearest supplier of one nation."""
+    goals = annotations(spark, d).where("nation = 2 and id % 2 = 1").select("id")
+    return graph.shortest_actions(links(spark, d), goals, _cut)
 
 
 def _cut(df: DataFrame) -> DataFrame:

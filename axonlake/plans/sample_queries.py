@@ -152,13 +152,22 @@ def byte_tokens(spark, d):
     return docs.select("doc_id", F.size("x").alias("n"), F.sha2(t.cast("binary"), 256).alias("digest"), F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b(?:sk|pk|rk)-[A-Za-z0-9_-]{8,}', '[REDACTED_KEY]', 'g'), '(?i)bearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g'), '(?i)\b(api[_-]?key|token|secret|password)\s*=\s*"?[^\s"&]+"?', '\1=[REDACTED]', 'g'), '(?i)"(api[_-]?key|token|secret|password|authorization)"\s*:\s*"[^"]*"', '"\1":"[REDACTED]"', 'g') AS x FROM documents)
-SELECT doc_id, CASE WHEN length(text) > 4096 THEN '[PAYLOAD length=' || length(text) || ' sha256=' || left(sha256(text), 16) || ']' ELSE x END AS masked FROM m""")
+@query(r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_-]{8,}', 'sk-[redacted]', 'g'), 'Bearer \S+', 'Bearer [redacted]', 'g'), '(?i)(token|api_key|apikey)=[^&\s"]+', '\1=[redacted]', 'g') AS x FROM documents)
+SELECT doc_id, regexp_replace(x, '("(?:token|api_key|secret|password)"\s*:\s*)"(?:[^"\\]|\\.)*"', '\1"[redacted]"', 'g') AS masked FROM m""")
 def redaction(spark, d):
-    """All masks on every whole text; a long text becomes its length and digest."""
+    """All masks on every whole text; no document has a member with a raw text, which `redaction_lines` has."""
     return table(spark, d, "documents").select("doc_id", basic.redact(F.col("text")).alias("masked"))
 
 
+@query(r"""SELECT doc_id, '{"id": ' || doc_id || ', "raw_text": "[len=' || strlen(text) || ' sha256=' || left(sha256(text), 8) || ']", "password":"[redacted]", "note": "api_key=[redacted]&x Bearer [redacted] sk-[redacted]", "audio" : "[len=' || strlen(source) || ' sha256=' || left(sha256(source), 8) || ']", "token": "[redacted]"}' AS masked FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, 'sk-[A-Za-z0-9_-]{8,}|Bearer \S+|(?i:token|api_key|apikey)=[^&\s"]') AND source IS NOT NULL""")
+def redaction_lines(spark, d):
+    """Log lines with each document as a quoted raw text among secrets: what must come out follows from the columns, without a pattern."""
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & F.col("source").isNotNull()).where(~F.col("text").rlike(r'sk-[A-Za-z0-9_-]{8,}|Bearer [^\t\n\f\r ]+|(?i:token|api_key|apikey)=[^&\t\n\f\r "]'))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r'^\{"x":(.*)\}$', 1)
+    line = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit(', "raw_text": '), quoted("text"), F.lit(', "password":"p\\"'), "source", F.lit('\\\\", "note": "api_key='), "source", F.lit("&x Bearer a!"), F.col("doc_id").cast("string"), F.lit(" sk-abcdefgh"), F.col("doc_id").cast("string"), F.lit('", "audio" : '), quoted("source"), F.lit(', "token": ""}'))
+    return docs.select("doc_id", basic.redact(line).alias("masked"))
+
+
 @query("WITH h AS (SELECT sha256(source) AS s, source FROM documents), p AS (SELECT source AS split, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents UNION ALL SELECT 'x', sha256(CAST(doc_id AS VARCHAR)) FROM documents WHERE doc_id % 100 = 0) SELECT h AS sha256, 'several_splits' AS problem FROM p GROUP BY 1 HAVING count(DISTINCT split) > 1")
 def split_validation(spark, d):
     docs = table(spark, d, "documents")

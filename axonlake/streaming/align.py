@@ -2,7 +2,8 @@
 
 A stream has rows (series, kind, tick, sequence, duration, value). kind is `sample`, `mark` (all samples before its tick have come) or
 `finish`. Unlike Spark's watermark, which drops what is late, a sample before the mark is an error, as is a mark
-that goes back or any row after a finish; the micro-batch then fails as a whole and state stays as it was. The sum of all batches equals
+that goes back, any row after a finish, and more steps at once than `output`; with `strict`, for sources whose micro-batches are single pushes, so is a sample
+beyond the mark that comes with it (else it waits, since where a micro-batch ends is Spark's choice); the micro-batch then fails as a whole and state stays as it was. The sum of all batches equals
 the batch operators of operators.temporal on the same rows.
 """
 
@@ -21,9 +22,12 @@ MODES = ("hold", "interval", "pulse")
 class Aligner:
     """State of one series. Step k lies at tick k * ticks; `ticks` source ticks make one step."""
 
-    def __init__(self, mode: str, ticks: int, first: int = 0, last: int | None = None, capacity: int = 100_000):
+    def __init__(self, mode: str, ticks: int, first: int = 0, last: int | None = None, capacity: int = 100_000, output: int = 1_000_000, strict: bool = False):
         if mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
+        if last is not None and last - first >= output:
+            raise ValueError(f"steps {first} to {last} are more than {output}")
+        self.output, self.strict = output, strict
         self.mode, self.ticks, self.last, self.capacity = mode, ticks, last, capacity
         self.next, self.mark, self.pending, self.held, self.done = first, None, [], None, False
 
@@ -49,6 +53,8 @@ class Aligner:
         if len(self.pending) > self.capacity:
             raise ValueError(f"more than {self.capacity} samples wait for the mark")
         marks = [r[1] for r in rows if r[0] == "mark"]
+        if self.strict and marks and not any(r[0] == "finish" for r in rows) and any(r[0] == "sample" and r[1] > max(marks) for r in rows):
+            raise ValueError(f"a sample lies beyond the mark {max(marks)} that comes with it")
         out: list[tuple[int, int, float]] = []
         if marks:
             self.mark = max(marks)
@@ -73,6 +79,8 @@ class Aligner:
             end = max((e // self.ticks for e in ends), default=self.next - 1)
         if self.last is not None:
             end = min(end, self.last)
+        if end - self.next >= self.output:
+            raise ValueError(f"steps {self.next} to {end} are more than {self.output}")
         at = 0
         while self.next <= end:
             position = self.next * self.ticks
@@ -91,11 +99,11 @@ class Aligner:
         return out
 
 
-def align_stream(rows: DataFrame, mode: str, ticks: int, first: int = 0, last: int | None = None, capacity: int = 100_000) -> DataFrame:
+def align_stream(rows: DataFrame, mode: str, ticks: int, first: int = 0, last: int | None = None, capacity: int = 100_000, output: int = 1_000_000, strict: bool = False) -> DataFrame:
     """(series, step, tick, value) of a stream of rows as described above, for any number of series; state is kept by series."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = Aligner(mode, ticks, first, last, capacity)
+        own = Aligner(mode, ticks, first, last, capacity, output, strict)
         if state.exists:
             own.load(state.get[0])
         found: list[tuple] = []
