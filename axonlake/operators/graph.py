@@ -211,15 +211,10 @@ def shuffled_column(df: DataFrame, column: str, order: list[str], seed: int) ->
 
 
 def topology_digest(edges: DataFrame) -> str:
-    """SHA-256 over sources then targets as little-endian 32-bit integers in canonical order; streams rows to the driver, not holding them."""
-    import hashlib
-    import struct
-
-    out = hashlib.sha256()
-    for c in ("source_index", "target_index"):
-        for r in edges.orderBy("source_index", "target_index", "abs_row").select(c).toLocalIterator():
-            out.update(struct.pack("<I", r[0]))
-    return out.hexdigest()
+    """Digest of sources and targets in canonical order (source_index, target_index, abs_row), as a tree over all rows."""
+    from axonlake.operators.digest import digest_of
+
+    return digest_of(edges, ["source_index", "target_index", "abs_row"], ["source_index", "target_index"])
 
 
 def rewire(edges: DataFrame, fraction: float, seeds: list[int], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -9,27 +9,26 @@ from pyspark.sql import functions as F
 
 
 def edits(reference: list, hypothesis: list) -> tuple[int, int, int]:
-    """(substitutions, deletions, insertions) of a cheapest alignment; of equal costs substitution comes before deletion before insertion."""
+    """(substitutions, deletions, insertions) of a cheapest alignment; of equal costs substitution comes before deletion before insertion.
+
+    Row by row each place carries its cost and the substitutions and insertions on its way, so memory is a few rows. Within a row, places reached
+    by insertions take over from the nearest place to the left that is not.
+    """
     n, m = len(reference), len(hypothesis)
-    cost = np.zeros((n + 1, m + 1), np.int32)
-    cost[:, 0], cost[0, :] = np.arange(n + 1), np.arange(m + 1)
     codes = {x: i for i, x in enumerate({*reference, *hypothesis})}
-    hyp = np.array([codes[x] for x in hypothesis], np.int64)
-    ramp = np.arange(m + 1)
-    for i in range(1, n + 1):
-        step = np.minimum(cost[i - 1, :-1] + (hyp != codes[reference[i - 1]]), cost[i - 1, 1:] + 1)
-        row = np.concatenate([[i], step]) - ramp  # an insertion costs one more than its left neighbour
-        cost[i] = np.minimum.accumulate(row) + ramp
-    s = d = k = 0
-    i, j = n, m
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (reference[i - 1] != hypothesis[j - 1]):
-            s, i, j = s + (reference[i - 1] != hypothesis[j - 1]), i - 1, j - 1
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            d, i = d + 1, i - 1
-        else:
-            k, j = k + 1, j - 1
-    return s, d, k
+    hyp, at = np.array([codes[x] for x in hypothesis], np.int64), np.arange(m + 1)
+    cost, subs, ins = at.copy(), np.zeros(m + 1, np.int64), at.copy()
+    for i, x in enumerate(reference, 1):
+        differs = hyp != codes[x]
+        over, down = cost[:-1] + differs, cost[1:] + 1
+        row = np.concatenate([[i], np.minimum(over, down)]) - at  # an insertion costs one more than its left neighbour
+        row = np.minimum.accumulate(row) + at
+        straight, below = row[1:] == over, row[1:] == down
+        source = np.maximum.accumulate(np.append(0, np.where(straight | below, at[1:], 0)))
+        own_subs = np.append(0, np.where(straight, subs[:-1] + differs, subs[1:]))
+        own_ins = np.append(0, np.where(straight, ins[:-1], ins[1:]))
+        cost, subs, ins = row, own_subs[source], own_ins[source] + at - source
+    return int(subs[m]), int(n - m + ins[m]), int(ins[m])
 
 
 def edit_counts(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis", words: bool = False) -> DataFrame:

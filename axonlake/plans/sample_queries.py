@@ -95,12 +95,13 @@ def perplexity(spark, d):
     return sampling.perplexity(s, ["source"]).select("source", "tokens", six("mean_nll").alias("mean_nll"), six("perplexity").alias("perplexity"))
 
 
-@query("WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') AS t FROM conversations), p AS (SELECT a.t AS ref, b.t AS hyp FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1) SELECT CAST(sum(levenshtein(ref, hyp)) AS BIGINT) AS edits, CAST(sum(length(ref)) AS BIGINT) AS ref_length, round(sum(levenshtein(ref, hyp)) / nullif(sum(length(ref)), 0), 6) AS rate, round(avg(CASE WHEN ref = hyp THEN 1 ELSE 0 END), 6) AS exact FROM p")
+@query("""WITH u AS (SELECT coalesce(string_agg(DISTINCT c, '' ORDER BY c), '') AS beyond FROM (SELECT unnest(string_split(text, '')) AS c FROM conversations) WHERE unicode(c) > 127), a AS (SELECT string_agg(chr(CAST(k AS INT)), '' ORDER BY k) AS signs FROM range(1, 32) g(k) WHERE k NOT IN (9, 10, 13)),
+t AS (SELECT conv_id, turn, translate(coalesce(text, ''), beyond, signs) AS t FROM conversations, u, a), p AS (SELECT a.t AS ref, b.t AS hyp FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1) SELECT CAST(sum(levenshtein(ref, hyp)) AS BIGINT) AS edits, CAST(sum(length(ref)) AS BIGINT) AS ref_length, round(sum(levenshtein(ref, hyp)) / nullif(sum(length(ref)), 0), 6) AS rate, round(avg(CASE WHEN ref = hyp THEN 1 ELSE 0 END), 6) AS exact FROM p""")
 def cer_distance(spark, d):
-    """Character error rate of each second turn against the first; signs beyond ASCII are one sign, as the SQL engine's distance counts bytes."""
+    """Character error rate of each second turn against the first, over code points as they are; SQL, whose distance counts bytes, gives each letter beyond ASCII a sign of one byte first."""
     from axonlake.operators import text
 
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?").alias("t"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"))
     own = lambda t, n: c.where(F.col("turn") == t).select("conv_id", F.col("t").alias(n))
     counted = text.edit_counts(own(0, "reference").join(own(1, "hypothesis"), "conv_id"))
     return text.corpus_rate(counted, []).select("edits", "ref_length", six("rate").alias("rate"), six("exact").alias("exact"))

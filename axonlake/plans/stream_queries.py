@@ -68,3 +68,30 @@ def feedback_evaluated(spark, d):
     """Updates of learners that are only evaluated: refused once feedback has arrived."""
     out = feedback.settled(messages(spark, d), evaluate=True).where("kind = 'update' and verdict <> 'clock_back'")
     return out.groupBy("verdict").agg(F.count("*").alias("n"), F.sum("deferred").alias("deferred"))
+
+
+@query("""WITH c AS (SELECT user_id % 3 AS series, event_id AS ordinal, [value, value * (event_id % 3), 60 - value, 10.0 * (event_id % 7), -value][1 : CAST(event_id % 6 AS INT)] AS scores FROM events),
+s AS (SELECT series, unnest(scores) AS score, row_number() OVER (PARTITION BY series ORDER BY ordinal, k) - 1 AS pos FROM (SELECT series, ordinal, unnest(scores) AS scores, unnest(range(1, len(scores) + 1)) AS k FROM (SELECT series, ordinal, list_transform(scores, lambda x: [x]) AS scores FROM c))),
+z AS (SELECT series, score, pos FROM s UNION ALL SELECT series, 0.0, n + k FROM (SELECT series, count(*) AS n FROM s GROUP BY 1), (SELECT unnest(range(0, 4)) AS k) WHERE k < (4 - n % 4) % 4),
+f AS (SELECT series, pos // 4 AS frame, pos % 4 AS class, row_number() OVER (PARTITION BY series, pos // 4 ORDER BY score DESC, pos) AS k FROM z),
+b AS (SELECT series, frame, class, lag(class) OVER (PARTITION BY series ORDER BY frame) AS p FROM f WHERE k = 1)
+SELECT CAST(series AS VARCHAR) AS series, frame, CAST(class AS INT) AS class FROM b WHERE class <> 0 AND (p IS NULL OR p <> class)""")
+def chunks_decoded(spark, d):
+    """Events as chunks of up to five scores, of which every four are a frame."""
+    from axonlake.streaming.decode import decoded
+
+    v, i = F.col("value"), F.col("event_id")
+    scores = F.slice(F.array(v, v * (i % 3), 60 - v, 10.0 * (i % 7), -v), F.lit(1), (i % 6).cast("int"))
+    chunks = table(spark, d, "events").select((F.col("user_id") % 3).cast("string").alias("series"), i.alias("ordinal"), scores.alias("scores"))
+    return decoded(chunks, 4)
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, '{"l_orderkey":' || l_orderkey || ',"l_partkey":' || l_partkey || '}') - 1 AS pos FROM lineitem),
+a AS (SELECT pos // 4096 AS pos, sha256(string_agg(sha256('{"l_orderkey":' || l_orderkey || ',"l_partkey":' || l_partkey || '}'), '' ORDER BY pos)) AS h, count(*) AS n FROM l GROUP BY 1),
+b AS (SELECT pos // 4096 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h, sum(n) AS n, count(*) AS k, min(h) AS one FROM a GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS rows, min(CASE WHEN k = 1 THEN one ELSE h END) AS digest FROM b""")
+def ordered_tree_digest(spark, d):
+    """Digest of all line items in order: of orders and parts, by order and line."""
+    from axonlake.operators.digest import ordered_digest
+
+    return ordered_digest(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_partkey"])
