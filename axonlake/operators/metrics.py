@@ -21,16 +21,27 @@ def named_set(nodes: DataFrame, selectors: list[Column], key: str = "id", allow_
     return out
 
 
+#: Windows up to which a table of them is written into the plan as constants.
+WINDOWS = 1_000
+
+
 def window_measures(trace: DataFrame, sets: DataFrame, windows: DataFrame) -> DataFrame:
     """For each set and window [low, high): members that spiked, spikes, first step, summed output.
 
     trace (id, step, spike, output), sets (set, id), windows (window, low, high). Windows are few, sets may be large;
-    pairs without any row in a window still give a row of zeros with no first step.
+    pairs without any row in a window still give a row of zeros with no first step. A row of the trace gets its windows from an expression, so no loop
+    over windows joins them; ids are added up by window before they meet their sets.
     """
-    windows = few(windows)
-    inside = trace.join(sets, "id").join(windows, (F.col("step") >= F.col("low")) & (F.col("step") < F.col("high")))
-    got = inside.groupBy("set", "window").agg(F.countDistinct(F.when(F.col("spike") > 0, F.col("id"))).alias("spiked"), F.sum("spike").cast("long").alias("spikes"), F.min(F.when(F.col("spike") > 0, F.col("step"))).alias("first_step"), F.sum("output").alias("output"))
-    every = sets.groupBy("set").agg(F.countDistinct("id").alias("members")).crossJoin(windows)  # sets by windows, both few
+    declared = windows.select("window", "low", "high").limit(WINDOWS + 1).collect()
+    if len(declared) > WINDOWS:
+        raise ValueError(f"there are more than {WINDOWS} windows")
+    kind = windows.select(F.struct("window", "low", "high").alias("w")).schema["w"].dataType
+    every_window = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in ("window", "low", "high"))).cast(kind) for r in declared)) if declared else F.array().cast(f"array<{kind.simpleString()}>")
+    inside = trace.withColumn("w", F.explode(F.filter(every_window, lambda w: (F.col("step") >= w["low"]) & (F.col("step") < w["high"]))))
+    spiked = F.col("spike") > 0
+    by_id = inside.groupBy("id", F.col("w.window").alias("window")).agg(F.sum("spike").cast("long").alias("spikes"), F.max(spiked).cast("int").alias("spiked"), F.min(F.when(spiked, F.col("step"))).alias("first_step"), F.sum("output").alias("output"))
+    got = by_id.join(sets.distinct(), "id").groupBy("set", "window").agg(F.sum("spiked").alias("spiked"), F.sum("spikes").alias("spikes"), F.min("first_step").alias("first_step"), F.sum("output").alias("output"))
+    every = sets.groupBy("set").agg(F.countDistinct("id").alias("members")).withColumn("w", F.explode(every_window)).select("set", "members", "w.*")
     out = every.join(got, ["set", "window"], "left")
     return out.select("set", "window", "low", "high", "members", F.coalesce("spiked", F.lit(0)).alias("spiked"), F.coalesce("spikes", F.lit(0)).alias("spikes"), "first_step", F.coalesce("output", F.lit(0.0)).alias("output"))
 

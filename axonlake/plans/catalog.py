@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from axonlake.plans import audit_queries, graph_queries, report_queries, sample_queries, stat_queries, stream_queries, time_queries  # noqa: F401  (they register their queries)
+from axonlake.plans import audit_queries, graph_queries, report_queries, sample_queries, source_queries, stat_queries, stream_queries, time_queries  # noqa: F401  (they register their queries)
 from axonlake.plans.registry import QUERIES, SQL
 
 
