@@ -20,7 +20,7 @@ STATES, FAR = 4, 1 << 40
 #: Costs of taking two turns as one, of giving a role to a turn that has none of the three, of putting in an empty turn, and of
 #: giving a turn another role. The last is dearer than a merge and an empty answer: no one's words become another's if there is another way.
 MERGE, NAME, INSERT, RELABEL = 1, 2, 3, 5
-#: A chunk of a conversation has turns of one block of so many turn numbers; it ends after so many turns or characters.
+#: A conversation of more turns comes as chunks; a chunk ends after so many turns or characters.
 CHUNK_TURNS, CHUNK_CHARS = 256, 1_000_000
 #: Chunks of a conversation that a task sums up at a time.
 FAN = 256
@@ -221,24 +221,30 @@ def _rendered(batches):
             out.append((len(roles), n["turns"], cost, n["merged"], n["relabelled"], n["inserted"], text))
         kinds = [pa.int64()] * 6 + [pa.string()]
         names = ["n_turns", "n_out", "cost", "merged", "relabelled", "inserted", "rendered"]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["conv_id", "chunk", *names])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(6), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["conv_id", "chunk", "chunks", *names])
 
 
 def format_chats(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
-    """One row per conversation: conv_id, chunk, n_turns, n_out, cost, merged, relabelled, inserted, rendered.
+    """One row per conversation: conv_id, chunk, chunks, n_turns, n_out, cost, merged, relabelled, inserted, rendered.
 
     Turns are ordered by turn (null first), role, text. Dynamic programming over the automaton finds the cheapest legal sequence; of
-    several, the one whose first different move comes first in a fixed order. A conversation of at most `chunk_turns` turn numbers
-    (and CHUNK_CHARS characters) is one row; a longer one comes as chunks, one for each block of so many turn numbers, which
-    joined in their order give its text, the same whatever the size of the chunks. Blocks are range-partitioned and
-    sorted; a block with many turns of one number is cut further. Each chunk is summed up as a matrix of least costs, a scan over the
+    several, the one whose first different move comes first in a fixed order. A conversation of at most `chunk_turns` turns
+    (and CHUNK_CHARS characters) is one row; a longer one comes as `chunks` rows, numbered by `chunk` from 0, which
+    joined in their order give its text, the same whatever the size of the chunks. Blocks of turn numbers are range-partitioned and
+    sorted; a block with many turns is cut further. Each chunk is summed up as a matrix of least costs, a scan over the
     matrices tells each chunk what follows, a second scan the state in which it is entered. So no task holds a whole
     conversation, however long it is.
     An unknown or null role must get another; a null text is empty; repeated turns are turns; a null conv_id is a
     conversation. Markers within a text are broken. Columns besides conv_id, turn, role and text are left alone. An empty table gives no rows.
     """
-    turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    turns = turns.withColumns({"block": F.floor(F.coalesce("turn", F.lit(0)) / chunk_turns), "tie": F.monotonically_increasing_id()})
+    turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("tie", F.monotonically_increasing_id())
+    # only a long conversation is cut: its span of turn numbers into as many equal parts as its turns make chunks, wherever the numbers begin and however sparse they are
+    number = F.col("turn").cast("decimal(38,0)")
+    spans = turns.groupBy("conv_id").agg(F.count("*").alias("n"), F.min(number).alias("low"), F.max(number).alias("high")).where(F.col("n") > chunk_turns)
+    width = F.ceil((F.col("high") - F.col("low") + 1) / F.ceil(F.col("n") / chunk_turns))
+    long = small(stash(spans.select(F.col("conv_id").alias("long_conv"), "low", width.alias("width")), "long"))
+    turns = turns.join(long, F.col("conv_id").eqNullSafe(F.col("long_conv")) & F.col("width").isNotNull(), "left")
+    turns = turns.withColumn("block", F.coalesce(F.expr("(CAST(turn AS DECIMAL(38,0)) - low) div width"), F.lit(0)))
     crowded = turns.groupBy("conv_id", "block").agg(F.count("*").alias("n")).where(F.col("n") > 4 * chunk_turns)
     crowded = small(stash(crowded.select(F.col("conv_id").alias("c"), F.col("block").alias("b")), "crowded"))
     turns = turns.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left")
@@ -262,10 +268,10 @@ def format_chats(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     entries = scanned(exits, [0], lambda item, state: [item[state[0]]], lambda a, b: [b[p] for p in a], backwards=False)
     lengths = slim.groupBy("home").agg(F.max("k").alias("last"))
     ways = ends.join(entries.select("home", "k", F.get("state", F.lit(0)).alias("entry")), ["home", "k"]).join(lengths, "home")
-    ways = ways.select((F.col("home") + F.col("k")).alias("way"), F.col("k").cast("int").alias("chunk"), F.col("entry").cast("int").alias("entry"), F.when(F.col("k") < F.col("last"), F.col("state")).alias("end"))
+    ways = ways.select((F.col("home") + F.col("k")).alias("way"), F.col("k").cast("int").alias("chunk"), F.col("entry").cast("int").alias("entry"), F.when(F.col("k") < F.col("last"), F.col("state")).alias("end"), (F.col("last") + 1).cast("int").alias("chunks"))
     whole = placed.join(small(stash(ways, "ways")), F.col("g") == F.col("way"), "left")
-    ready = whole.select("conv_id", F.coalesce("chunk", F.lit(0)).alias("chunk"), "roles", "texts", F.coalesce("entry", F.lit(0)).alias("entry"), "end")
-    return ready.mapInArrow(_rendered, f"conv_id {kind}, chunk int, n_turns long, n_out long, cost long, merged long, relabelled long, inserted long, rendered string")
+    ready = whole.select("conv_id", F.coalesce("chunk", F.lit(0)).alias("chunk"), "roles", "texts", F.coalesce("entry", F.lit(0)).alias("entry"), "end", F.coalesce("chunks", F.lit(1)).alias("chunks"))
+    return ready.mapInArrow(_rendered, f"conv_id {kind}, chunk int, chunks int, n_turns long, n_out long, cost long, merged long, relabelled long, inserted long, rendered string")
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -635,3 +635,14 @@ def test_text_of_a_conversation_does_not_depend_on_chunks_or_partitions(spark, m
             assert ("".join(r["rendered"] for r in own), sum(r["cost"] for r in own), sum(r["n_turns"] for r in own)) == want[c]
         assert (len([r for r in got if r["conv_id"] == 1]) >= 43) == (turns < 1000)
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_rows_of_a_conversation_follow_the_count_of_its_turns(spark):
+    far = 1_700_000_000_000
+    rows = [(1, 252 + i) for i in range(10)] + [(2, far + 977 * i * i) for i in range(6)] + [(3, far * (i % 7) + i) for i in range(600)] + [(4, -(2**63)), (4, 2**63 - 1), (4, None)] + [(5, None)] * 300 + [(6, i - 40) for i in range(256)]
+    df = spark.createDataFrame([(c, t, "user" if k % 2 else "assistant", f"x{k}") for k, (c, t) in enumerate(rows)], "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(df).collect()
+    found = {c: sorted((r["chunk"], r["chunks"], r["n_turns"]) for r in got if r["conv_id"] == c) for c in range(1, 7)}
+    assert all(found[c] == [(0, 1, n)] for c, n in ((1, 10), (2, 6), (4, 3), (6, 256)))
+    for c, n in ((3, 600), (5, 300)):
+        assert 2 <= len(found[c]) <= 8 and [x[:2] for x in found[c]] == [(k, len(found[c])) for k in range(len(found[c]))] and sum(x[2] for x in found[c]) == n
