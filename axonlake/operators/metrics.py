@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from axonlake.functions.basic import divided, mid_rank, nearest_rank, passes
 from axonlake.operators.order import few
-from axonlake.operators.selection import nearest_ranks
+from axonlake.operators.selection import linear_quantiles, nearest_ranks
 
 
 def named_set(nodes: DataFrame, selectors: list[Column], key: str = "id", allow_empty: bool = True) -> DataFrame:
@@ -88,6 +88,27 @@ def stability(trace: DataFrame, nodes: DataFrame, silent_limit: float = 0.9) ->
     return out.withColumn("silent_fraction", divided(F.col("silent"), F.col("nodes"))).withColumn("mostly_silent", F.coalesce(F.col("silent_fraction") > silent_limit, F.lit(False)))
 
 
+def population_rates(trace: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(step, spiking, rate): nodes that spike in each step, and their share of all nodes."""
+    n = nodes.agg(F.count_distinct("id").alias("__n"))
+    per = trace.join(nodes.select("id").distinct(), "id").groupBy("step").agg(F.count_distinct(F.when(F.col("spike") > 0, F.col("id"))).alias("spiking"))
+    return per.crossJoin(F.broadcast(n)).select("step", "spiking", divided(F.col("spiking"), F.col("__n")).alias("rate"))  # one row
+
+
+def rate_quantiles(trace: DataFrame, nodes: DataFrame, steps: int) -> DataFrame:
+    """One row: interpolated quantiles p0, p25, p50, p75 and p100 of the nodes' spikes a step; a node without a row has rate 0."""
+    spikes = trace.groupBy("id").agg(F.sum("spike").alias("s"))
+    rates = nodes.select("id").distinct().join(spikes, "id", "left").select((F.coalesce("s", F.lit(0)) / F.lit(float(steps))).alias("rate"))
+    return linear_quantiles(rates, [], "rate", {f"p{round(100 * q)}": q for q in (0, 0.25, 0.5, 0.75, 1)})
+
+
+def stability_flags(rates: DataFrame, silent_fraction: float, most_rate: float = 0.0, least_active: float = 0.0) -> list[str]:
+    """Which bounds are broken: a step's rate above most_rate, the active share below least_active; a bound of 0 is none."""
+    over = most_rate > 0 and not rates.where(F.col("rate") > most_rate).isEmpty()
+    under = least_active > 0 and 1 - silent_fraction < least_active
+    return ["max_population_rate_exceeded"] * over + ["min_active_fraction_below"] * under
+
+
 def cell_stats(cells: DataFrame, by: list[str], value: str = "score", failed: str = "failed") -> DataFrame:
     """Mean, population deviation, least and greatest of the runs that succeeded; zeros if none did."""
     v = F.when(~F.col(failed), F.col(value))

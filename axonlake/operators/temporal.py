@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonlake.functions.basic import ceil_steps
+from axonlake.operators.order import dense_index
 from axonlake.operators.scan import RANGE, own, segmented
 
 
@@ -139,3 +140,42 @@ def runs(df: DataFrame, by: list[str], order: str, test: Column) -> DataFrame:
     last = F.when(F.col("__ends"), at).otherwise(F.lead(order).over(w))
     out = own(borders.withColumn("last", last)).where("__starts")
     return out.select(*by, at.alias("first"), "last", (F.col("last") - at + 1).cast("long").alias("n"))
+
+
+def trial_problems(points: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """points (trial, t, x, y) in the order of `ordinal` with `problem`: no_trial, not_finite, negative_time, not_contiguous (a trial begins again), time_repeats, time_regresses or null.
+
+    All points are one series, looked at in ranges: where a trial begins is seen from the row before, and whether it has begun before from the first of
+    its beginnings.
+    """
+    line = points.withColumn("__all", F.lit(0))
+    w = Window.partitionBy(RANGE, "__all").orderBy(ordinal)
+    rows = own(segmented(line, ["__all"], [ordinal], before=1).withColumns({"__trial": F.lag(F.struct("trial")).over(w), "__t": F.lag("t").over(w)}))
+    begins = F.col("__trial").isNull() | ~F.col("__trial.trial").eqNullSafe(F.col("trial"))
+    rows = rows.withColumn("__begins", begins)
+    firsts = rows.where("__begins").groupBy(F.struct("trial").alias("__key")).agg(F.min(ordinal).alias("__first"))
+    rows = rows.join(firsts, F.struct("trial").eqNullSafe(F.col("__key")))
+    finite = F.lit(True)
+    for c in ("t", "x", "y"):
+        finite = finite & F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    problem = (
+        F.when(F.coalesce(F.col("trial").cast("string"), F.lit("")) == "", "no_trial")
+        .when(~finite, "not_finite")
+        .when(F.col("t") < 0, "negative_time")
+        .when(F.col("__begins"), F.when(F.col(ordinal) > F.col("__first"), "not_contiguous"))
+        .when(F.col("t") == F.col("__t"), "time_repeats")
+        .when((F.col("t") < F.col("__t")) & ~F.isnan("__t"), "time_regresses")
+    )
+    return rows.select(*points.columns, problem.alias("problem"))
+
+
+def ordered_signals(signals: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """signals (experience, stream, channel, sequence, tick) with `position`, from 0, by tick, sequence, stream and channel, and `problem`: time_back (the tick falls in the order of `ordinal`), repeated (the sequence has been in its stream) or null."""
+    line = signals.withColumn("__all", F.lit(0))
+    before = F.lag("tick").over(Window.partitionBy(RANGE, "__all").orderBy(ordinal))
+    rows = own(segmented(line, ["__all"], [ordinal], before=1).withColumn("__tick", before)).drop("__all")
+    key = F.struct("experience", "stream", "sequence")
+    firsts = signals.groupBy(key.alias("__key")).agg(F.min(ordinal).alias("__first"))
+    problem = F.when(F.col("tick") < F.col("__tick"), "time_back").when(F.col(ordinal) > F.col("__first"), "repeated")
+    judged = rows.join(firsts, key.eqNullSafe(F.col("__key"))).select(*signals.columns, problem.alias("problem"))
+    return dense_index(judged, ["tick", "sequence", "stream", "channel", ordinal], "position")

@@ -93,6 +93,19 @@ def stability_monitor(spark, d):
     return metrics.stability(t, t.select("id")).select("nodes", "silent", six("mean_rate").alias("mean_rate"), six("silent_fraction").alias("silent_fraction"))
 
 
+@query(f"WITH {T}, n AS (SELECT count(DISTINCT id) AS n FROM trace) SELECT step, count(DISTINCT id) FILTER (spike > 0) AS spiking, round(count(DISTINCT id) FILTER (spike > 0) / max(n), 6) AS rate FROM trace, n GROUP BY 1")
+def population_rates(spark, d):
+    t = trace(spark, d)
+    return metrics.population_rates(t, t.select("id")).withColumn("rate", six("rate"))
+
+
+@query(f"WITH {T}, r AS (SELECT id, sum(spike) / 31.0 AS rate FROM trace GROUP BY 1) SELECT round(quantile_cont(rate, 0), 6) AS p0, round(quantile_cont(rate, 0.25), 6) AS p25, round(quantile_cont(rate, 0.5), 6) AS p50, round(quantile_cont(rate, 0.75), 6) AS p75, round(quantile_cont(rate, 1), 6) AS p100 FROM r")
+def rate_quantiles(spark, d):
+    t = trace(spark, d)
+    out = metrics.rate_quantiles(t, t.select("id"), 31)
+    return out.select(*(six(c).alias(c) for c in out.columns))
+
+
 @query(f"WITH {T} SELECT step, CAST(sum(spike) AS BIGINT) AS spikes, round(avg(output), 6) AS mean_output, round(sum(spike) / count(DISTINCT id), 6) AS spike_fraction FROM trace GROUP BY 1")
 def probe_reductions(spark, d):
     return trace(spark, d).groupBy("step").agg(F.sum("spike").alias("spikes"), six(F.avg("output")).alias("mean_output"), six(F.sum("spike") / F.countDistinct("id")).alias("spike_fraction"))

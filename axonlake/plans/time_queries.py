@@ -106,3 +106,22 @@ def gae_advantages(spark, d):
 def event_counts(spark, d):
     h = samples(spark, d).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     return h.groupBy("user_id").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+
+
+@query(f"""WITH {E}, p AS (SELECT sequence AS o, CASE WHEN sequence % 397 = 0 THEN '' ELSE CAST((sequence // 50) % 37 AS VARCHAR) END AS trial, CASE WHEN sequence % 211 = 5 THEN -1.0 ELSE CAST((sequence % 50) - (CASE WHEN sequence % 101 = 7 THEN 1 WHEN sequence % 103 = 9 THEN 3 ELSE 0 END) AS DOUBLE) + 10 END AS t FROM e),
+b AS (SELECT *, lag(trial) OVER (ORDER BY o) AS pt, lag(t) OVER (ORDER BY o) AS pp FROM p), s AS (SELECT *, pt IS NULL OR pt <> trial AS begins FROM b), f AS (SELECT *, min(CASE WHEN begins THEN o END) OVER (PARTITION BY trial) AS first FROM s)
+SELECT o AS ordinal, CASE WHEN trial = '' THEN 'no_trial' WHEN t < 0 THEN 'negative_time' WHEN begins THEN CASE WHEN o > first THEN 'not_contiguous' END WHEN t = pp THEN 'time_repeats' WHEN t < pp THEN 'time_regresses' END AS problem FROM f""")
+def trial_problems(spark, d):
+    """Events as points of trials of fifty, whose names come again."""
+    i = F.col("sequence")
+    t = F.when(i % 211 == 5, -1.0).otherwise((i % 50 - F.when(i % 101 == 7, 1).when(i % 103 == 9, 3).otherwise(0)).cast("double") + 10)
+    points = samples(spark, d).select(i.alias("ordinal"), F.when(i % 397 == 0, "").otherwise(F.expr("(sequence div 50) % 37").cast("string")).alias("trial"), t.alias("t"), F.col("value").alias("x"), F.lit(0.0).alias("y"))
+    return temporal.trial_problems(points).select("ordinal", "problem")
+
+
+@query(f"""WITH {E}, p AS (SELECT sequence AS ordinal, user_id % 4 AS experience, event_type AS stream, sequence % 700 AS seq, CAST(sequence // 3 - CASE WHEN sequence % 89 = 0 THEN 2 ELSE 0 END AS BIGINT) AS tick FROM e)
+SELECT ordinal, row_number() OVER (ORDER BY tick, seq, stream, ordinal) - 1 AS position, CASE WHEN tick < lag(tick) OVER (ORDER BY ordinal) THEN 'time_back' WHEN ordinal > min(ordinal) OVER (PARTITION BY experience, stream, seq) THEN 'repeated' END AS problem FROM p""")
+def ordered_signals(spark, d):
+    i = F.col("sequence")
+    rows = samples(spark, d).select(i.alias("ordinal"), (F.col("user_id") % 4).alias("experience"), F.col("event_type").alias("stream"), F.lit("c").alias("channel"), (i % 700).alias("sequence"), (F.expr("sequence div 3") - F.when(i % 89 == 0, 2).otherwise(0)).alias("tick"))
+    return temporal.ordered_signals(rows).select("ordinal", "position", "problem")

@@ -319,3 +319,26 @@ def test_feedback_stream_equals_the_table(spark, tmp_path, evaluate):
         assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=repr) == plain(rows, 2, evaluate)
     finally:
         spark.conf.unset(store)
+
+
+def test_rates_and_their_bounds(spark):
+    from axonlake.operators import metrics
+
+    trace = spark.createDataFrame([(1, 0, 1), (1, 1, 1), (2, 0, 0), (2, 1, 1), (9, 0, 1)], "id long, step long, spike int")
+    nodes = spark.createDataFrame([(1,), (2,), (3,), (3,)], "id long")
+    rates = metrics.population_rates(trace, nodes)
+    assert sorted(map(tuple, rates.collect())) == [(0, 1, 1 / 3), (1, 2, 2 / 3)]
+    assert tuple(metrics.rate_quantiles(trace, nodes, 4).first()) == (0.0, 0.125, 0.25, 0.375, 0.5)
+    assert metrics.stability_flags(rates, 1 / 3, 0.5, 0.7) == ["max_population_rate_exceeded", "min_active_fraction_below"]
+    assert metrics.stability_flags(rates, 1 / 3, 0.7, 0.6) == metrics.stability_flags(rates, 1.0) == []
+
+
+def test_trials_and_signals_out_of_order(spark, many_ranges):
+    points = [("a", 0.0), ("a", 1.0), ("b", 0.0), ("b", 0.0), ("a", 2.0), ("", 3.0), ("c", -1.0), ("c", float("nan")), ("c", 5.0), ("c", 4.0), (None, 1.0)] + [("z", float(i)) for i in range(200)]
+    df = spark.createDataFrame([(i, trial, t, 0.0, 0.0) for i, (trial, t) in enumerate(points)], "ordinal long, trial string, t double, x double, y double").repartition(3)
+    got = {r["ordinal"]: r["problem"] for r in temporal.trial_problems(df).collect()}
+    want = {3: "time_repeats", 4: "not_contiguous", 5: "no_trial", 6: "negative_time", 7: "not_finite", 8: None, 9: "time_regresses", 10: "no_trial"}
+    assert got == {i: want.get(i) for i in range(len(points))}
+    rows = [(i, 0, s, "c", q, t) for i, (s, q, t) in enumerate([("u", 2, 5), ("u", 1, 5), ("v", 1, 5), ("v", 1, 6), ("u", 7, 4)])]
+    found = {r["ordinal"]: (r["position"], r["problem"]) for r in temporal.ordered_signals(spark.createDataFrame(rows, "ordinal long, experience long, stream string, channel string, sequence long, tick long")).collect()}
+    assert found == {0: (3, None), 1: (1, None), 2: (2, None), 3: (4, "repeated"), 4: (0, "time_back")}
