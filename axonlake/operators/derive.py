@@ -78,3 +78,10 @@ def parameters(sign: Column, weight: Column, scale: float, unknown: str = "exclu
 def effective(sign: Column, log_magnitude: Column) -> Column:
     """sign * exp(log magnitude)."""
     return sign * F.exp(log_magnitude)
+
+
+def sign_histogram(signed: DataFrame, kinds: list[str]) -> DataFrame:
+    """kinds, sign, reason, edges and share of all edges: how often each transmitter got each sign, and for what reason others got none."""
+    counts = signed.groupBy(*kinds, "sign", "reason").agg(F.count("*").alias("edges"))
+    total = counts.agg(F.sum("edges").alias("__all"))
+    return counts.crossJoin(F.broadcast(total)).select(*kinds, "sign", "reason", "edges", (F.col("edges") / F.col("__all")).alias("share"))  # one row

@@ -75,6 +75,12 @@ def duplicate_pairs(rows: DataFrame, src: str = "src", dst: str = "dst") -> Data
     return pairs.agg(F.count("*").alias("unique_pairs"), F.count_if(F.col("n") > 1).alias("duplicate_pairs"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
+def self_loops(rows: DataFrame, src: str = "src", dst: str = "dst", weight: str = "weight") -> DataFrame:
+    """One row: rows, rows from an end to itself, unique such ends, and the summed weight of all rows."""
+    loop = F.col(src) == F.col(dst)
+    return rows.agg(F.count("*").alias("n_rows"), F.count_if(loop).alias("self_loops"), F.count_distinct(F.when(loop, F.col(src))).alias("loop_nodes"), F.sum(weight).alias("total"))
+
+
 def endpoints(rows: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Distinct ends of all rows."""
     return rows.select(F.col(src).alias("id")).union(rows.select(F.col(dst).alias("id"))).where("id is not null").distinct()

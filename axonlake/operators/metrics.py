@@ -88,6 +88,33 @@ def stability(trace: DataFrame, nodes: DataFrame, silent_limit: float = 0.9) ->
     return out.withColumn("silent_fraction", divided(F.col("silent"), F.col("nodes"))).withColumn("mostly_silent", F.coalesce(F.col("silent_fraction") > silent_limit, F.lit(False)))
 
 
+def probe_series(trace: DataFrame, members: DataFrame) -> DataFrame:
+    """(probe, step, sum_output, mean_output, spike_count, spike_fraction) of the members (probe, id) of each probe, over all of them: one without a row adds nothing.
+
+    A sum that isn't finite is an error. A hot step or probe is combined before the shuffle.
+    """
+    probes = members.select("probe", "id").distinct()
+    sizes = probes.groupBy("probe").agg(F.count("*").alias("__n"))
+    by_id = trace.groupBy("id", "step").agg(F.sum("output").alias("output"), F.max((F.col("spike") > 0).cast("int")).alias("spiked"))
+    per = by_id.join(probes, "id").groupBy("probe", "step").agg(F.coalesce(F.sum("output"), F.lit(0.0)).alias("sum_output"), F.coalesce(F.sum("spiked"), F.lit(0)).alias("spike_count"))
+    total = F.when(F.isnan("sum_output") | (F.abs("sum_output") == float("inf")), F.raise_error(F.lit("a probe's sum is not finite")).cast("double")).otherwise(F.col("sum_output"))
+    return per.join(sizes, "probe").select("probe", "step", total.alias("sum_output"), (total / F.col("__n")).alias("mean_output"), "spike_count", divided(F.col("spike_count"), F.col("__n")).alias("spike_fraction"))
+
+
+def l2_norms(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """by and `norm`, the root of the sum of squares; nulls count as nothing."""
+    x = F.col(column).cast("double")
+    return df.groupBy(*by).agg(F.sqrt(F.coalesce(F.sum(x * x), F.lit(0.0))).alias("norm"))
+
+
+def update_norms(before: DataFrame, after: DataFrame, by: list[str], key: list[str], column: str) -> DataFrame:
+    """by, `norm` of what changed from before to after, and its share of the norm before; a parameter that one side lacks counts as 0 there."""
+    both = before.select(*by, *key, F.col(column).cast("double").alias("__a")).join(after.select(*by, *key, F.col(column).cast("double").alias("__b")), [*by, *key], "full")
+    a, d = F.coalesce("__a", F.lit(0.0)), F.coalesce("__b", F.lit(0.0)) - F.coalesce("__a", F.lit(0.0))
+    out = both.groupBy(*by).agg(F.sqrt(F.sum(d * d)).alias("norm"), F.sqrt(F.sum(a * a)).alias("__old"))
+    return out.select(*by, "norm", divided(F.col("norm"), F.col("__old")).alias("relative"))
+
+
 def population_rates(trace: DataFrame, nodes: DataFrame) -> DataFrame:
     """(step, spiking, rate): nodes that spike in each step, and their share of all nodes."""
     n = nodes.agg(F.count_distinct("id").alias("__n"))

@@ -93,6 +93,12 @@ def unseen_combinations(held: DataFrame, train: DataFrame, columns: list[str]) -
     return held.join(train.select(*columns).distinct(), columns, "left_anti")
 
 
+def accuracy(df: DataFrame, by: list[str], hit: Column) -> DataFrame:
+    """by, n, hits and accuracy; a hit that is null is none, no rows leave no row."""
+    hits = F.count_if(F.coalesce(hit, F.lit(False)))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), hits.alias("hits"), (hits / F.count("*")).alias("accuracy"))
+
+
 def agreement(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Share of rows in which two predictions agree."""
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col(a) == F.col(b)).cast("int")).alias("agreement"))

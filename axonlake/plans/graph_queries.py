@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from axonlake.functions.basic import divided, hex_patch
 from axonlake.operators import derive, graph
-from axonlake.operators.order import dense_index
+from axonlake.operators.order import dense_index, first_rows
 from axonlake.plans.registry import query, six, table
 from axonlake.sources.shared import stash
 
@@ -110,7 +110,7 @@ def graph_degrees(spark, d):
 
 @query(f"WITH {NR} SELECT count(*) AS n_rows, count(*) FILTER (src = dst) AS self_loops, CAST(sum(weight) AS BIGINT) AS total FROM nr")
 def graph_self_loops(spark, d):
-    return nations(spark, d).agg(F.count("*").alias("n_rows"), F.count_if(F.col("src") == F.col("dst")).alias("self_loops"), F.sum("weight").alias("total"))
+    return graph.self_loops(nations(spark, d)).drop("loop_nodes")
 
 
 @query("""WITH a AS (SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'), b AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey < 12),
@@ -195,6 +195,15 @@ def sign_strength_rules(spark, d):
     return out.select("l_suppkey", "reason", "sign", six("strength").alias("strength"))
 
 
+@query("""WITH p AS (SELECT l_suppkey, count(*) AS raw, count(*) FILTER (l_returnflag <> 'N') AS matched, CAST(avg(l_discount) FILTER (l_returnflag <> 'N') AS REAL) AS confidence, l_suppkey % 4 AS best FROM lineitem GROUP BY 1),
+r AS (SELECT *, CASE WHEN matched = 0 THEN 'no_match' WHEN matched / raw < 0.45 THEN 'low_fraction' WHEN confidence < CAST(0.05 AS REAL) THEN 'low_probability' WHEN best = 3 THEN 'unknown_mapping' ELSE 'known' END AS reason FROM p),
+g AS (SELECT best, reason, CASE WHEN reason <> 'known' THEN 0 WHEN best = 1 THEN -1 ELSE 1 END AS sign FROM r) SELECT best, sign, reason, count(*) AS edges, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM g GROUP BY 1, 2, 3""")
+def sign_histogram(spark, d):
+    """How often each transmitter got each sign, and for what reason others got none."""
+    out = derive.sign_histogram(sign_strength_rules(spark, d).withColumn("best", F.col("l_suppkey") % 4), ["best"])
+    return out.withColumn("share", six("share"))
+
+
 @query("""WITH p AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) SELECT l_suppkey % 3 AS kind, count(*) AS n, count(*) FILTER (r = 0) AS without FROM p GROUP BY 1""")
 def reason_histogram(spark, d):
     p = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("r"))
@@ -203,13 +212,13 @@ def reason_histogram(spark, d):
 
 @query(f"WITH {N}, {R}, {C}, {P} SELECT dst AS id, CAST(sum(weight * (src % 7)) AS BIGINT) AS value FROM pairs GROUP BY 1")
 def sparse_step(spark, d):
-    p = pairs(spark, d)
+    p = stash(pairs(spark, d).select("src", "dst", "weight"), "pairs")
     return graph.sparse_step(p, p.select(F.col("src").alias("id")).distinct().withColumn("value", F.col("id") % 7))
 
 
 @query(f"WITH {N}, {R}, {C}, {P} SELECT src % 16 AS param, CAST(sum((src % 7) * (dst % 5)) AS BIGINT) AS grad FROM pairs GROUP BY 1")
 def sparse_grad(spark, d):
-    p = pairs(spark, d).withColumn("param", F.col("src") % 16)
+    p = stash(pairs(spark, d).select("src", "dst", "weight", (F.col("src") % 16).alias("param")), "pairs")
     ids = lambda c, k: p.select(F.col(c).alias("id")).distinct().withColumn("value", F.col("id") % k)
     return graph.sparse_gradients(p, ids("src", 7), ids("dst", 5))[0]
 
@@ -263,7 +272,7 @@ def dense_ordinals(spark, d):
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS k FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM r WHERE k = 1")
 def first_row_wins(spark, d):
     key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.min(key).alias("x")).select("l_suppkey", "x.l_orderkey", "x.l_linenumber", "x.l_partkey")
+    return first_rows(table(spark, d, "lineitem").withColumn("at", key), ["l_suppkey"], "at").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query(f"WITH {NR}, p AS (SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM nr GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY abs(weight), src, dst) - 1 AS k, count(*) OVER () AS n FROM p) SELECT src, dst, weight FROM r WHERE k >= floor(n * 0.3)")

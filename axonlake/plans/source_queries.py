@@ -11,12 +11,14 @@ from axonlake.functions import arrays, basic
 from axonlake.operators import reports, sampling
 from axonlake.plans.registry import query, six, table
 from axonlake.sources import tables
-from axonlake.sources.shared import shared_folder
+from axonlake.sources.shared import forget, shared_folder
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which goes when the application ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    forget(spark, folder)
+    return f"{folder}/data"
 
 
 def as_csv(df: DataFrame, name: str) -> str:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonlake.operators import metrics, selection
+from axonlake.operators import metrics, reports, selection
 from axonlake.plans.registry import micros, query, six, table
 
 T = "trace AS (SELECT user_id AS id, CAST(floor((epoch_us(ts) - 1704067200000000) / 86400000000) AS BIGINT) AS step, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS spike, value AS output FROM events)"
@@ -111,6 +111,14 @@ def probe_reductions(spark, d):
     return trace(spark, d).groupBy("step").agg(F.sum("spike").alias("spikes"), six(F.avg("output")).alias("mean_output"), six(F.sum("spike") / F.countDistinct("id")).alias("spike_fraction"))
 
 
+@query(f"""WITH {T}, m AS (SELECT DISTINCT id, id % 3 AS probe FROM trace), z AS (SELECT probe, count(*) AS n FROM m GROUP BY 1), x AS (SELECT id, step, sum(output) AS output, max(CASE WHEN spike > 0 THEN 1 ELSE 0 END) AS spiked FROM trace GROUP BY 1, 2)
+SELECT probe, step, round(sum(output), 4) AS sum_output, round(sum(output) / max(n), 6) AS mean_output, CAST(sum(spiked) AS BIGINT) AS spike_count, round(sum(spiked) / max(n), 6) AS spike_fraction FROM x JOIN m USING (id) JOIN z USING (probe) GROUP BY 1, 2""")
+def probe_series(spark, d):
+    t = trace(spark, d)
+    out = metrics.probe_series(t, t.select("id", (F.col("id") % 3).alias("probe")))
+    return out.select("probe", "step", F.round("sum_output", 4).alias("sum_output"), six("mean_output").alias("mean_output"), "spike_count", six("spike_fraction").alias("spike_fraction"))
+
+
 @query("SELECT event_type, count(*) FILTER (value >= 5) AS succeeded, count(*) FILTER (value < 5) AS failed_runs, round(avg(value) FILTER (value >= 5), 6) AS mean, round(stddev_pop(value) FILTER (value >= 5), 6) AS std FROM events GROUP BY 1")
 def cell_stats(spark, d):
     e = table(spark, d, "events").withColumn("failed", F.col("value") < 5)
@@ -152,7 +160,16 @@ def bench_verdict(spark, d):
 
 @query("SELECT o_orderpriority, round(sqrt(sum(o_totalprice * o_totalprice)), 2) AS norm FROM orders GROUP BY 1")
 def l2_norm(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(F.sqrt(F.sum(F.col("o_totalprice") * F.col("o_totalprice"))), 2).alias("norm"))
+    return metrics.l2_norms(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice").withColumn("norm", F.round("norm", 2))
+
+
+@query("""WITH p AS (SELECT l_returnflag, l_suppkey, avg(l_extendedprice) FILTER (l_linenumber % 2 = 0) AS a, avg(l_extendedprice) FILTER (l_linenumber % 2 = 1) AS b FROM lineitem GROUP BY 1, 2), q AS (SELECT l_returnflag, coalesce(a, 0) AS a, coalesce(b, 0) - coalesce(a, 0) AS d FROM p)
+SELECT l_returnflag, round(sqrt(sum(d * d)), 3) AS norm, round(sqrt(sum(d * d)) / nullif(sqrt(sum(a * a)), 0), 6) AS relative FROM q GROUP BY 1""")
+def update_norm(spark, d):
+    """From the mean prices of even lines to those of odd lines, by supplier."""
+    li = table(spark, d, "lineitem")
+    mean = lambda k: li.where(F.col("l_linenumber") % 2 == k).groupBy("l_returnflag", "l_suppkey").agg(F.avg("l_extendedprice").alias("v"))
+    return metrics.update_norms(mean(0), mean(1), ["l_returnflag"], ["l_suppkey"], "v").select("l_returnflag", F.round("norm", 3).alias("norm"), six("relative").alias("relative"))
 
 
 @query("SELECT l_suppkey, round(sum(l_extendedprice * l_discount), 4) AS total FROM lineitem GROUP BY 1")
@@ -165,7 +182,8 @@ def ordered_fold(spark, d):
 
 @query("WITH q AS (SELECT l_returnflag, l_suppkey % 4 = l_partkey % 4 AS hit FROM lineitem) SELECT l_returnflag, count(*) AS n, round(avg(CASE WHEN hit THEN 1 ELSE 0 END), 6) AS accuracy FROM q GROUP BY 1")
 def accuracy_by_group(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), six(F.avg((F.col("l_suppkey") % 4 == F.col("l_partkey") % 4).cast("int"))).alias("accuracy"))
+    out = reports.accuracy(table(spark, d, "lineitem"), ["l_returnflag"], F.col("l_suppkey") % 4 == F.col("l_partkey") % 4)
+    return out.select("l_returnflag", "n", six("accuracy").alias("accuracy"))
 
 
 @query("WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT event_type, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 6) AS weight FROM c")
@@ -188,3 +206,13 @@ def task_shares(spark, d):
 def displacement_metrics(spark, d):
     v = F.col("value")
     return table(spark, d, "events").groupBy("user_id").agg(six(F.avg((v - 20) * (v - 20))).alias("mse"), F.when(F.count_if(v > 1) > 0, F.count_if(v > 20) / F.count("*")).alias("direction_match"))
+
+
+@query("""WITH v AS (SELECT event_type, value - 20 AS px, CAST(event_id % 7 - 3 AS DOUBLE) AS py, CAST(event_id % 5 - 2 AS DOUBLE) AS tx, CAST(event_id % 11 - 5 AS DOUBLE) AS ty FROM events), n AS (SELECT *, px * px + py * py AS a, tx * tx + ty * ty AS b FROM v),
+c AS (SELECT *, a > 1e-18 AND b > 1e-18 AS both_, CASE WHEN a > 1e-18 AND b > 1e-18 THEN greatest(-1.0, least(1.0, (px * tx + py * ty) / sqrt(a * b))) END AS c FROM n)
+SELECT event_type, round(avg(((px - tx) * (px - tx) + (py - ty) * (py - ty)) / 2), 6) AS mse, round(avg(CASE WHEN both_ THEN acos(c) END), 6) AS mean_angle, round(count(*) FILTER (both_ AND c > 0) / count(*), 6) AS direction_match FROM c GROUP BY 1""")
+def displacement_angles(spark, d):
+    i = F.col("event_id")
+    rows = table(spark, d, "events").select("event_type", (F.col("value") - 20).alias("px"), (i % 7 - 3).cast("double").alias("py"), (i % 5 - 2).cast("double").alias("tx"), (i % 11 - 5).cast("double").alias("ty"))
+    out = reports.displacement(rows, ["event_type"])
+    return out.select("event_type", six("mse").alias("mse"), six("mean_angle").alias("mean_angle"), six("direction_match").alias("direction_match"))

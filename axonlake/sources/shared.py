@@ -24,7 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """df written once as a table and read back."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df written once as a table and read back; the table goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    forget(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Has the path's file system delete it at the end of the application, whatever the store; a folder that isn't there yet is made."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)

@@ -40,6 +40,7 @@ def _next_update(rows: DataFrame, order: Column, last: Column, name: str) -> Dat
 
 def judged(messages: DataFrame, unit: str = UNIT) -> DataFrame:
     """messages with the verdict on each: actions and feedback as above, updates `updated` or `clock_back`."""
+    messages = messages.withColumn("action_id", F.coalesce("action_id", F.lit("")))
     acts = messages.where("kind = 'act'")
     key = ["learner", "action_id"]
     first = acts.groupBy(*key).agg(F.min_by(F.struct("ordinal", "experience", "step"), "ordinal").alias("action"))
