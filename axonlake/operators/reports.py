@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonlake.functions.basic import divided
+from axonlake.operators.scan import RANGE, own, segmented
 
 
 def by_metadata(nodes: DataFrame, column: str, values: list[str], key: str = "id") -> DataFrame:
@@ -24,10 +25,20 @@ def by_ids(nodes: DataFrame, ids: list[int], key: str = "id") -> DataFrame:
 
 
 def located(rows: DataFrame, batches: DataFrame) -> DataFrame:
-    """rows (abs_row) with batch and row: batches (batch, start) are few, so the last start at or before a row is found in a sorted literal."""
-    starts = [r["start"] for r in batches.orderBy("batch").collect()]
-    at = F.size(F.filter(F.lit(starts), lambda s: s <= F.col("abs_row"))) - 1
-    return rows.withColumn("batch", at).withColumn("row", F.col("abs_row") - F.get(F.lit(starts), F.col("batch")))
+    """rows (abs_row) with batch, that of the last start at or before the row, and row, the place in it: batches (batch, start), of any number.
+
+    Starts and rows are one line, on which the last start is carried on, over ranges if it is long. A row before the first start, or without a number, has nulls.
+    """
+    start = F.struct("batch", "start")
+    kind = batches.select(start.alias("s")).schema["s"].dataType
+    at = rows.select(F.lit(0).alias("__all"), F.col("abs_row").alias("__at"), F.lit(1).alias("__row"), F.lit(None).cast(kind).alias("__start"), F.struct(*rows.columns).alias("__own"))
+    own_kind = at.schema["__own"].dataType
+    line = at.where("__at is not null").unionByName(batches.select(F.lit(0).alias("__all"), F.col("start").alias("__at"), F.lit(0).alias("__row"), start.alias("__start"), F.lit(None).cast(own_kind).alias("__own")))
+    order = ["__at", "__row"]
+    w = Window.partitionBy(RANGE, "__all").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = own(segmented(line, ["__all"], order, before=1, keep=F.col("__row") == 0).withColumn("__start", F.last("__start", ignorenulls=True).over(w))).where("__row = 1")
+    out = met.unionByName(at.where("__at is null"))
+    return out.select("__own.*", F.col("__start.batch").alias("batch"), (F.col("__at") - F.col("__start.start")).alias("row"))
 
 
 def edges_within(edges: DataFrame, members: DataFrame) -> DataFrame:

@@ -342,3 +342,19 @@ def test_trials_and_signals_out_of_order(spark, many_ranges):
     rows = [(i, 0, s, "c", q, t) for i, (s, q, t) in enumerate([("u", 2, 5), ("u", 1, 5), ("v", 1, 5), ("v", 1, 6), ("u", 7, 4)])]
     found = {r["ordinal"]: (r["position"], r["problem"]) for r in temporal.ordered_signals(spark.createDataFrame(rows, "ordinal long, experience long, stream string, channel string, sequence long, tick long")).collect()}
     assert found == {0: (3, None), 1: (1, None), 2: (2, None), 3: (4, "repeated"), 4: (0, "time_back")}
+
+
+@pytest.mark.parametrize("most", [1_000_000, 20])
+def test_rows_find_their_batch(spark, many_ranges, monkeypatch, most):
+    from axonlake.operators import reports
+
+    monkeypatch.setattr(scan, "SERIES", most)
+    starts = [(b, 40 * b + 3) for b in range(9)] + [(20, 5000)]
+    rows = [(i, f"r{i}") for i in [*range(400), 4999, 5000, 9999]] + [(7, "twice"), (None, "none")]
+    got = reports.located(spark.createDataFrame(rows, "abs_row long, name string"), spark.createDataFrame(starts, "batch int, start long"))
+    assert got.columns == ["abs_row", "name", "batch", "row"]
+    want = []
+    for i, name in rows:
+        own = [(b, s) for b, s in starts if i is not None and s <= i]
+        want.append((i, name, *((own[-1][0], i - own[-1][1]) if own else (None, None))))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
