@@ -48,14 +48,15 @@ def edges_within(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def collect_counters(asked: DataFrame, held: DataFrame, key: str = "text") -> DataFrame:
-    """One row: asked, held_out, deduplicated (rows beyond the first of a text), answered, no_answer; held-out texts count first and once. asked (text, answer)."""
-    h = held.select(F.col("sha256").alias("__h")).distinct()
-    rows = asked.join(h, F.sha2(F.col(key).cast("binary"), 256) == F.col("__h"), "left")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("answer").isNull(), "answer"))
-    rows = rows.withColumn("__k", rank)
+    """One row: asked, held_out, deduplicated (rows beyond the first of a text), answered, no_answer; held-out texts count first and once. asked (text, answer).
+
+    A text is a digest with its rows and answers, combined before the shuffle, so a text that most rows ask costs no more than others.
+    """
+    texts = asked.groupBy(F.sha2(F.col(key).cast("binary"), 256).alias("__s")).agg(F.count("*").alias("n"), F.count("answer").alias("answers"))
+    rows = texts.join(held.select(F.col("sha256").alias("__h")).distinct(), F.col("__s") == F.col("__h"), "left")
     out = F.col("__h").isNotNull()
-    first = ~out & (F.col("__k") == 1)
-    return rows.agg(F.count("*").alias("asked"), F.count_if(out).alias("held_out"), F.count_if(~out & (F.col("__k") > 1)).alias("deduplicated"), F.count_if(first & F.col("answer").isNotNull()).alias("answered"), F.count_if(first & F.col("answer").isNull()).alias("no_answer"))
+    total = lambda test, v: F.coalesce(F.sum(F.when(test, v)), F.lit(0))
+    return rows.agg(total(F.lit(True), F.col("n")).alias("asked"), total(out, F.col("n")).alias("held_out"), total(~out, F.col("n") - 1).alias("deduplicated"), F.count_if(~out & (F.col("answers") > 0)).alias("answered"), F.count_if(~out & (F.col("answers") == 0)).alias("no_answer"))
 
 
 def segment_hit(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column, radius: float) -> Column:
