@@ -45,8 +45,9 @@ def asof_linear(samples: DataFrame, grid: DataFrame, by: list[str]) -> DataFrame
     """Each grid row between two samples with the value on the line between them, kept within their range; at or after the last sample it holds, before the first it is null."""
     rows = segmented(_merged(samples, grid, by), by, ["tick", "__grid"], before=1, after=1, keep=F.col("__grid") == 0, counted=_counted(samples, grid, by))
     back = Window.partitionBy(RANGE, *by).orderBy("tick", "__grid").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(RANGE, *by).orderBy("tick", "__grid").rowsBetween(1, Window.unboundedFollowing)
-    out = own(rows.withColumns({"__l": F.last("__s", ignorenulls=True).over(back), "__r": F.first("__s", ignorenulls=True).over(ahead)})).where("__grid = 1")
+    # looks back from the end: a frame that grows is carried on row by row, one that shrinks would be read anew for each row
+    ahead = Window.partitionBy(RANGE, *by).orderBy(F.desc("tick"), F.desc("__grid")).rowsBetween(Window.unboundedPreceding, -1)
+    out = own(rows.withColumns({"__l": F.last("__s", ignorenulls=True).over(back), "__r": F.last("__s", ignorenulls=True).over(ahead)})).where("__grid = 1")
     left, right = F.col("__l.value").cast("double"), F.col("__r.value").cast("double")
     part = (F.col("tick") - F.col("__l.tick")).cast("double") / (F.col("__r.tick") - F.col("__l.tick")).cast("double")
     line = F.least(F.greatest(left + (right - left) * part, F.least(left, right)), F.greatest(left, right))

@@ -34,8 +34,9 @@ UNIT = "model_step"
 def _next_update(rows: DataFrame, order: Column, last: Column, name: str) -> DataFrame:
     """rows (learner, ordinal, of, ...) with `name`, the ordinal of the first update at or after each feedback's place."""
     keyed = segmented(rows.withColumns({"__o": order, "__l": last}), ["learner"], ["__o", "__l", "ordinal"], after=1, keep=F.col("kind") == "update")
-    ahead = Window.partitionBy(RANGE, "learner").orderBy("__o", "__l", "ordinal").rowsBetween(1, Window.unboundedFollowing)
-    return own(keyed.withColumn(name, F.first(F.when(F.col("kind") == "update", F.col("ordinal")), ignorenulls=True).over(ahead))).drop("__o", "__l")
+    # looks back from the end: a frame that grows is carried on row by row, one that shrinks would be read anew for each row
+    ahead = Window.partitionBy(RANGE, "learner").orderBy(F.desc("__o"), F.desc("__l"), F.desc("ordinal")).rowsBetween(Window.unboundedPreceding, -1)
+    return own(keyed.withColumn(name, F.last(F.when(F.col("kind") == "update", F.col("ordinal")), ignorenulls=True).over(ahead))).drop("__o", "__l")
 
 
 def judged(messages: DataFrame, unit: str = UNIT) -> DataFrame:
