@@ -89,14 +89,23 @@ def ordered_digest(columns: list[str], order: list[str]) -> Column:
     return F.sha2(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").cast("binary"), 256)
 
 
+def _divided(tick: Column, source_ticks: int, steps: int) -> tuple[Column, Column]:
+    """(tick * steps div source_ticks, cut towards zero, as a long; the remainder, with the sign of the ticks); source_ticks are positive."""
+    ticks, by = tick.cast("decimal(19,0)") * F.lit(steps).cast("decimal(19,0)"), F.lit(source_ticks).cast("decimal(19,0)")
+    rest = ticks % by
+    return F.call_function("div", ticks - rest, by).cast("long"), rest
+
+
 def floor_steps(tick: Column, source_ticks: int, steps: int) -> Column:
-    """floor(tick * steps / source_ticks) without overflow."""
-    return F.floor(tick.cast("decimal(38,0)") * steps / F.lit(source_ticks)).cast("long")
+    """floor(tick * steps / source_ticks) without overflow: by whole numbers, for a quotient of decimals is rounded to a few digits."""
+    whole, rest = _divided(tick, source_ticks, steps)
+    return whole - F.when(rest < 0, 1).otherwise(0)
 
 
 def ceil_steps(tick: Column, source_ticks: int, steps: int) -> Column:
-    """ceil(tick * steps / source_ticks) without overflow."""
-    return F.ceil(tick.cast("decimal(38,0)") * steps / F.lit(source_ticks)).cast("long")
+    """ceil(tick * steps / source_ticks) without overflow, by whole numbers like floor_steps."""
+    whole, rest = _divided(tick, source_ticks, steps)
+    return whole + F.when(rest > 0, 1).otherwise(0)
 
 
 #: What is masked in a line, and what stands in its place.
