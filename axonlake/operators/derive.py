@@ -30,9 +30,11 @@ def unused_keys(keyed: DataFrame, events: DataFrame, keys: list[str]) -> DataFra
     return keyed.join(events.select(*keys).distinct(), keys, "left_anti")
 
 
-def pair_means(matched: DataFrame, pair: list[str], channels: list[str]) -> DataFrame:
-    """Mean of each channel over a pair's matched events, the index of the largest (the first on ties) and its mean as a 32-bit float."""
+def pair_means(matched: DataFrame, pair: list[str], channels: list[str], places: int | None = None) -> DataFrame:
+    """Mean of each channel over a pair's matched events, the index of the largest (the first on ties) and its mean as a 32-bit float. With `places`, means are rounded to so many and compared as rounded."""
     means = matched.groupBy(*pair).agg(F.count("*").alias("matched"), *(F.avg(F.col(c).cast("double")).alias(c) for c in channels))
+    if places is not None:
+        means = means.withColumns({c: F.round(c, places) for c in channels})
     both = means.withColumn("__all", F.array(*channels))
     return both.withColumns({"best": argmax(F.col("__all")), "confidence": F.array_max("__all").cast("float")}).drop("__all")
 

@@ -175,8 +175,7 @@ M = "means AS (SELECT l_suppkey, l_returnflag, count(*) AS matched, avg(l_discou
 @query(f"WITH {M} SELECT l_suppkey, l_returnflag, matched, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, CAST(list_position([round(a, 6), round(b, 6), round(c, 6)], greatest(round(a, 6), round(b, 6), round(c, 6))) - 1 AS INT) AS best FROM means")
 def pair_mean_argmax(spark, d):
     li = table(spark, d, "lineitem").withColumns({"a": F.col("l_discount"), "b": F.col("l_tax"), "c": F.col("l_quantity") / 500})
-    out = derive.pair_means(li, ["l_suppkey", "l_returnflag"], ["a", "b", "c"])
-    return out.select("l_suppkey", "l_returnflag", "matched", *(six(c).alias(c) for c in "abc"), "best")
+    return derive.pair_means(li, ["l_suppkey", "l_returnflag"], ["a", "b", "c"], 6).select("l_suppkey", "l_returnflag", "matched", "a", "b", "c", "best")
 
 
 @query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM c) SELECT user_id, event_type AS label, n FROM r WHERE k = 1")
