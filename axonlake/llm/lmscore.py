@@ -61,7 +61,8 @@ class Chunk:
     """Some rows of a batch: their distinct words, and each token's row and number among the words."""
 
     def __init__(self, text: pa.Array, first: int):
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(text.cast(pa.large_string())))
+        # lower case first: of a slice cast to large strings, Arrow lowers other bytes than those of the slice
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(text).cast(pa.large_string()))
         found = lists.flatten().dictionary_encode()
         self.first, self.rows = first, len(text)
         self.words = found.dictionary.cast(pa.large_binary())
