@@ -67,8 +67,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """8 contiguous shards of near-equal bytes in the order of doc_id (null first): the documents with size, shard and slot, which replace columns of these names."""
-    return sharding.contiguous_shards(docs, sharding.text_bytes(), ["doc_id"])
+    """8 contiguous shards of near-equal bytes in the order of doc_id (null first): the documents with size, shard and slot, which replace columns of these names. The copies that the mix made travel as one row."""
+    return sharding.contiguous_shards(docs, sharding.text_bytes(), ["doc_id"], repeated=True)
 
 
 STAGES = [
