@@ -82,8 +82,8 @@ def self_loops(rows: DataFrame, src: str = "src", dst: str = "dst", weight: str
 
 
 def endpoints(rows: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Distinct ends of all rows."""
-    return rows.select(F.col(src).alias("id")).union(rows.select(F.col(dst).alias("id"))).where("id is not null").distinct()
+    """Distinct ends of all rows, which are read once."""
+    return rows.select(F.explode(F.array(src, dst)).alias("id")).where("id is not null").distinct()
 
 
 def prediction_profile(predictions: DataFrame, key: str = "id", label: str = "label") -> DataFrame:

@@ -28,8 +28,21 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
     return c.union(s).withColumn("abs_row", F.col("id"))
 
 
+#: Line items of a task of their join with orders, about, once there are more of them than tasks at a time.
+JOIN_ROWS = 1_000_000
+
+
+def _of_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Line items with their orders; a large table is dealt by its count, so what a task sorts and holds doesn't grow with it."""
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    parts = -(-lines.count() // JOIN_ROWS)
+    if parts > spark.sparkContext.defaultParallelism:
+        lines, orders = lines.repartition(parts, "l_orderkey"), orders.repartition(parts, "o_orderkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def rows(spark: SparkSession, d: str) -> DataFrame:
-    joined = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = _of_orders(spark, d)
     key = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     return joined.select((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"), F.col("l_quantity").cast("long").alias("weight"), key.alias("abs_row"))
 
@@ -53,8 +66,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def nations(spark: SparkSession, d: str) -> DataFrame:
     """Edges between nations: these have self loops, duplicates and ties."""
-    joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    joined = joined.join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    joined = _of_orders(spark, d).join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     return joined.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"), F.col("l_quantity").cast("long").alias("weight"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("abs_row"))
 
 
