@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axonlake.operators.order import few
 from axonlake.sources.shared import stash
 
 #: Texts of at least 2**TOP characters share one length class.
 TOP = 6
+#: Marks of needles up to which every task has them all.
+FEW = 1_000_000
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)  # odd 64-bit constants
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -49,13 +50,17 @@ def marks(text: str, length_class: int) -> np.ndarray:
     return np.unique(least)
 
 
-def _marked(batches, classes: list[int] | None):
-    """(id, class, mark) of texts: for the given classes, or for the class of the text's own length."""
+def _marked(batches, wanted=None):
+    """(id, class, mark) of texts: for the class of the text's own length, or for the given classes and, where they have some, of these sorted marks only."""
+    classes = None if wanted is None else wanted.value
     for b in batches:
         ids, kinds, found = [], [], []
         for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             for c in [min(len(text).bit_length() - 1, TOP)] if classes is None else classes:
                 own = marks(text, c)
+                if classes is not None and classes[c] is not None:
+                    at = np.searchsorted(classes[c], own)
+                    own = own[classes[c][np.minimum(at, len(classes[c]) - 1)] == own]
                 ids += [ident] * len(own)
                 kinds.append(np.full(len(own), c, np.int32)), found.append(own.astype(np.int64))
         cat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0, kind))
@@ -69,10 +74,15 @@ def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
     `contains` confirms. Needles of 1, 2 to 3, 4 to 7, ... and 64 or more characters are classes of their own, whose marks suit their length.
     """
     schema = "id string, class int, mark long"
-    own = stash(needles.mapInArrow(functools.partial(_marked, classes=None), schema), "needle-marks")
-    classes = [r["class"] for r in own.select("class").distinct().collect()]  # at most TOP + 1
-    there = texts.mapInArrow(functools.partial(_marked, classes=classes), schema)
-    there = stash(there.join(few(own.select("class", "mark").distinct(), 1_000_000), ["class", "mark"]), "text-marks")
+    own = stash(needles.mapInArrow(_marked, schema), "needle-marks")
+    wanted, classes = own.select("class", "mark").distinct(), {r["class"]: None for r in own.select("class").distinct().collect()}  # at most TOP + 1
+    found = wanted.limit(FEW + 1).toArrow()
+    if found.num_rows <= FEW:  # the others' marks need not leave the task that makes them
+        kind, mark = found["class"].to_numpy(), found["mark"].to_numpy().view(np.uint64)
+        classes = {c: np.sort(mark[kind == c]) for c in classes}
+    shared = needles.sparkSession.sparkContext.broadcast(classes)
+    there = texts.mapInArrow(functools.partial(_marked, wanted=shared), schema)
+    there = stash(there if found.num_rows <= FEW else there.join(wanted, ["class", "mark"]), "text-marks")
     often = there.groupBy("class", "mark").agg(F.count("*").alias("n"))
     # a needle with a mark that no text has is in none
     rarest = own.join(often, ["class", "mark"], "left").groupBy("id", "class").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "mark")).alias("least"))
@@ -91,5 +101,6 @@ def without_overlap(texts: DataFrame, held: DataFrame, column: str = "text") ->
 
     own = F.trim(F.col(column))
     mine, others = stash(distinct(texts, own), "texts"), stash(distinct(held, own), "held")
-    out = contained(others, mine).select("id").union(contained(mine, others).select(F.col("needle").alias("id"))).distinct()
+    longest = others.agg(F.coalesce(F.max(F.length("text")), F.lit(0))).first()[0]  # nothing longer lies in a held-out text
+    out = contained(others, mine).select("id").union(contained(mine.where(F.length("text") <= longest), others).select(F.col("needle").alias("id"))).distinct()
     return texts.join(out.withColumnRenamed("id", "__id"), F.sha2(own.cast("binary"), 256) == F.col("__id"), "left_anti")
