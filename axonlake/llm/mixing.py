@@ -52,7 +52,7 @@ def allot(totals: DataFrame, weights: tuple[float, ...], volume: float, epochs:
     return water_fill(sources, volume * (sources.agg(F.sum("size")).first()[0] or 0), epochs)
 
 
-def mix(df: DataFrame, size: Column, key: str = "doc_id", source: str = "source", weights: tuple[float, ...] = (3, 1, 2), volume: float = 1.5, epochs: float = 2.0, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
+def mix(df: DataFrame, size: Column, key: str = "doc_id", source: str = "source", weights: tuple[float, ...] = (3, 1, 2), volume: float = 1.5, epochs: float = 2.0, seed: int = 0, keep: list[str] | None = None, stored: bool = True) -> DataFrame:
     """Columns `keep` (default: the key) of every row, its size, source_size and target, and how often the mix takes it: `copies` and `taken` = copies * size.
 
     Sources get targets by water_fill. Of a source, every row is repeated as often as whole epochs fit; the rest of the
@@ -62,10 +62,13 @@ def mix(df: DataFrame, size: Column, key: str = "doc_id", source: str = "source"
     task of its own. Rows with a null key share one place in the order, repeated rows as well; rows of size 0 are
     taken with what surrounds them. Null is a source of its own; there may be any number of sources. Texts are taken whole.
     Columns of `keep` called size, source_size, target, copies or taken are left out. An empty df gives no rows.
+    The rows are written once; with `stored` False they are read from df each time, which must be a table then: a copy of kept texts takes as much disk as they do.
     """
     keep = [c for c in ([key] if keep is None else keep) if c not in ADDED]
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-    rows = stash(df.select(*keep, F.col(source).cast("string").alias("__source"), size.cast("long").alias("__size"), order.alias("__order")), "mix")
+    rows = df.select(*keep, F.col(source).cast("string").alias("__source"), size.cast("long").alias("__size"), order.alias("__order"))
+    if stored:
+        rows = stash(rows, "mix")
     bucket = F.substring("__order", 1, DIGITS)
     sums = stash(rows.groupBy("__source", bucket.alias("__bucket")).agg(F.sum("__size").alias("__sum")), "mix-sums")
     plan = allot(sums.groupBy(F.col("__source").alias("source")).agg(F.sum("__sum").alias("size")), weights, volume, epochs)

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from axonlake.llm.common import read
 from axonlake.llm.linear import Ftrl, featured, probability, sample
@@ -134,14 +135,15 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS) -> list[Ft
     return fit_chain(found, kinds(found, y))
 
 
-def scored(docs: DataFrame, models: list[Ftrl], threshold: float = 0.5) -> DataFrame:
-    """doc_id, a probability p_<category> for each category, and `rejected` (the last one reaches the threshold) of every row; one pass, no shuffle.
+def scored(docs: DataFrame, models: list[Ftrl], threshold: float = 0.5, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """Columns `keep` (default: doc_id), a probability p_<category> for each category, and `rejected` (the last one reaches the threshold) of every row; one pass, no shuffle.
 
     Null and empty texts have no features and score as the bias says. Repeated rows score alike; long texts are taken whole;
-    columns besides doc_id and text are left alone, whatever their names. Without labels all probabilities are 0.5 and
-    nothing is rejected. An empty table gives no rows.
+    other columns than text and those kept are left alone, whatever their names; names of the added ones begin with `prefix`. Without
+    labels all probabilities are 0.5 and nothing is rejected. An empty table gives no rows.
     """
-    categories = CATEGORIES
+    keep = ["doc_id"] if keep is None else keep
+    added = [f"{prefix}p_{c}" for c in CATEGORIES]
     trained = any(m.n.any() or m.bias_n for m in models)
     sparse = [(np.flatnonzero(w := m.weights()), w[w != 0], m.bias()) for m in models]
     shared = docs.sparkSession.sparkContext.broadcast((len(models[0].z), sparse))
@@ -163,12 +165,12 @@ def scored(docs: DataFrame, models: list[Ftrl], threshold: float = 0.5) -> DataF
                     chain.append(float(probability(bias + weights[at] @ x)))
                 out.append(chain)
             table = np.array(out, float).reshape(-1, len(models))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(table[:, k]) for k in range(table.shape[1]))], names=["doc_id", *(f"p_{c}" for c in categories)])
+            kept = [b.column(b.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(table[:, k]) for k in range(table.shape[1]))], names=[*keep, *added])
 
-    rows = docs.select("doc_id", "text")
-    kind = dict(rows.dtypes)["doc_id"]
-    out = rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"p_{c} double" for c in categories))
-    return out.withColumn("rejected", (F.col(f"p_{categories[-1]}") >= threshold) & F.lit(trained))
+    rows = docs if keep == docs.columns else docs.select(*keep, *([] if "text" in keep else ["text"]))
+    out = rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in keep), *(T.StructField(c, T.DoubleType()) for c in added)]))
+    return out.withColumn(f"{prefix}rejected", (F.col(added[-1]) >= threshold) & F.lit(trained))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,10 +36,9 @@ def _without(rows: DataFrame, numbers: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier chain rejects go, whatever their doc_id."""
-    rows = _numbered(docs)
-    verdict = toxicity.scored(_by_row(rows), toxicity.learn(rows, read(spark, sf_dir, "labels")))
-    return _without(rows, verdict.where("rejected"))
+    """Rows that the classifier chain rejects go, whatever their doc_id. A row and its verdict pass together, so none is numbered, written or joined."""
+    verdict = toxicity.scored(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")), keep=docs.columns, prefix="__")
+    return verdict.where("not __rejected").drop(*(c for c in verdict.columns if c not in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated as the mix of 150 % of the words asks, sources weighing 3, 1, 2 and at most 2 epochs. A source without words gives no rows."""
     # columns with names that the mix uses ride along under others
     names = {c: f"__kept_{i}" if c in mixing.ADDED else c for i, c in enumerate(docs.columns)}
-    mixed = mixing.mix(docs.withColumnsRenamed(names), mixing.word_count(), keep=list(names.values()))
+    mixed = mixing.mix(docs.withColumnsRenamed(names), mixing.word_count(), keep=list(names.values()), stored=False)
     return mixing.repeat(mixed.select(*(F.col(own).alias(c) for c, own in names.items()), F.col("copies").alias("__copies")), "__copies")
 
 
