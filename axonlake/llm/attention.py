@@ -12,13 +12,24 @@ _LOWER = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    """Softmax over the last axis; z is overwritten."""
-    z -= z.max(axis=-1, keepdims=True)
+    """Softmax over the last axis; z is overwritten. Maxima are taken off only where exponents could leave the range."""
+    if z.max(initial=0) > 60 or z.min(initial=0) < -60:
+        z -= z.max(axis=-1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=-1, keepdims=True)
+    z /= (z @ np.ones(z.shape[-1], z.dtype))[..., None]
     return z
 
 
+def _added(ids: np.ndarray, rows: np.ndarray, tokens: int) -> np.ndarray:
+    """Sums of the rows of each id."""
+    order = np.argsort(ids.astype(np.int32), kind="stable")
+    of = ids.take(order)
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    out = np.zeros((tokens, rows.shape[1]), rows.dtype)
+    out[of[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+    return out
+
+
 def _by_class(following: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """The order that brings the ids of a class together, and where each class begins and ends."""
     group = (following // MEMBERS).astype(np.int16)
@@ -50,8 +61,13 @@ class Attention:
         q, k, v = (y.reshape(n, length, d) for y in np.split(x.reshape(-1, d) @ w["qkv"], 3, axis=1))
         a = q @ k.transpose(0, 2, 1)
         a *= np.float32(d**-0.5)
-        a[:, _LOWER[:length, :length] == 0] = -np.inf
-        a = _softmax(a)
+        lower = _LOWER[:length, :length].astype(a.dtype, copy=False)
+        if a.max(initial=0) > 60 or a.min(initial=0) < -60:
+            a[:, lower == 0] = -np.inf
+            a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
+        a *= lower
+        a /= (a @ np.ones(length, a.dtype))[..., None]
         c = a @ v
         h = x + np.tanh(c.reshape(-1, d) @ w["mix"]).reshape(n, length, d)
         return h, (x, q, k, v, a, c)
@@ -70,21 +86,22 @@ class Attention:
         h, (x, q, k, v, a, c) = self.forward(ids)
         n, length = ids.shape
         classes = self.classes.shape[1]
-        at = np.flatnonzero(following.reshape(-1) >= 0)
-        order, edge = _by_class(following.reshape(-1)[at], classes)
-        at = at[order]
-        y, prev, hf, size = following.reshape(-1)[at], ids.reshape(-1)[at], h.reshape(-1, d)[at], max(len(at), 1)
+        flat, all_ids = following.reshape(-1), ids.reshape(-1)
+        at = np.flatnonzero(flat >= 0)
+        order, edge = _by_class(flat.take(at), classes)
+        at = at.take(order)
+        y, prev, hf, size = flat.take(at), all_ids.take(at), h.reshape(-1, d).take(at, axis=0), max(len(at), 1)
         group, rows = y // MEMBERS, np.arange(len(at))
         runs = [(slice(lo, hi), slice(g * MEMBERS, (g + 1) * MEMBERS)) for g, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if lo < hi]
-        g1, g2 = _softmax(self.classes[prev] + hf @ w["out"]), self.pairs[prev * classes + group].astype(hf.dtype)
+        g1, g2 = hf @ w["out"], self.pairs.take(prev * classes + group, axis=0).astype(hf.dtype, copy=False)
+        g1 += self.classes.take(prev, axis=0)
         for own, members in runs:
             g2[own] += hf[own] @ w["within"][members].T
-        g2 = _softmax(g2)
-        loss = -float(np.log(g1[rows, group] * g2[rows, y % MEMBERS] + 1e-30).sum()) / size
-        g1[rows, group] -= 1
-        g2[rows, y % MEMBERS] -= 1
-        g1 /= size
-        g2 /= size
+        g1, g2 = _softmax(g1), _softmax(g2)
+        class_at, member_at = rows * classes + group, rows * MEMBERS + y % MEMBERS
+        loss = -float(np.log(g1.reshape(-1).take(class_at) * g2.reshape(-1).take(member_at) + 1e-30).sum()) / size
+        g1.reshape(-1)[class_at] -= 1
+        g2.reshape(-1)[member_at] -= 1
         out = {"out": hf.T @ g1, "within": np.zeros_like(w["within"])}
         dh, top = np.zeros((n * length, d), h.dtype), g1 @ w["out"].T
         for own, members in runs:
@@ -95,31 +112,46 @@ class Attention:
         dt = dh * (1 - t * t)
         out["mix"] = c.reshape(-1, d).T @ dt
         dc = (dt @ w["mix"].T).reshape(n, length, d)
-        da = dc @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(d**-0.5)
+        ds = dc @ v.transpose(0, 2, 1)
+        ds -= np.einsum("nld,nld->nl", dc, c)[..., None]
+        ds *= a
+        ds *= np.float32(d**-0.5)
         dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc
         both = np.concatenate([dq, dk, dv], axis=2).reshape(-1, 3 * d)
         out["qkv"] = x.reshape(-1, d).T @ both
-        dx = (dh + both @ w["qkv"].T).reshape(n, length, d)
+        dx = both @ w["qkv"].T
+        dx += dh
         out["pos"] = np.zeros_like(w["pos"])
-        out["pos"][:length] = dx.sum(axis=0)
-        out["emb"] = np.zeros_like(w["emb"])
-        np.add.at(out["emb"], ids.reshape(-1), dx.reshape(-1, d))
+        out["pos"][:length] = dx.reshape(n, length, d).sum(axis=0)
+        out["emb"] = _added(all_ids, dx, len(w["emb"]))
+        for g in out.values():
+            g /= size
         return loss, out
 
     def train(self, ids: np.ndarray, following: np.ndarray, steps: int = 1200, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Attention:
         """Adam over random batches of windows; the rate falls to nothing."""
-        rng, m, s = np.random.default_rng(seed), {k: np.zeros_like(v) for k, v in self.w.items()}, {k: np.zeros_like(v) for k, v in self.w.items()}
+        rng, adam = np.random.default_rng(seed), Adam(self)
         for t in range(1, steps + 1 if len(ids) else 1):
             pick = rng.integers(0, len(ids), min(batch, len(ids)))
-            _, grads = self.gradients(ids[pick], following[pick])
-            for k, g in grads.items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                s[k] = 0.98 * s[k] + 0.02 * g * g
-                self.w[k] -= (rate * (1 - t / steps) * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.98**t)) + 1e-8)).astype(np.float32)
+            adam.step(ids[pick], following[pick], rate * (1 - t / steps))
         return self
 
 
+class Adam:
+    """Moves a model's weights along running means of its gradients, batch by batch."""
+
+    def __init__(self, model: Attention):
+        self.model, self.t = model, 0
+        self.m, self.s = ({k: np.zeros_like(v) for k, v in model.w.items()} for _ in range(2))
+
+    def step(self, ids: np.ndarray, following: np.ndarray, rate: float) -> None:
+        self.t += 1
+        for k, g in self.model.gradients(ids, following)[1].items():
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g
+            self.s[k] = 0.98 * self.s[k] + 0.02 * g * g
+            self.model.w[k] -= (rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.98**self.t)) + 1e-8)).astype(np.float32)
+
+
 class Scorer:
     """Log-probabilities of given ids by a trained model, as log_prob_all gives them, in few passes over contiguous tables: a
     constant column rides along, so that sums and weights come out of the same products, and only the class of the given id is opened."""

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonlake.llm.attention import CONTEXT, MEMBERS, STEP, Attention, Scorer
+from axonlake.llm.attention import CONTEXT, MEMBERS, STEP, Adam, Attention, Scorer
 from axonlake.llm.common import held_out, read, small, stash
 from axonlake.llm.words import STEP as GOLDEN
 from axonlake.llm.words import mixed
@@ -23,8 +23,10 @@ from axonlake.llm.words import mixed
 TOKENIZER, FOLDS = "/opt/tokenizers/byte_bpe_50k.tiktoken", 5
 #: Ids of the model: the end, the most frequent subwords of all training rows, and one for all other subwords.
 TOKENS = 1024
-#: Windows on which attention is fitted: drawn over all training rows by a seed, so many expected in all and as many from each row. Everything else is counted over all training rows.
+#: Windows on which attention is fitted first, to have a common start: drawn over all training rows by a seed, so many expected in all and as many from each row.
 WINDOWS = 32_768
+#: From that start, tasks fit it on every place of all training rows: windows in a step, and the rate of the first steps.
+FIT_BATCH, FIT_RATE = 256, 0.003
 #: Words whose counts are sent to every task: the most frequent, at most so many; the others meet their counts in a join.
 COMMON_WORDS = 300_000
 #: What absolute discounting takes from each count of a pair.
@@ -193,6 +195,44 @@ def _attention(counts: DataFrame, size: int) -> tuple[Attention, np.ndarray, np.
     return Attention(_smoothed(table[order][:, order])).train(*_padded(windows, place[to])), place[to], rare
 
 
+def _fitted(batches, shared):
+    """Weights of the model after steps over all places of the training rows of a partition, times the number of places; (place among all weights, that product, places)."""
+    ranks, model, model_id = shared.value
+    model.w = {k: v.copy() for k, v in model.w.items()}  # the broadcast value may serve other tasks of this worker
+    sub, adam, rng, seen, places = Subwords(ranks), Adam(model), np.random.default_rng(0), 0, np.arange(CONTEXT)
+    for b in batches:
+        for c in _chunks(b):
+            raw, start, _ = c.sequence(sub)
+            seq, n = model_id[raw], -(-np.diff(start) // CONTEXT)
+            row = np.repeat(np.arange(c.rows), n)
+            begin = start[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * CONTEXT
+            order = rng.permutation(len(row))
+            for lo in range(0, len(order), FIT_BATCH):
+                own = order[lo : lo + FIT_BATCH]
+                at = begin[own, None] + places
+                inside = at < start[row[own] + 1][:, None]
+                np.minimum(at, len(seq) - 2, out=at)
+                adam.step(seq[at], np.where(inside, seq[at + 1], -1), FIT_RATE * len(own) / FIT_BATCH / math.sqrt(1 + adam.t / 200))
+                seen += int(inside.sum())
+    if seen:
+        flat = np.concatenate([model.w[k].reshape(-1) for k in sorted(model.w)]).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), seen, np.int64))], names=["at", "total", "places"])
+
+
+def _over_all(train: DataFrame, ranks: bytes, model: Attention, model_id: np.ndarray) -> tuple[Attention, int]:
+    """(model, places) after one pass over every place of all training rows: each task goes on from the given weights over its rows, and the tasks' weights are averaged by their places."""
+    shared = train.sparkSession.sparkContext.broadcast((ranks, model, model_id))
+    moved = train.select("text").mapInArrow(functools.partial(_fitted, shared=shared), "at int, total double, places long")
+    got = moved.groupBy("at").agg(F.sum("total").alias("total"), F.sum("places").alias("places")).toArrow().sort_by("at")  # as many as the model has weights
+    if not len(got):
+        return model, 0
+    flat, lo = got["total"].to_numpy() / got["places"].to_numpy(), 0
+    for k in sorted(model.w):
+        model.w[k] = flat[lo : lo + model.w[k].size].reshape(model.w[k].shape).astype(np.float32)
+        lo += model.w[k].size
+    return model, int(got["places"][0].as_py())
+
+
 def windows(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, places at the start that the window before scored) of overlapping windows over so many places a row: every place is scored once."""
     n = 1 + np.maximum(0, -(-(places - CONTEXT) // STEP))
@@ -252,7 +292,8 @@ def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, folds: int = FO
     task has, its other words meet their counts in a join. Attention model: the log-probability of the text's subword ids (words
     in lower case, each with a space before it, then the end). Counts of pairs of ids over all training rows say how likely an
     id is after the one before it; attention over up to 32 ids moves these odds, for each id, in overlapping windows that score
-    each id once. It is fitted on WINDOWS windows drawn over all training rows, ends and short texts included.
+    each id once. It is fitted on every place of all training rows, ends and short texts included: from a common start (a fit on WINDOWS
+    drawn windows) each task goes once over its rows, and the weights are averaged by places. So the scores depend on how rows lie in partitions, a little.
     Null and empty texts consist of the end alone. Repeated rows are scored alike and each counts; a null doc_id is no
     held-out row. Without training rows both models are uniform or nearly so. Long texts are scored whole. An empty table gives no rows.
     """
@@ -280,6 +321,7 @@ def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, folds: int = FO
     top = (words.where(F.col("n") >= least) if least is not None else words.limit(0)).toArrow()
     common, log_share = top["word"].combine_chunks().cast(pa.large_binary()), np.log10(top["n"].to_numpy() + 0.5) - norm
     model, model_id, rare = _attention(counts, size)
+    model, _ = _over_all(train, ranks, model, model_id)
     # every text's end is a token, and known if there are training rows
     end_share = math.log10(rows + 0.5) - norm
     shared = spark.sparkContext.broadcast((ranks, model, model_id, rare, common, log_share, end_share))
