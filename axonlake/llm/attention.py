@@ -8,6 +8,8 @@ import numpy as np
 CONTEXT, STEP = 32, 28
 #: Ids of a class; an id's class is id // MEMBERS.
 MEMBERS = 32
+#: Windows whose attention is worked out at a time when scoring: their tables stay in a core's cache.
+AT_ONCE = 64
 _LOWER = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
 
 
@@ -22,7 +24,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def _added(ids: np.ndarray, rows: np.ndarray, tokens: int) -> np.ndarray:
     """Sums of the rows of each id."""
-    order = np.argsort(ids.astype(np.int32), kind="stable")
+    order = np.argsort(ids.astype(np.int16 if tokens < 2**15 else np.int32), kind="stable")  # 16 bits are sorted by digits
     of = ids.take(order)
     first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
     out = np.zeros((tokens, rows.shape[1]), rows.dtype)
@@ -31,10 +33,22 @@ def _added(ids: np.ndarray, rows: np.ndarray, tokens: int) -> np.ndarray:
 
 
 def _by_class(following: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that brings the ids of a class together, and where each class begins and ends."""
+    """The order that brings the ids of a class together, without padding (-1), and where each class begins and ends."""
     group = (following // MEMBERS).astype(np.int16)
     order = np.argsort(group, kind="stable")
-    return order, np.searchsorted(group[order], np.arange(classes + 1))
+    edge = np.searchsorted(group.take(order), np.arange(classes + 1))
+    return order[edge[0] :], edge - edge[0]
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """tanh by one exponential; x is overwritten."""
+    x *= 2
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+    return x
 
 
 class Attention:
@@ -69,7 +83,7 @@ class Attention:
         a *= lower
         a /= (a @ np.ones(length, a.dtype))[..., None]
         c = a @ v
-        h = x + np.tanh(c.reshape(-1, d) @ w["mix"]).reshape(n, length, d)
+        h = x + _tanh(c.reshape(-1, d) @ w["mix"]).reshape(n, length, d)
         return h, (x, q, k, v, a, c)
 
     def log_prob_all(self, ids: np.ndarray) -> np.ndarray:
@@ -87,9 +101,7 @@ class Attention:
         n, length = ids.shape
         classes = self.classes.shape[1]
         flat, all_ids = following.reshape(-1), ids.reshape(-1)
-        at = np.flatnonzero(flat >= 0)
-        order, edge = _by_class(flat.take(at), classes)
-        at = at.take(order)
+        at, edge = _by_class(flat, classes)
         y, prev, hf, size = flat.take(at), all_ids.take(at), h.reshape(-1, d).take(at, axis=0), max(len(at), 1)
         group, rows = y // MEMBERS, np.arange(len(at))
         runs = [(slice(lo, hi), slice(g * MEMBERS, (g + 1) * MEMBERS)) for g, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if lo < hi]
@@ -153,53 +165,64 @@ class Adam:
 
 
 class Scorer:
-    """Log-probabilities of given ids by a trained model, as log_prob_all gives them, in few passes over contiguous tables: a
-    constant column rides along, so that sums and weights come out of the same products, and only the class of the given id is opened."""
+    """Log-probabilities of given ids by a trained model, as log_prob_all gives them, in few passes over contiguous tables: inputs,
+    queries, keys and values of an id and of a place are added up, a column of ones beside the values sums the weights, and only the class of the given id is opened."""
 
     def __init__(self, model: Attention):
-        w, (tokens, d) = model.w, model.w["emb"].shape
-        column = lambda x, last: np.concatenate([x, np.full((len(x), 1), last, np.float32)], axis=1)
-        row = lambda x: np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
-        self.emb, self.pos = column(w["emb"], 1), column(w["pos"], 0)
-        q, self.k, v = (np.ascontiguousarray(row(x)) for x in np.split(w["qkv"], 3, axis=1))
-        self.q, self.v, self.mix = q * np.float32(d**-0.5), column(v, 0), column(row(w["mix"]), 0)
-        self.v[d, d] = 1
-        self.out, self.within = row(w["out"]), np.ascontiguousarray(column(w["within"], 0).reshape(-1, MEMBERS, d + 1).transpose(0, 2, 1))
+        w, d = model.w, model.w["emb"].shape[1]
+        self.mix, self.out, self.within = w["mix"], w["out"], np.ascontiguousarray(w["within"].reshape(-1, MEMBERS, d).transpose(0, 2, 1))
         self.pairs, self.classes, self.one = model.pairs, model.classes, np.ones(MEMBERS, np.float32)
-        largest = lambda m: max(float(((self.emb + p) @ m).__pow__(2).sum(axis=1).max()) for p in self.pos)
+        qkv = w["qkv"].copy()
+        qkv[:, :d] *= np.float32(d**-0.5)
+        #: for each id and for each place: query, key, value, the one of the sum, input
+        self.of_id, self.of_place = (np.concatenate([w[k] @ qkv, np.full((len(w[k]), 1), one, np.float32), w[k]], axis=1) for k, one in (("emb", 1), ("pos", 0)))
+        largest = lambda own: sum(float(np.sqrt((x[:, own] ** 2).sum(axis=1).max())) for x in (self.of_id, self.of_place))
         #: whether exponents of attention stay in range whatever the ids
-        self.safe = largest(self.q) * largest(self.k) < 3600
+        self.safe = largest(slice(0, d)) * largest(slice(d, 2 * d)) < 60
 
-    def log_prob(self, ids: np.ndarray, following: np.ndarray) -> np.ndarray:
-        """Log-probability of the given id after each place of the windows (rows of ids)."""
-        n, length = ids.shape
-        flat, nxt, d = ids.reshape(-1), following.reshape(-1), self.emb.shape[1]
-        x = self.emb.take(flat, axis=0)
-        by_place = x.reshape(n, length, d)
-        by_place += self.pos[:length]
-        a = (x @ self.q).reshape(n, length, -1) @ (x @ self.k).reshape(n, length, -1).transpose(0, 2, 1)
+    def _weights(self, q: np.ndarray, k: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Attention, not yet divided by its sum, of the places lo to hi on those before hi; none on later ones."""
+        a, own = q[:, lo:hi] @ k[:, :hi].transpose(0, 2, 1), _LOWER[: hi - lo, : hi - lo]
         if not self.safe:
-            a[:, _LOWER[:length, :length] == 0] = -np.inf
+            a[:, :, lo:][:, own == 0] = -np.inf
             a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        a *= _LOWER[:length, :length]
-        c = (a @ (x @ self.v).reshape(n, length, d)).reshape(-1, d)
-        c /= c[:, -1:].copy()
-        h = c @ self.mix
-        np.tanh(h, out=h)
-        h += x
-        z = h @ self.out
-        z += self.classes.take(flat, axis=0)
+        a[:, :, lo:] *= own
+        return a
+
+    def _heads(self, ids: np.ndarray, skip: int) -> np.ndarray:
+        """What the head says after each place of the windows from the place `skip` on."""
+        (n, length), d = ids.shape, len(self.mix)
+        h, half = np.empty((n, length - skip, d), np.float32), (skip + length) // 2
+        for first in range(0, n, AT_ONCE):
+            own = ids[first : first + AT_ONCE]
+            x = self.of_id.take(own.reshape(-1), axis=0).reshape(*own.shape, -1)
+            x += self.of_place[:length]
+            q, k, v = x[:, :, :d], x[:, :, d : 2 * d], x[:, :, 2 * d : 3 * d + 1]
+            # in two halves: what comes after the first is not looked at by its places
+            c = np.concatenate([self._weights(q, k, lo, hi) @ v[:, :hi] for lo, hi in ((skip, half), (half, length)) if lo < hi], axis=1)
+            t = _tanh((c[:, :, :d] / c[:, :, d:]).reshape(-1, d) @ self.mix)
+            np.add(t.reshape(len(own), -1, d), x[:, skip:, 3 * d + 1 :], out=h[first : first + AT_ONCE])
+        return h
+
+    def log_prob(self, ids: np.ndarray, following: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Log-probability of the given id (-1: none; 0 is given) after each place of the windows (rows of ids) from the place `skip` on."""
+        h, nxt = self._heads(ids, skip), following[:, skip:].reshape(-1)
+        shape, classes = h.shape[:2], self.classes.shape[1]
+        order, edge = _by_class(nxt, classes)
+        h, prev, nxt = h.reshape(-1, h.shape[2]).take(order, axis=0), ids[:, skip:].reshape(-1).take(order), nxt.take(order)
         group = nxt // MEMBERS
-        out = _own(z, group, np.ones(z.shape[1], np.float32))
-        order, edge = _by_class(nxt, z.shape[1])
-        h, nxt = h.take(order, axis=0), nxt.take(order)
-        z = self.pairs.take(flat.take(order) * self.classes.shape[1] + nxt // MEMBERS, axis=0)
+        z = h @ self.out
+        z += self.classes.take(prev, axis=0)
+        got = _own(z, group, np.ones(classes, np.float32))
+        z = self.pairs.take(prev * classes + group, axis=0)
         for g, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
             if lo < hi:
                 z[lo:hi] += h[lo:hi] @ self.within[g]
-        out[order] += _own(z, nxt % MEMBERS, self.one)
-        return out.reshape(n, length)
+        got += _own(z, nxt - group * MEMBERS, self.one)
+        out = np.zeros(shape[0] * shape[1], np.float32)
+        out[order] = got
+        return out.reshape(shape)
 
 
 def _own(z: np.ndarray, which: np.ndarray, one: np.ndarray) -> np.ndarray:

@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from axonlake.llm.attention import CONTEXT, MEMBERS, STEP, Adam, Attention, Scorer
 from axonlake.llm.common import held_out, read, small, stash
@@ -35,28 +36,32 @@ DISCOUNT = 0.6
 CHUNK_BYTES, BATCH = 4_000_000, 512
 
 
-class Subwords(dict):
-    """Subword ids of each word, as packed 32-bit integers. Forgets all beyond a bound of words."""
+class Subwords:
+    """Subword ids of words."""
 
-    def __init__(self, ranks: bytes, limit: int = 200_000):
+    def __init__(self, ranks: bytes):
         import tiktoken
 
-        super().__init__()
         pairs = (line.split() for line in ranks.splitlines())
         ranks_of = {base64.b64decode(a): int(b) for a, b in pairs}
-        self.size, self.limit = max(ranks_of.values()) + 1, limit
-        self.piece = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks_of, special_tokens={})._encode_single_piece
-
-    def __missing__(self, word: bytes) -> bytes:
-        out = self[word] = np.array(self.piece(b" " + word), np.int32).tobytes()
-        return out
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after another, how many of each word) of the words, each taken with a space before it."""
-        if len(self) > self.limit:
-            self.clear()
-        packed = list(map(self.__getitem__, words))
-        return np.frombuffer(b"".join(packed), np.int32), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        self.size = max(ranks_of.values()) + 1
+        #: pieces are words with a space before each
+        self.encoding = tiktoken.Encoding("words", pat_str=" [^ ]*", mergeable_ranks=ranks_of, special_tokens={})
+        self.begins = np.zeros(self.size, bool)
+        self.begins[[i for word, i in ranks_of.items() if word.startswith(b" ")]] = True
+
+    def of(self, words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, how many of each word) of the words, each taken with a space before it. No word has a space in it."""
+        if not len(words):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.large_binary())
+        line = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), pa.scalar(b" ", pa.large_binary()))[0].as_py()
+        try:
+            ids = self.encoding.encode_to_numpy(" " + line.decode(), disallowed_special=()).astype(np.int32)
+        except UnicodeDecodeError:  # bytes that are no UTF-8: piece by piece
+            ids = np.array([i for w in words.to_pylist() for i in self.encoding._encode_single_piece(b" " + w)], np.int32)
+        first = np.flatnonzero(self.begins[ids])
+        return ids, np.diff(first, append=len(ids))
 
 
 class Chunk:
@@ -75,7 +80,7 @@ class Chunk:
 
     def sequence(self, sub: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(raw ids of all rows, an end before each row and after the last one; where each row begins and the last one's end; the row of each place but the last)."""
-        ids, n = sub.of(self.words.to_pylist())
+        ids, n = sub.of(self.words)
         at = np.cumsum(n) - n
         each = n[self.code]
         before = np.cumsum(each) - each
@@ -97,6 +102,38 @@ def _chunks(batch: pa.RecordBatch, column: str = "text"):
             yield Chunk(text.slice(lo, hi - lo), lo)
 
 
+def _coded(batches, shared):
+    """The rows with the raw subword ids of each text and its end, packed: texts are cut into subwords once, here."""
+    sub = Subwords(shared.value)
+    for b in batches:
+        for c in _chunks(b):
+            raw, start, _ = c.sequence(sub)
+            flat = raw[1:].astype(_packed(sub.size))
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), c.rows, [None, pa.py_buffer(start * flat.itemsize), pa.py_buffer(flat)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.slice(c.first, c.rows).columns, ids], names=[*b.schema.names, "ids"])
+
+
+def _packed(size: int) -> type:
+    """The type of packed raw ids, the end (size) among them."""
+    return np.uint16 if size < 2**16 else np.int32
+
+
+def _sequence(ids: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(raw ids of the rows, an end before each row and after the last one; where each row begins and the last one's end) from packed ids."""
+    kind = np.dtype(_packed(size))
+    edge = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // kind.itemsize
+    flat = np.frombuffer(ids.buffers()[2], kind, edge[-1])[edge[0] :]
+    return np.append(kind.type(size), flat), edge - edge[0]
+
+
+def _of_rows(batch: pa.RecordBatch):
+    """The packed ids of a batch in runs of rows of about CHUNK_BYTES."""
+    ids = batch.column(batch.schema.get_field_index("ids"))
+    part = np.cumsum(pc.binary_length(ids).to_numpy(zero_copy_only=False), dtype=np.int64) // CHUNK_BYTES
+    edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(ids)]
+    return [ids.slice(lo, hi - lo) for lo, hi in zip(edge[:-1], edge[1:], strict=True) if lo < hi]
+
+
 def drawn(key: np.ndarray, places: np.ndarray, share: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(row, place at which it begins) of windows, `share` of them expected from each row; a key and the seed decide.
 
@@ -111,22 +148,22 @@ def drawn(key: np.ndarray, places: np.ndarray, share: float, seed: int = 0) -> t
     return np.concatenate(rows), np.concatenate(starts)
 
 
-def _counts(batches, shared, share: float):
+def _counts(batches, size: int, share: float):
     """Counts of words and of pairs of subwords of the training rows of a partition, and its drawn windows; sent on in bounded parts."""
-    sub = Subwords(shared.value)
 
     def part(kind: int, n, words=None, codes=None):
         none = lambda t: pa.nulls(len(n), t)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int8)), none(pa.binary()) if words is None else words, none(pa.int64()) if codes is None else codes, pa.array(n)], names=["kind", "word", "code", "n"])
 
     for b in batches:
-        key = b.column(1).to_numpy()
+        ids, key = b.column(1), b.column(2).to_numpy()
         for c in _chunks(b):
             times = np.bincount(c.code, minlength=len(c.words))
             seen = np.flatnonzero(times)
             yield part(WORD, times[seen], words=c.words.take(pa.array(seen)).cast(pa.binary()))
-            seq, start, _ = c.sequence(sub)
-            pairs = pc.value_counts(pa.array(seq[:-1].astype(np.int64) * (sub.size + 1) + seq[1:]))
+            packed, start = _sequence(ids.slice(c.first, c.rows), size)
+            seq = packed.astype(np.int32)
+            pairs = pc.value_counts(pa.array(seq[:-1].astype(np.int64) * (size + 1) + seq[1:]))
             yield part(PAIR, pairs.field("counts").to_numpy(), codes=pairs.field("values"))
             row, at = drawn(key[c.first : c.first + c.rows], np.diff(start), share)
             at += start[row]
@@ -197,14 +234,14 @@ def _attention(counts: DataFrame, size: int) -> tuple[Attention, np.ndarray, np.
 
 def _fitted(batches, shared):
     """Weights of the model after steps over all places of the training rows of a partition, times the number of places; (place among all weights, that product, places)."""
-    ranks, model, model_id = shared.value
+    size, model, model_id = shared.value
     model.w = {k: v.copy() for k, v in model.w.items()}  # the broadcast value may serve other tasks of this worker
-    sub, adam, rng, seen, places = Subwords(ranks), Adam(model), np.random.default_rng(0), 0, np.arange(CONTEXT)
+    adam, rng, seen, places = Adam(model), np.random.default_rng(0), 0, np.arange(CONTEXT)
     for b in batches:
-        for c in _chunks(b):
-            raw, start, _ = c.sequence(sub)
-            seq, n = model_id[raw], -(-np.diff(start) // CONTEXT)
-            row = np.repeat(np.arange(c.rows), n)
+        for ids in _of_rows(b):
+            raw, start = _sequence(ids, size)
+            seq, n = model_id.take(raw), -(-np.diff(start) // CONTEXT)
+            row = np.repeat(np.arange(len(ids)), n)
             begin = start[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * CONTEXT
             order = rng.permutation(len(row))
             for lo in range(0, len(order), FIT_BATCH):
@@ -219,10 +256,10 @@ def _fitted(batches, shared):
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), seen, np.int64))], names=["at", "total", "places"])
 
 
-def _over_all(train: DataFrame, ranks: bytes, model: Attention, model_id: np.ndarray) -> tuple[Attention, int]:
+def _over_all(train: DataFrame, size: int, model: Attention, model_id: np.ndarray) -> tuple[Attention, int]:
     """(model, places) after one pass over every place of all training rows: each task goes on from the given weights over its rows, and the tasks' weights are averaged by their places."""
-    shared = train.sparkSession.sparkContext.broadcast((ranks, model, model_id))
-    moved = train.select("text").mapInArrow(functools.partial(_fitted, shared=shared), "at int, total double, places long")
+    shared = train.sparkSession.sparkContext.broadcast((size, model, model_id))
+    moved = train.select("ids").mapInArrow(functools.partial(_fitted, shared=shared), "at int, total double, places long")
     got = moved.groupBy("at").agg(F.sum("total").alias("total"), F.sum("places").alias("places")).toArrow().sort_by("at")  # as many as the model has weights
     if not len(got):
         return model, 0
@@ -246,20 +283,23 @@ def _log_probs(model: Scorer, seq: np.ndarray, start: np.ndarray) -> np.ndarray:
     out, places = np.zeros(len(start) - 1), np.arange(CONTEXT)
     row, begin, first = windows(np.diff(start))
     begin = begin + start[row]
-    for lo in range(0, len(row), BATCH):
-        own = slice(lo, lo + BATCH)
-        at = begin[own, None] + places
-        scored = (places >= first[own, None]) & (at < start[row[own] + 1][:, None])
-        np.minimum(at, len(seq) - 2, out=at)
-        got = model.log_prob(seq[at], seq[at + 1])
-        out += np.bincount(row[own], np.where(scored, got, 0).sum(axis=1, dtype=np.float64), len(out))
+    # what the window before scored is context only; first windows of rows have no such places
+    for skip in (0, CONTEXT - STEP):
+        of = np.flatnonzero(first == skip)
+        for lo in range(0, len(of), BATCH):
+            own = of[lo : lo + BATCH]
+            at = begin[own, None] + places
+            scored = at < start[row[own] + 1][:, None]
+            np.minimum(at, len(seq) - 2, out=at)
+            got = model.log_prob(seq[at], np.where(scored, seq[at + 1], -1), skip)
+            out += np.bincount(row[own], got.sum(axis=1, dtype=np.float64), len(out))
     return out
 
 
 def _scores(batches, shared):
     """Each row's counts and scores over frequent words, its other words, and the attention model's score."""
-    ranks, model, model_id, rare, common, log_share, end_share = shared.value
-    model, sub, part, at_row = Scorer(model), Subwords(ranks), TaskContext.get().partitionId(), 0
+    size, model, model_id, rare, common, log_share, end_share = shared.value
+    model, part, at_row = Scorer(model), TaskContext.get().partitionId(), 0
     for b in batches:
         for c in _chunks(b):
             n = c.rows
@@ -271,8 +311,8 @@ def _scores(batches, shared):
             other, times = np.unique(c.row[~frequent].astype(np.int64) * max(1, len(c.words)) + c.code[~frequent], return_counts=True)
             ends = np.searchsorted(other, np.arange(n + 1, dtype=np.int64) * max(1, len(c.words)))
             others = c.words.take(pa.array(other % max(1, len(c.words)))).cast(pa.binary())
-            seq, start, row = c.sequence(sub)
-            lm = (_log_probs(model, model_id[seq], start) + np.bincount(row, rare[seq[1:]], n)) / math.log(10)
+            seq, start = _sequence(b.column(3).slice(c.first, n), size)
+            lm = (_log_probs(model, model_id.take(seq), start) + np.bincount(np.repeat(np.arange(n), np.diff(start)), rare.take(seq[1:]), n)) / math.log(10)
             rid = (np.int64(part) << np.int64(33)) + np.arange(at_row, at_row + n, dtype=np.int64)
             at_row += n
             for lo in range(0, n, 500):
@@ -299,13 +339,14 @@ def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, folds: int = FO
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", held_out("doc_id", folds).alias("held_out"), "text")
-    train = docs.where("not held_out")
-    rows = train.select("doc_id").count()
     ranks = Path(tokenizer).read_bytes()
     size = Subwords(ranks).size
-    shared = spark.sparkContext.broadcast(ranks)
-    keyed = train.select("text", F.xxhash64("doc_id").alias("key"))
-    parts = keyed.mapInArrow(functools.partial(_counts, shared=shared, share=WINDOWS / max(rows, 1)), "kind tinyint, word binary, code long, n long")
+    coded = functools.partial(_coded, shared=spark.sparkContext.broadcast(ranks))
+    docs = stash(docs.mapInArrow(coded, T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType())])), "lm-ids")
+    train = docs.where("not held_out")
+    rows = train.select("doc_id").count()
+    keyed = train.select("text", "ids", F.xxhash64("doc_id").alias("key"))
+    parts = keyed.mapInArrow(functools.partial(_counts, size=size, share=WINDOWS / max(rows, 1)), "kind tinyint, word binary, code long, n long")
     counts = stash(parts.groupBy("kind", "word", "code").agg(F.sum("n").alias("n")), "lm-counts")
     words = counts.where(F.col("kind") == WORD).select("word", "n")
     # words by count, most frequent first, until the table is full: distinct counts are few
@@ -321,10 +362,10 @@ def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, folds: int = FO
     top = (words.where(F.col("n") >= least) if least is not None else words.limit(0)).toArrow()
     common, log_share = top["word"].combine_chunks().cast(pa.large_binary()), np.log10(top["n"].to_numpy() + 0.5) - norm
     model, model_id, rare = _attention(counts, size)
-    model, _ = _over_all(train, ranks, model, model_id)
+    model, _ = _over_all(train, size, model, model_id)
     # every text's end is a token, and known if there are training rows
     end_share = math.log10(rows + 0.5) - norm
-    shared = spark.sparkContext.broadcast((ranks, model, model_id, rare, common, log_share, end_share))
+    shared = spark.sparkContext.broadcast((size, model, model_id, rare, common, log_share, end_share))
     kind = dict(docs.dtypes)["doc_id"]
     scored = stash(docs.mapInArrow(functools.partial(_scores, shared=shared), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, times array<bigint>"), "lm-rows")
     rest = scored.select("rid", F.explode(F.arrays_zip("words", "times")).alias("o")).select("rid", F.col("o.words").alias("word"), F.col("o.times").alias("times"))
