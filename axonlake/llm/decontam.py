@@ -21,9 +21,10 @@ LOWER, UPPER = "a-zà-öø-ÿ", "A-ZÀ-ÖØ-Þ"
 FILL = "\u0001([^\u0002]*)\u0002"
 #: The typed placeholders, each followed by its fill; # stands for a number, ~ for a unit, ^ for names.
 _STEPS = [
+    # groups repeat possessively: nothing follows them that could ask one back, and a plain repeat takes stack for each name of a run, until a task dies of it
     # names: capitalised words in the middle of a sentence, a run of them as one
-    (f"[{UPPER}](?<=[{LOWER}],? .)[{LOWER}]+( [{UPPER}][{LOWER}]+)*", "^\u0001$0\u0002"),
-    ("[0-9]+([.,][0-9]+)*", "#\u0001$0\u0002"),
+    (f"[{UPPER}](?<=[{LOWER}],? .)[{LOWER}]+( [{UPPER}][{LOWER}]+)*+", "^\u0001$0\u0002"),
+    ("[0-9]+([.,][0-9]+)*+", "#\u0001$0\u0002"),
     (f"(?<=[0-9]\u0002) ?({'|'.join(UNITS)})\\b", " ~\u0001$1\u0002"),
     # everything else but letters, digits, placeholders and fills goes
     ("(\u0001[^\u0002]*\u0002)|[^\\p{L}\\p{N}#~^ \t\n\r]+", "$1"),
